@@ -10,8 +10,9 @@ sets is lost, and no stage emits all pairs of a group:
    bitmaps and size ranges, a dual traversal drops node pairs by their greatest possible overlap, leaf pairs are
    verified exactly, pairs already connected are skipped.  Only spanning edges leave.
 4. Exact round: two linked sets share a shingle of both prefixes (rarest first).  A shingle whose sets all lie in
-   one component is done; for the others the trees run again, starting from the components.  A shingle with more
-   than ``block`` sets is split into pairs of blocks.
+   one component is done; for the others trees of bitmaps alone (a byte a shingle) name the pairs of different
+   components that may link, and those pairs are verified.  A shingle with more than ``block`` sets is split into
+   pairs of blocks.
 """
 
 from __future__ import annotations
@@ -81,8 +82,8 @@ class _Sets:
         self.first, self.copies = first, copies
         self.slots = {k: C.slots(sets[k], buckets) for k in first.values()}
         every = np.concatenate([np.unique(x) for x in self.slots.values()]) if self.slots else np.zeros(0, U64)
-        self.sent, held = np.unique(every, return_counts=True)
-        self.local = held > 1
+        self.sent, self.held = np.unique(every, return_counts=True)
+        self.local = self.held > 1
 
     def counts(self, answers: pa.Table) -> np.ndarray:
         return self.local | C.shared_slots(self.sent, answers)
@@ -121,16 +122,48 @@ def _survivors(docs: DataFrame, size: int, shards: int, id_col: str, text_col: s
     return base.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(choose, FOUND)
 
 
+COUNT_ROWS = C.KEY_ROWS + ", held binary"
+
+
+def _count_rows(shard: int, sent: np.ndarray, held: np.ndarray) -> pa.Table:
+    """As common.key_rows, with the number of sets of the shard that hold each key."""
+    t = C.key_rows(shard, sent)
+    at = np.searchsorted((sent >> U64(32)).astype(np.int64), t["bucket"].to_numpy())
+    parts = [C.pack(np.minimum(x, 65535).astype(np.uint16)) for x in np.split(held, at[1:])] if len(at) else []
+    return t.append_column("held", pa.array(parts, pa.binary()))
+
+
 def _answer_counts(t: pa.Table) -> pa.Table:
-    """As common.answer_bucket, with the number of shards (255 at most) in place of the bit: the order of rarity."""
+    """To each shard, the number of sets (65535 at most) that hold each of its keys: the order of rarity."""
     parts = [np.cumsum(C.unpack(x, np.uint32), dtype=np.uint32) for x in t["body"].to_pylist()]
-    names, held = np.unique(np.concatenate(parts), return_counts=True)
-    held = np.minimum(held, 255).astype(np.uint8)
+    names, place = np.unique(np.concatenate(parts), return_inverse=True)
+    held = np.bincount(place, weights=np.concatenate([C.unpack(x, np.uint16) for x in t["held"].to_pylist()]), minlength=len(names))
+    held = np.minimum(held, 65535).astype(np.uint16)
     out = [C.pack(held[np.searchsorted(names, p)]) for p in parts]
     return pa.table({"shard": t["shard"].cast(pa.int32()), "bucket": t["bucket"].cast(pa.int32()), "body": pa.array(out, pa.binary())})
 
 
-NEAR = "id long, n long, prefix int, toks binary, keys array<long>"
+def signature(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Bitmap of a set: the low bits of each token."""
+    m = np.zeros(width // 64, U64)
+    bit = tokens & U64(width - 1)
+    np.bitwise_or.at(m, (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return m
+
+
+def width_of(n: int, most: int = 1 << 20) -> int:
+    """Bits of a signature: 8 a token at least, a power of two."""
+    w = 256
+    while w < min(8 * n, most):
+        w *= 2
+    return w
+
+
+def folded(m: np.ndarray, width: int) -> np.ndarray:
+    return m if len(m) * 64 == width else np.bitwise_or.reduce(m.reshape(-1, width // 64), 0)
+
+
+NEAR = "id long, n long, prefix int, toks binary, keys array<long>, sig binary"
 
 
 def _near(classes: DataFrame, shards: int) -> DataFrame:
@@ -145,7 +178,8 @@ def _near(classes: DataFrame, shards: int) -> DataFrame:
         return _Sets(ids, sets, buckets, [(i, k) for k, i in enumerate(ids)])
 
     def keys(t: pa.Table) -> pa.Table:
-        return C.key_rows(t["shard"][0].as_py(), own(t).sent)
+        x = own(t)
+        return _count_rows(t["shard"][0].as_py(), x.sent, x.held)
 
     def choose(t: pa.Table, answers: pa.Table) -> pa.Table:
         s = own(t)
@@ -153,11 +187,11 @@ def _near(classes: DataFrame, shards: int) -> DataFrame:
         b = (s.sent >> U64(32)).astype(np.int64)
         for bucket, body in zip(answers["bucket"].to_pylist(), answers["body"].to_pylist()):
             x, y = np.searchsorted(b, [bucket, bucket + 1])
-            held[x:y] = C.unpack(body, np.uint8)
-        rows = {k: [] for k in ("id", "n", "prefix", "toks", "keys")}
+            held[x:y] = C.unpack(body, np.uint16)
+        rows = {k: [] for k in ("id", "n", "prefix", "toks", "keys", "sig")}
         for i, n, x in zip(t["id"].to_pylist(), t["n"].to_pylist(), s.sets):
             at = np.searchsorted(s.sent, C.slots(x, buckets))
-            live = (held[at] > 1) | s.local[at]
+            live = held[at] > 1
             if not len(x) or live.sum() < _need(n):
                 continue
             x, rare = x[live], held[at][live]
@@ -167,10 +201,11 @@ def _near(classes: DataFrame, shards: int) -> DataFrame:
             rows["prefix"].append(int(n - _need(n) + 1 - (n - len(x))))
             rows["toks"].append(x.tobytes())
             rows["keys"].append(list({int(v) for v in (x[0].view(np.int64), x.min().view(np.int64), x[np.argmin(C.finish(x))].view(np.int64))}))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            rows["sig"].append(signature(x, width_of(len(x))).tobytes())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(rows.items(), kinds)})
 
-    counts = base.groupBy("shard").applyInArrow(keys, C.KEY_ROWS).groupBy("bucket").applyInArrow(_answer_counts, C.BIT_ROWS)
+    counts = base.groupBy("shard").applyInArrow(keys, COUNT_ROWS).groupBy("bucket").applyInArrow(_answer_counts, C.BIT_ROWS)
     return base.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(choose, NEAR)
 
 
@@ -195,14 +230,11 @@ class SignatureTree:
 
     LEAF, FAN = 8, 4
 
-    def __init__(self, sizes: list[int], sets: list[np.ndarray], members: list[int], width: int):
-        order = sorted(members, key=lambda k: (sizes[k], int(sets[k].min()) if len(sets[k]) else 0))
-        self.sizes, self.sets = sizes, sets
-        maps = np.zeros((len(order), width // 64), U64)
-        for r, k in enumerate(order):
-            bit = sets[k] & U64(width - 1)
-            np.bitwise_or.at(maps[r], (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
-        over = [len(sets[k]) - int(c) for k, c in zip(order, np.bitwise_count(maps).sum(1))]
+    def __init__(self, sizes: list[int], counts: list[int], maps: dict[int, np.ndarray], members: list[int]):
+        """sizes of whole sets, counts of the tokens in the bitmaps maps[member], all of one width."""
+        order = sorted(members, key=lambda k: (sizes[k], counts[k], maps[k].tobytes()[:8]))
+        maps = np.array([maps[k] for k in order])
+        over = [counts[k] - int(c) for k, c in zip(order, np.bitwise_count(maps).sum(1))] if order else []
         # node: (members, children, bitmap, least size, greatest size, excess)
         level = []
         for a in range(0, len(order), self.LEAF):
@@ -236,8 +268,9 @@ def _linked(n: int, m: int, x: np.ndarray, y: np.ndarray) -> bool:
     return 7 * both >= 3 * (n + m)
 
 
-def traverse(left: SignatureTree, right: SignatureTree, forest: _Forest) -> None:
-    """Dual traversal: connects in forest whatever links between the trees (or within one tree given twice)."""
+def traverse(left: SignatureTree, right: SignatureTree, forest: _Forest, linked) -> None:
+    """Dual traversal: calls linked(x, y) for members of leaves that may link and aren't connected yet, and connects
+    them where it is true.  One tree given twice is compared with itself."""
     if left.root is None or right.root is None:
         return
     todo = [(left.root, right.root)]
@@ -251,7 +284,7 @@ def traverse(left: SignatureTree, right: SignatureTree, forest: _Forest) -> None
         if a[1] is None and b[1] is None:
             for p, x in enumerate(a[0]):
                 for y in a[0][p + 1 :] if a is b else b[0]:
-                    if x != y and forest.root(x) != forest.root(y) and _linked(left.sizes[x], left.sizes[y], left.sets[x], left.sets[y]):
+                    if x != y and forest.root(x) != forest.root(y) and linked(x, y):
                         forest.join(x, y)
         elif a is b:
             todo += [(x, y) for p, x in enumerate(a[1]) for y in a[1][p:]]
@@ -259,55 +292,90 @@ def traverse(left: SignatureTree, right: SignatureTree, forest: _Forest) -> None
             todo += [(x, y) for x in a[1] or (a,) for y in b[1] or (b,)]
 
 
-def _link_groups(t: pa.Table) -> pa.Table:
-    """Rows key, part, side, id, n, toks, root: per (key, part) the spanning edges that its sets need beyond their roots.
+def _groups(t: pa.Table) -> dict[tuple, list[int]]:
+    out: dict[tuple, list[int]] = {}
+    for k, g in enumerate(zip(t["key"].to_pylist(), t["part"].to_pylist())):
+        out.setdefault(g, []).append(k)
+    return {g: own for g, own in out.items() if len(own) > 1}
 
-    side 0 and 1 are compared with each other only; side 2 within itself.
-    """
-    keys, parts, sides, ids, sizes, roots = (t[c].to_pylist() for c in ("key", "part", "side", "id", "n", "root"))
-    toks = t["toks"]
-    sets: dict[int, np.ndarray] = {}
-    groups: dict[tuple, list[int]] = {}
-    for k, g in enumerate(zip(keys, parts)):
-        groups.setdefault(g, []).append(k)
+
+def _first_links(t: pa.Table) -> pa.Table:
+    """Rows key, part, id, n, toks: spanning edges of what links within each (key, part), as stars about least ids."""
+    ids, sizes, toks = t["id"].to_pylist(), t["n"].to_pylist(), t["toks"]
     out = set()
-    for own in groups.values():
-        if len(own) < 2:
-            continue
+    for own in _groups(t).values():
+        sets = [np.sort(np.frombuffer(toks[k].as_py(), U64)) for k in own]
+        n, counts = [sizes[k] for k in own], [len(x) for x in sets]
+        width = width_of(max(counts), 1 << 15)
+        tree = SignatureTree(n, counts, {x: signature(v, width) for x, v in enumerate(sets)}, list(range(len(own))))
         forest = _Forest(len(own))
-        seen: dict[int, int] = {}
-        for x, k in enumerate(own):
-            if k not in sets:
-                sets[k] = np.sort(np.frombuffer(toks[k].as_py(), U64))
-            for name in (roots[k], ids[k]):
-                if name in seen:
-                    forest.join(seen[name], x)
-                else:
-                    seen[name] = x
-        mine, n = [sets[k] for k in own], [sizes[k] for k in own]
-        width = 256
-        while width < min(4 * max(map(len, mine)), 1 << 15):
-            width *= 2
-        by = {s: [x for x, k in enumerate(own) if sides[k] == s] for s in (0, 1, 2)}
-        trees = {s: SignatureTree(n, mine, m, width) for s, m in by.items()}
-        before = [forest.root(x) for x in range(len(own))]
-        traverse(trees[2], trees[2], forest)
-        traverse(trees[0], trees[1], forest)
+        traverse(tree, tree, forest, lambda x, y: _linked(n[x], n[y], sets[x], sets[y]))
         least: dict[int, int] = {}
         for x, k in enumerate(own):
             r = forest.root(x)
-            least[r] = min(least.get(r, roots[k]), roots[k])
-        for x, k in enumerate(own):
-            if least[forest.root(x)] != roots[k] and before[x] != -1:
-                out.add((least[forest.root(x)], roots[k]))
-        for k in own:
-            sets.pop(k, None)
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+            least[r] = min(least.get(r, ids[k]), ids[k])
+        out |= {(least[forest.root(x)], ids[k]) for x, k in enumerate(own) if least[forest.root(x)] != ids[k]}
+    return _edges(out)
+
+
+def _edges(pairs: set) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
-def _link(rows: DataFrame, tasks: int) -> DataFrame:
+def _candidates(t: pa.Table) -> pa.Table:
+    """Rows key, part, side, id, n, count, rest, root, sig: pairs of sets of different roots that may link.
+
+    side 0 and 1 are compared with each other only; side 2 within itself.  rest: the tokens from the key on; a pair is
+    found under its first common token, where the overlap lies within both rests.
+    """
+    sides, ids, sizes, counts, rests, roots = (t[c].to_pylist() for c in ("side", "id", "n", "count", "rest", "root"))
+    sigs = t["sig"]
+    out = set()
+    for own in _groups(t).values():
+        if len({roots[k] for k in own}) < 2:
+            continue
+        n, c = [sizes[k] for k in own], [counts[k] for k in own]
+        maps = {x: np.frombuffer(sigs[k].as_py(), U64) for x, k in enumerate(own)}
+        forest, seen = _Forest(len(own)), {}
+        for x, k in enumerate(own):
+            forest.join(seen.setdefault(roots[k], x), x)
+        width = {x: 64 * len(m) for x, m in maps.items()}
+        members = lambda side, w: [x for x in width if sides[own[x]] == side and width[x] == w]  # noqa: E731, B023
+
+        def close(x: int, y: int) -> bool:
+            w = min(width[x], width[y])  # noqa: B023
+            p, q = folded(maps[x], w), folded(maps[y], w)  # noqa: B023
+            over = min(c[x] - int(np.bitwise_count(p).sum()), c[y] - int(np.bitwise_count(q).sum()))  # noqa: B023
+            most = min(rests[own[x]], rests[own[y]], int(np.bitwise_count(p & q).sum()) + over)  # noqa: B023
+            if 7 * most >= 3 * (n[x] + n[y]):  # noqa: B023
+                i, j = ids[own[x]], ids[own[y]]  # noqa: B023
+                out.add((min(i, j), max(i, j)))
+            return False
+
+        # Sets that link differ in their tokens by less than twofold: only equal and next widths meet.
+        for w in sorted(set(width.values())):
+            for s, r in ((2, 2), (0, 1)):
+                for w2 in (w, 2 * w) if s == r else (w // 2, w, 2 * w):
+                    a, b = members(s, w), members(r, w2)
+                    if not a or not b:
+                        continue
+                    v = min(w, w2)
+                    left = SignatureTree(n, c, {x: folded(maps[x], v) for x in a}, a)
+                    right = left if s == r and w == w2 else SignatureTree(n, c, {x: folded(maps[x], v) for x in b}, b)
+                    traverse(left, right, forest, close)
+    return _edges(out)
+
+
+def _verified(batches):
+    for b in batches:
+        cols = [b.column(k).to_pylist() for k in ("a", "b", "n", "m", "x", "y")]
+        hit = [k for k, (_, _, n, m, x, y) in enumerate(zip(*cols)) if _linked(n, m, np.sort(np.frombuffer(x, U64)), np.sort(np.frombuffer(y, U64)))]
+        yield pa.RecordBatch.from_arrays([pa.array([cols[c][k] for k in hit], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+
+def _by_key(rows: DataFrame, tasks: int, fn) -> DataFrame:
     rows = rows.withColumn("task", F.pmod(F.xxhash64("key", "part"), F.lit(tasks)).cast("int"))
-    return rows.groupBy("task").applyInArrow(_link_groups, "a long, b long")
+    return rows.groupBy("task").applyInArrow(fn, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, block: int = 2048, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -329,36 +397,38 @@ def jaccard_components(docs: DataFrame, size: int = 5, block: int = 2048, id_col
     first = near.select("id", "n", "toks", F.explode("keys").alias("key"))
     counts = near.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
     first = first.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / block)).cast("long"))
-    edges = C.cut(_link(first.select("key", "part", F.lit(2).alias("side"), "id", "n", "toks", F.col("id").alias("root")), shards), "links")
+    edges = C.cut(_by_key(first.select("key", "part", "id", "n", "toks"), shards, _first_links), "links")
     roots = connected_components(edges)
 
     # Exact round over prefixes.
     def prefixes(batches):
         for b in batches:
-            ids, keys, root = [], [], []
+            cols: list[list] = [[], [], [], []]
             for i, p, x, r in zip(*(b.column(c).to_pylist() for c in ("id", "prefix", "toks", "root"))):
-                k = np.frombuffer(x, np.int64)[:p]
-                ids.append(np.full(len(k), i, np.int64))
-                keys.append(k)
-                root.append(np.full(len(k), r, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, root)], ["key", "id", "root"])
-
-    labelled = near.join(roots.withColumnRenamed("node", "id"), "id", "left").selectExpr("id", "n", "prefix", "toks", "coalesce(root, id) root")
+                x = np.frombuffer(x, np.int64)
+                k = x[:p]
+                for c, v in zip(cols, (k, np.full(len(k), i, np.int64), np.full(len(k), r, np.int64), len(x) - np.arange(len(k), dtype=np.int64))):
+                    c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["key", "id", "root", "rest"])
+
+    labelled = near.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "prefix", "toks", "sig", F.coalesce("root", "id").alias("root"))
     labelled = C.cut(labelled, "labelled")
-    rows = labelled.select("id", "prefix", "toks", "root").mapInArrow(prefixes, "key long, id long, root long")
+    rows = labelled.select("id", "prefix", "toks", "root").mapInArrow(prefixes, "key long, id long, root long, rest long")
     open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where("lo < hi")
     asked = rows.join(open_.select("key", "count"), "key")
     # A key of more than block sets: blocks 0..c-1, a task for each pair of them (and each block with itself).
     c = F.ceil(F.col("count") / block).cast("long")
     asked = asked.withColumn("c", c).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("c")))
     asked = asked.withColumn("other", F.explode(F.expr("sequence(0L, c - 1)")))
-    asked = asked.select("key", "id", (F.least("mine", "other") * F.col("c") + F.greatest("mine", "other")).alias("part"), F.expr("case when mine = other then 2 when mine < other then 0 else 1 end").alias("side"))
-    asked = asked.join(labelled.select("id", "n", "toks", "root"), "id")
-    more = C.cut(_link(asked, shards), "more")
+    asked = asked.select("key", "id", "rest", (F.least("mine", "other") * F.col("c") + F.greatest("mine", "other")).alias("part"), F.expr("case when mine = other then 2 when mine < other then 0 else 1 end").alias("side"))
+    light = labelled.select("id", "n", (F.octet_length("toks") / 8).cast("long").alias("count"), "root", "sig")
+    pairs = C.cut(_by_key(asked.join(light, "id"), shards, _candidates).distinct(), "pairs")
+    left, right = labelled.selectExpr("id a", "n", "toks x"), labelled.selectExpr("id b", "n m", "toks y")
+    more = C.cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long"), "more")
     final = connected_components(edges.union(more))
     names = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("digest", "coalesce(root, rep) component_id")
     out = found.join(names, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    for t in (near, edges, roots, labelled, more):
+    for t in (near, edges, roots, labelled, pairs, more):
         C.discard(t)
     return out
