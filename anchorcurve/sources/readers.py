@@ -86,7 +86,7 @@ def fetch_sequences(chunks: DataFrame, regions: DataFrame, chunk: int, ext: int
     """
     r = regions.join(chromosome_sizes(chunks), "chrom")
     r = r.withColumn("start", F.greatest(F.lit(0), F.col("start") - ext)).withColumn("end", F.least("size", F.col("end") + ext)).where("end > start").drop("size")
-    r = r.withColumn("chunk_start", F.explode(F.expr(f"sequence(cast(floor(start / {chunk}) as long), cast(floor((end - 1) / {chunk}) as long))")) * chunk)
+    r = r.withColumn("k", F.explode(F.expr(f"sequence(cast(floor(start / {chunk}) as long), cast(floor((end - 1) / {chunk}) as long))"))).withColumn("chunk_start", F.col("k") * chunk)
     part = F.substring(F.col("seq"), (F.greatest("start", "chunk_start") - F.col("chunk_start") + 1).cast("int"), (F.least(F.col("end"), F.col("chunk_start") + chunk) - F.greatest("start", "chunk_start")).cast("int"))
     rows = r.join(chunks, ["chrom", "chunk_start"]).select("interval_id", "chrom", "start", "end", F.struct("chunk_start", part.alias("s")).alias("piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["s"]), "")
