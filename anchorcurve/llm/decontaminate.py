@@ -2,8 +2,8 @@
 
 A text leaks an item if a substring of the normalised text is within ``share`` x length edits of the normalised item.
 
-1. Gate, lossless: within d edits of an item of n characters, a text keeps n - 7 - 8 d of its 8-byte substrings at
-   least, inside one window of n + d characters.  Only texts with such a window go on.
+1. Gate, lossless: within d edits of an item of n bytes, a text keeps n - 7 - 8 d of its 8-byte substrings at
+   least, inside one window of n + d bytes.  Only word starts near such a window go on, for that item.
 2. CGK random walks embed item-sized windows at word starts of those places, so that few edits give a small Hamming
    distance; each repetition has its own walk and samples some coordinates, and windows that agree with an item in all
    sampled ones are candidates.  The number of repetitions follows from the target recall and the agreement measured
@@ -26,6 +26,8 @@ from . import common as C
 
 U64 = C.U64
 GRAM, SLOTS = 8, 1 << 22
+#: Coordinates are sampled from so many first steps of a walk, about half as many bytes of a window.
+STEPS = 128
 
 
 def normal(text: str | None) -> bytes:
@@ -65,7 +67,7 @@ def _grams(b: bytes) -> np.ndarray:
 class ItemIndex:
     """A block of items, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = 0.1, recall: float = 0.98, bits: int = 5, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]], share: float = 0.1, recall: float = 0.98, bits: int = 3, seed: int = 11):
         self.share, self.bits = share, bits
         self.items = [(i, b) for i, b in ((i, normal(t)) for i, t in items) if b]
         self.short = [(i, b) for i, b in self.items if self._kept(len(b)) < 1]  # too short for the gate
@@ -78,6 +80,11 @@ class ItemIndex:
             c = {"items": part, "width": width, "least": self._kept(width), "span": int(len(part[-1][1]) * (1 + share)) + 1}
             for _, b in part:
                 self.table[_grams(b)] |= 1 << k
+            grams = [np.unique(_grams(b)) for _, b in part]
+            names, row = np.unique(np.concatenate(grams), return_inverse=True)
+            o = np.argsort(row, kind="stable")
+            c |= {"slots": names, "holders": np.repeat(np.arange(len(part)), [len(x) for x in grams])[o], "from": np.searchsorted(row[o], np.arange(len(names) + 1))}
+            c |= {"kept": np.array([self._kept(len(b)) for _, b in part]), "spans": np.array([len(b) + int(share * len(b)) + 1 for _, b in part])}
             self.classes.append(c | self._walks(part, width, recall, rng))
         self.width = max((c["span"] for c in self.classes), default=0)
 
@@ -98,27 +105,27 @@ class ItemIndex:
 
     def _walks(self, part: list, width: int, recall: float, rng: random.Random) -> dict:
         """Walk tables and sampled coordinates for as many repetitions as the recall asks for."""
-        steps = min(3 * width, 384)
+        steps = min(3 * width, STEPS)
+        width = min(width, STEPS)
 
         def walk() -> np.ndarray:
             return np.frombuffer(rng.randbytes(steps * 257), np.uint8).reshape(steps, 257) & 1
 
-        # Agreement of a coordinate, on copies with share x width edits.
-        probe = [b[:width] for _, b in (part * (64 // len(part) + 1))[:64]]
-        edited = [self._edit(b, int(self.share * width), rng) for b in probe]
-        agree = float(np.mean(self.embed(self._grid(probe, width), w) == self.embed(self._grid(edited, width), w)) if (w := walk()) is not None else 0)
-        hit = max(agree, 0.3) ** self.bits
-        times = min(64, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit))))
+        # Agreement of coordinates on copies with share x length edits, copy by copy: the recall is a mean over copies.
+        probe = [b for _, b in (part * (96 // len(part) + 1))[:96]]
+        grids = [self._grid([x[:width] for x in texts], width) for texts in (probe, [self._edit(b, int(self.share * len(b)), rng) for b in probe])]
+        walks = [walk() for _ in range(4)]
+        agree = np.mean([(self.embed(grids[0], w) == self.embed(grids[1], w)).mean(1) for w in walks], 0)
+        times = 1
+        while times < 96 and np.mean(1 - (1 - agree**self.bits) ** times) < recall:
+            times += 1
         reps = []
         for _ in range(times):
             w, at = walk(), sorted(rng.sample(range(steps), min(self.bits, steps)))
             w = w[: at[-1] + 1]
             keys = self._keys(self.embed(self._grid([b[:width] for _, b in part], width), w)[:, at])
-            held = defaultdict(list)
-            for k, key in enumerate(keys.tolist()):
-                held[key].append(k)
-            reps.append((w, at, np.array(sorted(held), np.uint64), dict(held)))
-        return {"reps": reps, "agree": agree}
+            reps.append((w, at, keys))
+        return {"reps": reps, "agree": float(agree.mean())}
 
     @staticmethod
     def _edit(b: bytes, edits: int, rng: random.Random) -> bytes:
@@ -161,62 +168,84 @@ class ItemIndex:
             k = C.finish(k + col.astype(U64) + C.MIX_A)
         return k
 
-    def places(self, b: bytes) -> list[tuple[int, np.ndarray]]:
-        """(class, word starts) where the gate lets an item of the class begin."""
-        g = self.table[_grams(b)] if len(b) >= GRAM else np.zeros(0, np.uint8)
+    def places(self, b: bytes) -> list[tuple[int, int, np.ndarray]]:
+        """(class, item of the class, word starts) where the gate lets the item begin.
+
+        First by class: enough 8-byte substrings of any of its items in one window.  Then by item, within such windows.
+        """
+        slot = _grams(b)
+        g = self.table[slot]
         if not len(g) or not g.any():
             return []
         out, starts = [], None
         for k, c in enumerate(self.classes):
-            run = np.concatenate([[0], np.cumsum(g >> k & 1, dtype=np.int32)])
+            bit = g >> k & 1
+            run = np.concatenate([[0], np.cumsum(bit, dtype=np.int32)])
             if run[-1] < c["least"]:
                 continue
             end = np.minimum(np.arange(len(g)) + c["span"], len(g))
             ok = run[end] - run[:-1] >= c["least"]
             if not ok.any():
                 continue
+            near = np.concatenate([[0], np.cumsum(ok, dtype=np.int32)])
+            p = np.flatnonzero(bit)
+            p = p[near[p + 1] > near[np.maximum(p - c["span"] + 1, 0)]]
+            row = np.searchsorted(c["slots"], slot[p])
+            n = c["from"][row + 1] - c["from"][row]
+            item = c["holders"][np.repeat(c["from"][row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            p = np.repeat(p, n)
+            o = np.argsort(item, kind="stable")
+            item, p = item[o], p[o]
+            last = np.arange(len(p)) + c["kept"][item] - 1
+            j = np.flatnonzero(last < len(p))
+            j = j[(item[last[j]] == item[j]) & (p[last[j]] - p[j] < c["spans"][item[j]])]
+            if not len(j):
+                continue
             if starts is None:
                 a = np.frombuffer(b, np.uint8)
                 starts = np.concatenate([[0], np.flatnonzero(a[:-1] == 32) + 1])
-            # An item may begin up to its edits before or after the window that passes.
-            slack = int(self.share * c["span"]) + 1
-            near = np.cumsum(np.concatenate([[0], ok]))
-            s = starts[starts < len(g)]
-            keep = near[np.minimum(s + slack, len(ok))] - near[np.maximum(s - slack, 0)] > 0
-            if keep.any():
-                out.append((k, s[keep]))
+            for i in np.unique(item[j]).tolist():
+                # The first kept substring comes at most 9 places an edit after the item's start.
+                at, back = p[j[item[j] == i]], 9 * int(self.share * len(c["items"][i][1])) + GRAM
+                lo, hi = np.searchsorted(starts, np.maximum(at - back, 0)), np.searchsorted(starts, at, side="right")
+                cover = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(cover, lo, 1)
+                np.add.at(cover, hi, -1)
+                if len(s := starts[np.cumsum(cover)[:-1] > 0]):
+                    out.append((k, i, s))
         return out
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, distance, first, end, length of the item) of the best match of each item in each text; places in normalised bytes."""
         found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        asked: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        asked: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)
         for t, b in enumerate(texts):
-            for k, s in self.places(b):
-                asked[k].append((t, s))
+            for k, n, s in self.places(b):
+                asked[k].append((t, n, s))
             for i, item in self.short:
                 self._verify(found, t, i, item, b, 0, len(b))
         for k, own in asked.items():
             c = self.classes[k]
-            who = np.concatenate([np.full(len(s), t) for t, s in own])
-            at = np.concatenate([s for _, s in own])
+            place = np.repeat(np.arange(len(own)), [len(s) for _, _, s in own])
+            at = np.concatenate([s for _, _, s in own])
+            item_of = np.array([n for _, n, _ in own])
+            done = np.zeros(len(own), bool)
+            width = min(c["width"], STEPS)
             for a in range(0, len(at), 20_000):
-                w, p = who[a : a + 20_000], at[a : a + 20_000]
-                grid = self._grid([texts[t][x : x + c["width"]] for t, x in zip(w.tolist(), p.tolist())], c["width"])
-                tried = set()
-                for walk, picked, names, held in c["reps"]:
-                    keys = self._keys(self.embed(grid, walk)[:, picked])
-                    for r in np.flatnonzero(np.isin(keys, names)).tolist():
-                        for n in held[int(keys[r])]:
-                            if (r, n) in tried:
-                                continue
-                            tried.add((r, n))
-                            i, item = c["items"][n]
-                            t, x, d = int(w[r]), int(p[r]), int(self.share * len(item))
-                            old = found.get((t, i))
-                            if old and abs(old[1] - x) <= len(item) // 2:
-                                continue
-                            self._verify(found, t, i, item, texts[t], max(0, x - d), x + len(item) + d)
+                p, x = place[a : a + 20_000], at[a : a + 20_000]
+                grid = self._grid([texts[own[q][0]][y : y + width] for q, y in zip(p.tolist(), x.tolist())], width)
+                for walk, picked, keys in c["reps"]:
+                    left = np.flatnonzero(~done[p])
+                    if not len(left):
+                        break
+                    hit = self._keys(self.embed(grid[left], walk)[:, picked]) == keys[item_of[p[left]]]
+                    for q in np.unique(p[left[hit]]).tolist():
+                        # Exact over all starts of the place, so that no later repetition needs it.
+                        done[q] = True
+                        t, n, s = own[q]
+                        i, item = c["items"][n]
+                        d = int(self.share * len(item))
+                        self._verify(found, t, i, item, texts[t], max(0, int(s[0]) - d), int(s[-1]) + len(item) + d)
         return [(t, i, d, s, e, n) for (t, i), (d, s, e, n) in sorted(found.items())]
 
     def _verify(self, found: dict, t: int, i: int, item: bytes, b: bytes, lo: int, hi: int) -> None:
