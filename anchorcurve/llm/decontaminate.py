@@ -123,7 +123,7 @@ class ItemIndex:
         for _ in range(times):
             w, at = walk(), sorted(rng.sample(range(steps), min(self.bits, steps)))
             w = w[: at[-1] + 1]
-            keys = self._keys(self.embed(self._grid([b[:width] for _, b in part], width), w)[:, at])
+            keys = self._keys(self.embed(self._grid([b[:width] for _, b in part], width), w, at))
             reps.append((w, at, keys))
         return {"reps": reps, "agree": float(agree.mean())}
 
@@ -150,15 +150,26 @@ class ItemIndex:
         return g
 
     @staticmethod
-    def embed(grid: np.ndarray, walk: np.ndarray) -> np.ndarray:
-        """CGK embedding: symbol under a walker that stays or steps on by a random bit for (step, symbol)."""
-        n, last = len(grid), grid.shape[1] - 1
-        at, rows = np.zeros(n, np.int64), np.arange(n)
-        out = np.empty((n, len(walk)), np.int16)
+    def embed(grid: np.ndarray, walk: np.ndarray, picked: list[int] | None = None) -> np.ndarray:
+        """CGK embedding: symbol under a walker that stays or steps on by a random bit for (step, symbol).
+
+        picked: only these coordinates, sorted; the walk ends at the last of them.
+        """
+        n, width = grid.shape
+        flat, at = grid.ravel(), np.arange(n) * width
+        picked = range(len(walk)) if picked is None else picked
+        out, k = np.empty((n, len(picked)), np.int16), 0
+        end = at + width - 1
         for j, bit in enumerate(walk):
-            c = grid[rows, at]
-            out[:, j] = c
-            at = np.minimum(at + bit[c], last)
+            c = flat[at]
+            if j == picked[k]:
+                out[:, k] = c
+                k += 1
+                if k == len(picked):
+                    break
+            at += bit[c]
+            if j >= width - 1:
+                np.minimum(at, end, out=at)
         return out
 
     @staticmethod
@@ -180,11 +191,12 @@ class ItemIndex:
         out, starts = [], None
         for k, c in enumerate(self.classes):
             bit = g >> k & 1
-            run = np.concatenate([[0], np.cumsum(bit, dtype=np.int32)])
-            if run[-1] < c["least"]:
+            if int(np.count_nonzero(bit)) < c["least"]:
                 continue
-            end = np.minimum(np.arange(len(g)) + c["span"], len(g))
-            ok = run[end] - run[:-1] >= c["least"]
+            run = np.zeros(len(g) + c["span"], np.int32)
+            np.cumsum(bit, out=run[1 : len(g) + 1])
+            run[len(g) + 1 :] = run[len(g)]
+            ok = run[c["span"] :] - run[: len(g)] >= c["least"]
             if not ok.any():
                 continue
             near = np.concatenate([[0], np.cumsum(ok, dtype=np.int32)])
@@ -238,7 +250,7 @@ class ItemIndex:
                     left = np.flatnonzero(~done[p])
                     if not len(left):
                         break
-                    hit = self._keys(self.embed(grid[left], walk)[:, picked]) == keys[item_of[p[left]]]
+                    hit = self._keys(self.embed(grid[left], walk, picked)) == keys[item_of[p[left]]]
                     for q in np.unique(p[left[hit]]).tolist():
                         # Exact over all starts of the place, so that no later repetition needs it.
                         done[q] = True
