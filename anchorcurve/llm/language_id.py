@@ -168,7 +168,8 @@ def learn(docs: DataFrame, lang_col: str, text_col: str, chars: int = 24_000, pi
     want = 2 * chars // piece
     at = F.greatest(F.lit(1), F.floor((F.length(text_col) - piece) / 2).cast("int"))
     some = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    some = some.join(counts.select(F.col(lang_col).alias("lang"), "count"), "lang").where((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) * F.col("count") < 3 * want)
+    # Broadcast: one short row for each language, so no text is dealt out before the sample is drawn.
+    some = some.join(F.broadcast(counts.select(F.col(lang_col).alias("lang"), "count")), "lang").where((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) * F.col("count") < 3 * want)
     some = some.groupBy("lang").agg(F.expr(f"slice(array_sort(collect_set(struct(h, substring(text, greatest(1, cast((length(text) - {piece}) / 2 as int)), {piece}) as t))), 1, {want})").alias("rows"))
     samples = {r.lang: " ".join(x.t for x in r.rows) for r in some.collect()}
     samples = {k: normal(v).strip() for k, v in samples.items()}
