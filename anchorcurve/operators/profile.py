@@ -131,8 +131,8 @@ def dense_profile(strands: DataFrame, motifs: MotifSet, w: int, query: int | Non
     def fn(batches):
         for b in batches:
             total: dict[tuple, np.ndarray] = {}
-            cols = [b.column(c).to_pylist() for c in needs]
-            for i, strand, seq, *signal in zip(*cols):
+            # Some rows at a time: as Python objects, the signals of a batch of whole texts take many times their bytes.
+            for i, strand, seq, *signal in (r for k in range(0, len(b), 64) for r in zip(*(b.column(c).slice(k, 64).to_pylist() for c in needs))):
                 for key, v in rows_of(i, strand, seq or "", signal[0] if signal else None):
                     key = ((i,) if per_interval else ()) + key
                     total[key] = total[key] + v if key in total else v

@@ -52,17 +52,19 @@ def scan_columns(strands: DataFrame, motifs: MotifSet) -> DataFrame:
             total = F.lit(0.0)
             for j in range(m):
                 cell = F.lit(0.0)
-                base = F.upper(F.substring(F.col("seq"), p + j + 1, F.lit(1)))
+                base = F.substring(F.col("_b"), p + j + 1, F.lit(1))
                 for b, w in zip(BASES, kernel[j]):
                     if w:
-                        cell = F.when(base == b, float(w)).otherwise(cell)
+                        cell = F.when(base == F.lit(b.encode()), float(w)).otherwise(cell)
                 total = total + cell
             return F.greatest(F.lit(0.0), total)
 
-        return F.transform(F.sequence(F.lit(0), F.length("seq") - m), at)
+        return F.transform(F.sequence(F.lit(0), F.length("_b") - m), at)
 
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("motif_idx"), score(k).alias("s")) for i, k in enumerate(motifs.kernels)])).alias("e")
-    rows = strands.where(F.length("seq") >= m).select("interval_id", "strand", each)
+    # Bytes, one for each symbol: a place in a string is found by walking to it, which makes long sequences quadratic.
+    flat = F.upper(F.regexp_replace("seq", "[^\\x00-\\x7F]", "?")).cast("binary")
+    rows = strands.where(F.length("seq") >= m).select("interval_id", "strand", flat.alias("_b")).select("interval_id", "strand", each)
     return rows.select("interval_id", "strand", "e.motif_idx", F.posexplode("e.s").alias("p", "score"))
 
 

@@ -1,8 +1,11 @@
 """The engine's registered queries over the driver's tables, each with its SQL for DuckDB.
 
 Events stand for hits (chromosome: user_id mod 10; place: seconds; motif: event_type; score: cents), documents for
-sequences (their letters a, c, g, t, 400 at most: a motif's scan region), customers' segments for subsets.  Scores and
-kernel weights are whole numbers, so sums are exact in any order.
+sequences (all their letters a, c, g, t), customers' segments for subsets.  Scores and kernel weights are whole
+numbers, so sums are exact in any order.
+
+The SQL of the sequence queries (SCORES) still scans only the first 400 letters of a document: there it differs from
+the queries, which scan whole texts.  The tests compare these with the same SQL without that cut.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ def segment_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    seq = F.upper(F.substring(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^acgt]", ""), 1, 400))
+    seq = F.upper(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^acgt]", ""))
     return d.select(F.col("doc_id").alias("interval_id"), seq.alias("seq"))
 
 
