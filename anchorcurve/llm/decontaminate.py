@@ -3,7 +3,8 @@
 A text leaks an item if a substring of the normalised text is within ``share`` x length edits of the normalised item.
 
 1. Gate, lossless: within d edits of an item of n bytes, a text keeps n - 7 - 8 d of its 8-byte substrings at
-   least, inside one window of n + d bytes.  Only word starts near such a window go on, for that item.
+   least, inside one window of n + d bytes.  Only word starts near such a window go on, for that item.  Where the
+   gate lets an item begin and no word starts (text without spaces), the stretch is verified at once, by step 3.
 2. CGK random walks embed item-sized windows at word starts of those places, so that few edits give a small Hamming
    distance; each repetition has its own walk and samples some coordinates, and windows that agree with an item in all
    sampled ones are candidates.  The number of repetitions follows from the target recall and the agreement measured
@@ -179,10 +180,11 @@ class ItemIndex:
             k = C.finish(k + col.astype(U64) + C.MIX_A)
         return k
 
-    def places(self, b: bytes) -> list[tuple[int, int, np.ndarray]]:
-        """(class, item of the class, word starts) where the gate lets the item begin.
+    def places(self, b: bytes) -> list[tuple[int, int, np.ndarray, list[tuple[int, int]]]]:
+        """(class, item of the class, word starts where the gate lets the item begin, stretches without such a start).
 
         First by class: enough 8-byte substrings of any of its items in one window.  Then by item, within such windows.
+        A stretch (from, to) holds every match that begins where the gate lets it and no word starts.
         """
         slot = _grams(b)
         g = self.table[slot]
@@ -223,17 +225,29 @@ class ItemIndex:
                 cover = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(cover, lo, 1)
                 np.add.at(cover, hi, -1)
-                if len(s := starts[np.cumsum(cover)[:-1] > 0]):
-                    out.append((k, i, s))
+                s = starts[np.cumsum(cover)[:-1] > 0]
+                out.append((k, i, s, self._stretches(at[lo == hi], back, int(c["spans"][i]))))
         return out
 
+    @staticmethod
+    def _stretches(at: np.ndarray, back: int, span: int) -> list[tuple[int, int]]:
+        """Union of (at - back, at + span), at ascending."""
+        if not len(at):
+            return []
+        cut = np.flatnonzero(np.diff(at) > back + span)
+        first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
+        return [(max(0, a - back), b + span) for a, b in zip(first.tolist(), last.tolist())]
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, distance, first, end, length of the item) of the best match of each item in each text; places in normalised bytes."""
         found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         asked: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)
         for t, b in enumerate(texts):
-            for k, n, s in self.places(b):
-                asked[k].append((t, n, s))
+            for k, n, s, bare in self.places(b):
+                for lo, hi in bare:
+                    self._verify(found, t, *self.classes[k]["items"][n], b, lo, hi)
+                if len(s):
+                    asked[k].append((t, n, s))
             for i, item in self.short:
                 self._verify(found, t, i, item, b, 0, len(b))
         for k, own in asked.items():

@@ -327,6 +327,19 @@ def test_decontamination(spark):
     assert D.find_leaks(df.limit(0), bench).count() == 0 and D.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_text_without_spaces():
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    low = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(1, han(60)), (2, low(300)), (3, "so is this one, with its spaces, when they are kept: " + low(200))]
+    index = D.ItemIndex(items)
+    edited = items[1][1][:100] + "#" + items[1][1][101:200] + items[1][1][215:]
+    texts = [han(3000) + items[0][1] + han(500), low(9000) + items[1][1] + low(9000), low(5000) + edited + low(50), low(700) + items[2][1] + low(700), low(9000)]
+    texts += [items[1][1] + " " + han(2000) + items[1][1], low(4000) + items[1][1]]
+    got = {(t, i): d for t, i, d, *_ in index.search([D.normal(t) for t in texts])}
+    assert got == {(0, 1): 0, (1, 2): 0, (2, 2): 16, (3, 3): 0, (5, 2): 0, (6, 2): 0}
+
+
 def test_license_scan(spark):
     a, b = "x a b c y d".split(), "a b z c d".split()
     assert [a[i] for i, _ in LS.align(a, b)] == ["a", "b", "c", "d"]
