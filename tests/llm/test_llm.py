@@ -340,6 +340,18 @@ def test_leaks_in_text_without_spaces():
     assert got == {(0, 1): 0, (1, 2): 0, (2, 2): 16, (3, 3): 0, (5, 2): 0, (6, 2): 0}
 
 
+def test_leaks_that_sampling_misses():
+    """The head replaced, or a word that starts near the item but not at it."""
+    rng = random.Random(13)
+    low = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(i, low(1000 + 200 * i)) for i in range(4)]
+    docs = [low(3000) + " " + low(9 * len(t) // 100) + t[9 * len(t) // 100 :] + low(500) for _, t in items]
+    docs += [low(500) + " " + low(60) + t + low(500) for _, t in items]
+    got = {(t, i): d for t, i, d, *_ in D.ItemIndex(items).search([D.normal(x) for x in docs])}
+    assert set(got) == {(t, t % 4) for t in range(8)}
+    assert all(0 < got[t, t] <= len(items[t][1]) // 10 and got[t + 4, t] == 0 for t in range(4))
+
+
 def test_license_scan(spark):
     a, b = "x a b c y d".split(), "a b z c d".split()
     assert [a[i] for i, _ in LS.align(a, b)] == ["a", "b", "c", "d"]
