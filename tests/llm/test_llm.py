@@ -247,6 +247,21 @@ def test_cross_parsing(spark):
     assert L.identify(docs.limit(0), L.learn(docs.limit(0), "lang", "text")).count() == 0
 
 
+def test_language_samples_fill_up(spark):
+    """One text copied 30,000 times beside 500 others, an ordinary language, a scarce one."""
+    rng = random.Random(14)
+    vocab = {lang: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)] for lang in ("aa", "bb", "cc")}
+    say = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    rows = [("aa", say("aa", 150)) for _ in range(500)] + [("bb", say("bb", 150)) for _ in range(400)] + [("cc", say("cc", 20)) for _ in range(3)]
+    copies = spark.range(30_000).select(F.lit("aa").alias("lang"), F.lit(say("aa", 150)).alias("text"))
+    docs = spark.createDataFrame(rows, "lang string, text string").unionByName(copies)
+    p = L.learn(docs, "lang", "text")
+    assert p.langs == ["aa", "bb", "cc"]
+    states = dict(zip(p.langs, (np.diff([-1, *p.roots]) - 1).tolist()))
+    assert states["aa"] > 24_000 and states["bb"] > 24_000 and 100 < states["cc"] < 2000
+    assert p.predict([say(lang, 60) for lang in p.langs])[0] == p.langs
+
+
 def test_rollup(spark, tmp_path):
     store = TR.RollupStore(spark, str(tmp_path / "r"))
     assert store.totals().count() == 0
