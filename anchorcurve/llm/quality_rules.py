@@ -97,15 +97,16 @@ def describe(rules: list[Rule]) -> str:
     return "; ".join("reject if " + " and ".join(f"{n} {o} {a:.4g}" for n, o, a in r) for r in rules) or "keep all"
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", learn: str | None = None) -> tuple[DataFrame, list[Rule]]:
+def apply_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", learn: str | None = None, common_sample: int = 1000) -> tuple[DataFrame, list[Rule]]:
     """Per document: id, BASE and SHAPE statistics, base_failed, kept; and the rules.
 
-    Rules are learned from at most ``sample`` labelled documents (label 0: reject), those of least xxhash64(id).
+    Rules are learned from at most ``sample`` labelled documents (label 0: reject), those of least xxhash64(id);
+    the common words come from the first ``common_sample`` of them.  Every document is judged on its whole text.
     Null or empty texts have no words and so fail the base rule.  Without usable labels only the base rule holds.
     Repeated rows are judged each for itself; an empty table gives no rows; other columns don't matter.
     """
     picked = T.labelled_sample(docs, labels, label, sample, id_col, text_col, learn)
-    common = T.common_words(picked.orderBy(F.xxhash64("id"), "id").limit(1000), "text")
+    common = T.common_words(picked.orderBy(F.xxhash64("id"), "id").limit(common_sample), "text")
     rows = T.with_statistics(picked.withColumnRenamed("y", "_y"), "id", "text", common).join(F.broadcast(picked.select("id", "y").distinct()), "id").orderBy(F.xxhash64("id"), "id").select("y", *T.SHAPE).toPandas()
     rules = learn_list({k: rows[k].to_numpy(float) for k in T.SHAPE}, (rows["y"] == 0).to_numpy()) if len(rows) else []
     out = T.with_statistics(docs, id_col, text_col, common)

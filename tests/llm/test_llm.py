@@ -179,6 +179,17 @@ def test_quality_ranking(spark):
     assert {round(r.score, 6) for r in alone.limit(5).collect()} == {0.3}
 
 
+def test_quality_bounds_are_parameters(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    seen, words, fit = [], QR.T.common_words, QR.fit
+    monkeypatch.setattr(QR.T, "common_words", lambda df, *a: seen.append(df.count()) or words(df, *a))
+    monkeypatch.setattr(QR, "fit", lambda names, x, y, pairs=None, **k: seen.append(pairs) or fit(names, x, y, pairs, **k))
+    QU.apply_rules(docs, labels, common_sample=40)
+    QR.score_quality(docs, labels, common_sample=30, pairs=500)
+    QR.score_quality(docs, labels)
+    assert seen[:3] == [40, 30, 500] and seen[3] > 40 and seen[4] == 20_000
+
+
 def test_fills_are_best():
     rng = random.Random(3)
     for _ in range(60):
