@@ -144,6 +144,10 @@ def subset_profile_dup(spark, sf_dir):
     return P.subset_profile(event_hits(spark, sf_dir), m.unionAll(m), 120, "purchase", bin_size=1800)
 
 
+def _names(spark, sf_dir) -> list[str]:
+    return sorted(r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())
+
+
 def _islands(op: str, src: str) -> str:
     return f"""i AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {src}),
 g AS (SELECT *, sum(CASE WHEN pe IS NULL OR start {op} pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end") AS n FROM i)"""
@@ -159,22 +163,37 @@ _WIN = f"""{HITS}, win AS (SELECT DISTINCT motif_idx AS name, chrom, greatest(0,
 {_islands(">=", "win")}, loci AS (SELECT chrom, min(start) AS start, max("end") AS "end", list_sort(list(DISTINCT name)) AS members FROM g GROUP BY chrom, n)"""
 
 
-def _loci(spark, sf_dir):
-    h = event_hits(spark, sf_dir).where("score > 15000").select(F.col("motif_idx").alias("name"), "chrom", F.col("center_pos").alias("start"), F.col("center_pos").alias("end"))
+def _loci(spark, sf_dir, above: int = 2000):
+    """Of hits above ``above``; hits are those above 2000."""
+    h = event_hits(spark, sf_dir).where(F.col("score") > above).select(F.col("motif_idx").alias("name"), "chrom", F.col("center_pos").alias("start"), F.col("center_pos").alias("end"))
     return I.union_loci(I.center_windows(h, 400).distinct())
 
 
 @query(f"WITH {_WIN} SELECT chrom, start, \"end\", array_to_string(members, ',') AS members FROM loci")
 def union_loci(spark, sf_dir):
-    """Union loci of named, centred windows."""
-    return _loci(spark, sf_dir).withColumn("members", F.array_join("members", ","))
+    """Union loci of named, centred windows around strong hits (above 15000)."""
+    return _loci(spark, sf_dir, 15000).withColumn("members", F.array_join("members", ","))
 
 
 @query(f"WITH {_WIN}, n AS (SELECT DISTINCT name FROM win) SELECT a.name || '__minus__' || b.name AS subset_id, chrom, start, \"end\" FROM loci, n a, n b WHERE a.name != b.name AND list_contains(members, a.name) AND NOT list_contains(members, b.name)")
 def set_difference(spark, sf_dir):
-    """Loci of A without B, for all ordered pairs of sets."""
-    names = sorted(r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())
-    return I.set_differences(_loci(spark, sf_dir), names)
+    """Loci of A without B, for all ordered pairs of sets, from strong hits (above 15000)."""
+    return I.set_differences(_loci(spark, sf_dir, 15000), _names(spark, sf_dir))
+
+
+_WIN_ALL = _WIN.replace(" WHERE score > 15000", "")
+
+
+@query(f"WITH {_WIN_ALL} SELECT chrom, start, \"end\", array_to_string(members, ',') AS members FROM loci")
+def union_loci_all(spark, sf_dir):
+    """Union loci around all hits."""
+    return _loci(spark, sf_dir).withColumn("members", F.array_join("members", ","))
+
+
+@query(f"WITH {_WIN_ALL}, n AS (SELECT DISTINCT name FROM win) SELECT a.name || '__minus__' || b.name AS subset_id, chrom, start, \"end\" FROM loci, n a, n b WHERE a.name != b.name AND list_contains(members, a.name) AND NOT list_contains(members, b.name)")
+def set_difference_all(spark, sf_dir):
+    """Loci of A without B, for all ordered pairs of sets, from all hits."""
+    return I.set_differences(_loci(spark, sf_dir), _names(spark, sf_dir))
 
 
 @query(f"WITH {HITS}, s AS (SELECT chrom, max(center_pos) - min(center_pos) + 1 AS size FROM h GROUP BY chrom) SELECT chrom, CAST(start AS BIGINT) AS start, CAST(least(start + 3600, size) AS BIGINT) AS \"end\" FROM s, unnest(range(0, size, 3600)) AS u(start)")
@@ -230,9 +249,20 @@ def hit_counts(spark, sf_dir):
 
 @query(f"WITH {SCORES} SELECT interval_id, CAST(motif_idx AS INT) AS motif_idx, CAST(strand AS INT) AS strand, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p ELSE n + 2 - p - 3 END AS BIGINT) AS start_pos, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p + 1 ELSE n + 2 - 1 - p - 1 END AS BIGINT) AS center_pos, CAST(score AS BIGINT) AS score FROM hs WHERE score >= 4")
 def hit_positions(spark, sf_dir):
-    """Genomic coordinates of strong hits of both strands; an interval begins at 1000 times its number."""
+    """Genomic coordinates of strong hits (score 4 or more) of both strands; an interval begins at 1000 times its number."""
+    return _positions(spark, sf_dir, 4)
+
+
+@query()
+def hit_positions_all(spark, sf_dir):
+    """The same of all hits above their motif's threshold."""
+    return _positions(spark, sf_dir)
+
+
+def _positions(spark, sf_dir, min_score: float | None = None):
     seqs = sequences(spark, sf_dir).select("interval_id", "seq", F.lit("c").alias("chrom"), (F.col("interval_id") * 1000).alias("start"), F.length("seq").alias("length"))
-    found = S.hits(S.scan_arrow(strands(spark, sf_dir), motifs(), 0.0), motifs()).where("score >= 4")
+    found = S.hits(S.scan_arrow(strands(spark, sf_dir), motifs(), 0.0), motifs())
+    found = found if min_score is None else found.where(F.col("score") >= min_score)
     return _whole(S.hit_positions(found, seqs, motifs()), "score").drop("chrom")
 
 

@@ -287,3 +287,34 @@ def test_sequence_queries_scan_whole_texts(spark, tmp_path):
         order = [want.columns.index(c) for c in cols]
         rows = sorted(str(tuple(r)) for r in df.select(cols).collect())
         assert rows and rows == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall()), name
+
+
+def test_queries_of_all_hits(spark, tmp_path):
+    """The _all queries against their SQL, or the strong ones' SQL without its floor; the strong ones are part of them."""
+    import duckdb
+
+    from anchorcurve import queries as Q
+
+    rng = np.random.default_rng(8)
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, "".join(rng.choice(list("acgt "), 700))) for i in range(3)], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    at = np.sort(rng.integers(0, 60_000, 80)).tolist()
+    events = [(int(u), "abc"[int(k)], int(t), float(v)) for u, k, t, v in zip(rng.integers(0, 4, 80), rng.integers(0, 3, 80), at, rng.integers(1, 300, 80))]
+    df = spark.createDataFrame(events, "user_id long, event_type string, t long, value double")
+    df.select("user_id", "event_type", F.expr("cast(timestamp_seconds(t) as timestamp_ntz)").alias("ts"), "value").write.parquet(f"{sf}/events.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'")
+    con.sql("create table customer (c_custkey bigint, c_mktsegment varchar)")
+    out = {}
+    for name in ("hit_positions", "union_loci", "set_difference"):
+        got = Q.Q[f"{name}_all"](spark, sf)
+        sql = Q.O.get(f"{name}_all") or Q.O[name].replace("'g'), 1, 400)", "'g'), 1)").replace(" WHERE score >= 4", "")
+        want = con.sql(sql)
+        cols = sorted(got.columns)
+        order = [want.columns.index(c) for c in cols]
+        out[name] = sorted(str(tuple(r)) for r in got.select(cols).collect())
+        assert out[name] and out[name] == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall()), name
+    hits, strong = Q.Q["hit_positions_all"](spark, sf), Q.Q["hit_positions"](spark, sf)
+    assert {r.score for r in hits.select("score").distinct().collect()} == {2, 3, 4}
+    assert strong.count() and not strong.exceptAll(hits).count() and not hits.where("score >= 4").exceptAll(strong).count()
