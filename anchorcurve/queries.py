@@ -3,9 +3,6 @@
 Events stand for hits (chromosome: user_id mod 10; place: seconds; motif: event_type; score: cents), documents for
 sequences (all their letters a, c, g, t), customers' segments for subsets.  Scores and kernel weights are whole
 numbers, so sums are exact in any order.
-
-The SQL of the sequence queries (SCORES) still scans only the first 400 letters of a document: there it differs from
-the queries, which scan whole texts.  The tests compare these with the same SQL without that cut.
 """
 
 from __future__ import annotations
@@ -81,7 +78,7 @@ reg AS (SELECT chrom, center_pos - 900 AS start, center_pos + 900 AS "end", user
 mem AS (SELECT c_mktsegment AS subset_id, chrom, start, "end" FROM reg JOIN customer ON c_custkey = user_id)"""
 SCORES = f"""k(motif_idx, off, base, w) AS (VALUES {", ".join(map(str, CELLS))}),
 t(motif_idx, thr) AS (VALUES {", ".join(str((i, x)) for i, x in enumerate(THRESHOLDS))}),
-d AS (SELECT doc_id, upper(substr(regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g'), 1, 400)) AS s FROM documents),
+d AS (SELECT doc_id, upper(regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g')) AS s FROM documents),
 seq AS (SELECT doc_id AS interval_id, 0 AS strand, s FROM d UNION ALL SELECT doc_id, 1, translate(reverse(s), 'ACGT', 'TGCA') FROM d),
 pos AS (SELECT interval_id, strand, length(s) - 2 AS n, p, s FROM seq, unnest(range(0, greatest(length(s) - 2, 0))) AS u(p)),
 sc AS (SELECT interval_id, strand, n, motif_idx, p, greatest(0, sum(CASE WHEN substr(s, CAST(p + off + 1 AS INT), 1) = base THEN w ELSE 0 END)) AS score FROM pos, k GROUP BY ALL),
@@ -247,13 +244,16 @@ def hit_counts(spark, sf_dir):
     return S.hit_counts(S.scan_arrow(strands(spark, sf_dir), motifs(), 0.0), motifs())
 
 
-@query(f"WITH {SCORES} SELECT interval_id, CAST(motif_idx AS INT) AS motif_idx, CAST(strand AS INT) AS strand, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p ELSE n + 2 - p - 3 END AS BIGINT) AS start_pos, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p + 1 ELSE n + 2 - 1 - p - 1 END AS BIGINT) AS center_pos, CAST(score AS BIGINT) AS score FROM hs WHERE score >= 4")
+_POSITIONS = f"WITH {SCORES} SELECT interval_id, CAST(motif_idx AS INT) AS motif_idx, CAST(strand AS INT) AS strand, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p ELSE n + 2 - p - 3 END AS BIGINT) AS start_pos, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p + 1 ELSE n + 2 - 1 - p - 1 END AS BIGINT) AS center_pos, CAST(score AS BIGINT) AS score FROM hs"
+
+
+@query(_POSITIONS + " WHERE score >= 4")
 def hit_positions(spark, sf_dir):
     """Genomic coordinates of strong hits (score 4 or more) of both strands; an interval begins at 1000 times its number."""
     return _positions(spark, sf_dir, 4)
 
 
-@query()
+@query(_POSITIONS)
 def hit_positions_all(spark, sf_dir):
     """The same of all hits above their motif's threshold."""
     return _positions(spark, sf_dir)
@@ -280,7 +280,7 @@ def sum_hit_per_region(spark, sf_dir):
 
 
 def _dense(where: str, w: int, dims: str) -> str:
-    return f"WITH {SCORES} SELECT {dims}, CAST(b.p - a.p AS BIGINT) AS rel, CAST(sum(b.score) AS BIGINT) AS value FROM hs a JOIN sc b ON a.interval_id = b.interval_id AND a.strand = b.strand AND b.p BETWEEN a.p - {w} AND a.p + {w} WHERE b.score != 0 AND a.n >= {2 * w + 1} AND a.p >= {w} AND a.p < a.n - {w} {where} GROUP BY ALL"
+    return f"WITH {SCORES}, nz AS (SELECT * FROM sc WHERE score != 0), a AS (SELECT a.*, r FROM hs a, unnest(range(-{w}, {w + 1})) AS u(r) WHERE a.n >= {2 * w + 1} AND a.p >= {w} AND a.p < a.n - {w} {where}) SELECT {dims}, CAST(r AS BIGINT) AS rel, CAST(sum(b.score) AS BIGINT) AS value FROM a JOIN nz b ON a.interval_id = b.interval_id AND a.strand = b.strand AND b.p = a.p + r GROUP BY ALL"
 
 
 @query(_dense("AND a.motif_idx = 0", 20, "CAST(b.motif_idx AS BIGINT) AS motif_idx"))
@@ -334,7 +334,7 @@ def signal_profile_2d(spark, sf_dir):
     return _signal(spark, sf_dir, 3)
 
 
-@query(f"WITH {SCORES} SELECT CAST(b.motif_idx AS INT) AS motif_idx, CAST(sum(b.score) AS BIGINT) AS value FROM hs a JOIN sc b ON a.interval_id = b.interval_id AND a.strand = b.strand AND b.p BETWEEN a.p - 20 AND a.p + 20 WHERE a.motif_idx = 0 AND a.n >= 41 AND a.p >= 20 AND a.p < a.n - 20 GROUP BY ALL")
+@query(f"WITH {SCORES} SELECT CAST(b.motif_idx AS INT) AS motif_idx, CAST(sum(b.score) AS BIGINT) AS value FROM (SELECT hs.*, r FROM hs, unnest(range(-20, 21)) AS u(r) WHERE motif_idx = 0 AND n >= 41 AND p >= 20 AND p < n - 20) a JOIN sc b ON a.interval_id = b.interval_id AND a.strand = b.strand AND b.p = a.p + r GROUP BY ALL")
 def window_sum_prefix(spark, sf_dir):
     """Whole-window sums by running sums."""
     m, st = motifs(), strands(spark, sf_dir)

@@ -265,7 +265,7 @@ def test_registered_queries_match_duckdb(spark):
 
 
 def test_sequence_queries_scan_whole_texts(spark, tmp_path):
-    """All 13 against their SQL without its cut at 400 letters, and counts of places by hand."""
+    """All 13 against their SQL, and counts of places by hand."""
     import duckdb
 
     from anchorcurve import queries as Q
@@ -281,8 +281,7 @@ def test_sequence_queries_scan_whole_texts(spark, tmp_path):
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     names = "scan_scores scan_scores_arrow hit_counts hit_positions max_hit_per_region sum_hit_per_region dense_one_to_all dense_one_to_all_sql dense_all_to_all base_composition signal_profile signal_profile_2d window_sum_prefix".split()
     for name in names:
-        sql = Q.O[name].replace("'g'), 1, 400)", "'g'), 1)")
-        df, want = Q.Q[name](spark, str(tmp_path)), con.sql(sql)
+        df, want = Q.Q[name](spark, str(tmp_path)), con.sql(Q.O[name])
         cols = sorted(df.columns)
         order = [want.columns.index(c) for c in cols]
         rows = sorted(str(tuple(r)) for r in df.select(cols).collect())
@@ -290,7 +289,7 @@ def test_sequence_queries_scan_whole_texts(spark, tmp_path):
 
 
 def test_queries_of_all_hits(spark, tmp_path):
-    """The _all queries against their SQL, or the strong ones' SQL without its floor; the strong ones are part of them."""
+    """The _all queries against their SQL; the strong ones are part of them."""
     import duckdb
 
     from anchorcurve import queries as Q
@@ -309,8 +308,7 @@ def test_queries_of_all_hits(spark, tmp_path):
     out = {}
     for name in ("hit_positions", "union_loci", "set_difference"):
         got = Q.Q[f"{name}_all"](spark, sf)
-        sql = Q.O.get(f"{name}_all") or Q.O[name].replace("'g'), 1, 400)", "'g'), 1)").replace(" WHERE score >= 4", "")
-        want = con.sql(sql)
+        want = con.sql(Q.O[f"{name}_all"])
         cols = sorted(got.columns)
         order = [want.columns.index(c) for c in cols]
         out[name] = sorted(str(tuple(r)) for r in got.select(cols).collect())
