@@ -1,7 +1,7 @@
 """What the operators share: shared-folder tables, document shards, key exchange, byte-level hashing.
 
-Shards.  A document belongs to shard ``pmod(xxhash64(doc_id), S)``; S follows the number of input
-partitions, so a shard stays a few tens of MB at any input size and no key of the data can make one hot.
+Shards.  A document belongs to shard ``pmod(xxhash64(doc_id), S)``; S follows the bytes and rows of the texts,
+so a shard stays a few tens of MB at any input size and split and no key of the data can make one hot.
 
 Key exchange.  "Which of my keys also occur elsewhere?" is answered without sending documents anywhere:
 each shard sends its *distinct* 64-bit keys, sorted, delta-coded and zstd-packed, to buckets; a bucket
@@ -11,60 +11,30 @@ per shard, so nothing grows with a key's document count.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN_ROOT: list[str] = []
+from ..sources.folders import cut, discard, new_path, shared_root  # noqa: F401
+
 U64 = np.uint64
 MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append(tempfile.mkdtemp(prefix="anchorcurve-"))
-    return _OWN_ROOT[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, lost executors don't matter."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._anchorcurve_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a frame that cut() made, once nothing needs it."""
-    path = getattr(df, "_anchorcurve_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def input_parts(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
 
 
-def n_shards(df: DataFrame, per_part: float = 2.0) -> int:
-    """Shards for df: per_part for each input partition, 8 at least."""
-    return max(8, int(per_part * input_parts(df)))
+#: Bytes of text and documents that a shard holds on average: what a task keeps is a few tens of MB.
+SHARD_BYTES, SHARD_ROWS = 8_000_000, 40_000
+
+
+def n_shards(df: DataFrame, text_col: str) -> int:
+    """Shards for df by its texts' bytes and its rows, however its files are split.  Reads the one column once."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    return max(8, -(-size.b // SHARD_BYTES), -(-size.n // SHARD_ROWS))
 
 
 def n_buckets(shards: int, most: int = 20_000) -> int:

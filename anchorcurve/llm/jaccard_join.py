@@ -385,7 +385,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, block: int = 2048, id_col
     node.  A row whose id is null gets a null component.  An empty table gives no rows; other columns don't matter.
     Links are counted over 64-bit shingle hashes.
     """
-    shards = shards or C.n_shards(docs)
+    shards = shards or C.n_shards(docs, text_col)
     found = C.cut(_survivors(docs, size, shards, id_col, text_col), "found")
     live = found.where("digest is not null")
     classes = C.cut(live.groupBy("digest").agg(F.min("id").alias("rep")), "classes")

@@ -202,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | No
     An empty table gives no rows; other columns don't matter.  sequence_id starts at 0 without gaps.
     """
     spark = docs.sparkSession
-    salts = salts or C.n_shards(docs)
+    salts = salts or max(8, 2 * C.input_parts(docs))
     cut = C.cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     rows = cut.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(salts)).cast("int"))
     # At most capacity x salts rows, and capacity of them to the driver.

@@ -101,13 +101,13 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     """Per document: id, BASE and SHAPE statistics, base_failed, kept; and the rules.
 
     Rules are learned from at most ``sample`` labelled documents (label 0: reject), those of least xxhash64(id);
-    the common words come from the first ``common_sample`` of them.  Every document is judged on its whole text.
+    the common words come from the first ``common_sample`` ids of them.  Every document is judged on its whole text.
     Null or empty texts have no words and so fail the base rule.  Without usable labels only the base rule holds.
-    Repeated rows are judged each for itself; an empty table gives no rows; other columns don't matter.
+    An id with several labels has the greatest.  Repeated rows are judged each for itself and learned from once; very
+    long texts are read whole, in one task's memory; an empty table gives no rows; other columns don't matter, whatever
+    their names.  Ties between conditions go to the first name and the least threshold.
     """
-    picked = T.labelled_sample(docs, labels, label, sample, id_col, text_col, learn)
-    common = T.common_words(picked.orderBy(F.xxhash64("id"), "id").limit(common_sample), "text")
-    rows = T.with_statistics(picked.withColumnRenamed("y", "_y"), "id", "text", common).join(F.broadcast(picked.select("id", "y").distinct()), "id").orderBy(F.xxhash64("id"), "id").select("y", *T.SHAPE).toPandas()
+    rows, common = T.learning_rows(docs, labels, label, sample, id_col, text_col, learn, common_sample)
     rules = learn_list({k: rows[k].to_numpy(float) for k in T.SHAPE}, (rows["y"] == 0).to_numpy()) if len(rows) else []
     out = T.with_statistics(docs, id_col, text_col, common)
     out = out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))

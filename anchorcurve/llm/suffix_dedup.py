@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     empty; documents shorter than ``length`` bytes stay whole; rows of one id never remove each other; a row whose
     id is null stays whole and removes nothing; an empty table gives no rows.  Other columns travel in rec only.
     """
-    shards = shards or C.n_shards(docs)
+    shards = shards or C.n_shards(docs, text_col)
     buckets = C.n_buckets(shards)
     base = C.sharded(docs, shards, id_col, text_col, keep_row)
 

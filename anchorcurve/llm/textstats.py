@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -122,42 +123,82 @@ def _short(own, h, starts, doc, ends) -> np.ndarray:
     return (starts[e] - np.where(s > 0, starts[s - 1], 0) <= 3).astype(float)
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray | None = None) -> DataFrame:
-    """id, BASE counts and, with common, SHAPE of every document, in one pass without a shuffle."""
+def with_statistics(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray | None = None, keep: str = "") -> DataFrame:
+    """id, BASE counts and, with common, SHAPE of every document, in one pass without a shuffle.
+
+    keep: a long column of docs that is handed on.
+    """
     names = BASE + (SHAPE if common is not None else [])
     kinds = {k: pa.int64() if k in BASE else pa.float64() for k in names}
+    own = ["id", *([keep] if keep else [])]
 
     def fn(batches):
         for b in batches:
             o, data = C.text_bytes(b.column("text"))
             parts = list(statistics(data, o, common))
             cols = [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], kinds[k]) for k in names]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], *cols], [*own, *names])
+
+    schema = ", ".join([f"{c} long" for c in own] + [f"{k} {'long' if k in BASE else 'double'}" for k in names])
+    return docs.select(F.col(id_col).cast("long").alias("id"), *([F.col(keep).cast("long").alias(keep)] if keep else []), F.col(text_col).cast("string").alias("text")).mapInArrow(fn, schema)
 
-    schema = "id long, " + ", ".join(f"{k} {'long' if k in BASE else 'double'}" for k in names)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(fn, schema)
+
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, learn: str | None, common_sample: int):
+    """(rows, common): y and SHAPE of at most ``most`` labelled documents as a pandas frame in the order of the sample,
+    one row for each id (of repeated rows the least), and the common words of the first ``common_sample`` ids."""
+    picked = labelled_sample(docs, labels, label, most, id_col, text_col, learn)
+    common = common_words(picked.where(F.col("place") <= common_sample), "text")
+    place = picked.where("y in (0, 1)").select("id", "text", (F.col("place") * 2 + F.when(F.col("y") == 1, 1).otherwise(0)).alias("key"))
+    rows = with_statistics(place, "id", "text", common, "key").groupBy("key").agg(F.min(F.struct(*SHAPE)).alias("x"))
+    rows = rows.select((F.col("key") % 2).cast("int").alias("y"), "key", "x.*").toPandas().sort_values("key")
+    return rows, common
 
 
 def common_words(docs: DataFrame, text_col: str, most: int = 64) -> np.ndarray:
-    """Sorted hashes of the words that most documents of a bounded sample hold; the sample comes to the driver."""
-    held: dict[int, int] = {}
-    for (text,) in docs.select(F.col(text_col).cast("string")).collect():
-        b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        h, _ = C.word_hashes(b, np.array([len(b)]), fold=False)
-        for w in np.unique(h).tolist():
-            held[w] = held.get(w, 0) + 1
-    best = sorted(held, key=lambda w: (-held[w], w))[:most]
-    return np.array(sorted(best), U64)
+    """Sorted hashes of the words that most documents of a bounded sample hold.
 
+    Words are counted in the tasks; ``most`` rows come to the driver.  Repeated rows count each.
+    """
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, learn: str | None = None) -> DataFrame:
-    """id, text, y of at most ``most`` labelled documents, those of least xxhash64(id).  learn: SQL condition on id.
+    def fn(batches):
+        for b in batches:
+            o, data = C.text_bytes(b.column("text"))
+            held: dict[int, int] = {}
+            for s, e in zip(o[:-1].tolist(), o[1:].tolist()):
+                h, _ = C.word_hashes(data[s:e], np.array([e - s]), fold=False)
+                for w in np.unique(h).view(np.int64).tolist():
+                    held[w] = held.get(w, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["word", "held"])
 
-    The ids (at most ``most`` of 16 bytes) are the one broadcast.
+    words = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(fn, "word long, held long")
+    best = words.groupBy("word").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "word").limit(most).collect()
+    return np.sort(np.array([r.word for r in best], np.int64).view(U64))
+
+
+def sampled_ids(labels: DataFrame, label: str, most: int, id_col: str, learn: str | None = None) -> DataFrame:
+    """id, y, place of at most ``most`` labelled ids, those of least xxhash64(id); place is that order's rank, from 1.
+
+    learn: SQL condition on id.  An id with several labels has the greatest.  The ids are thinned by hash, to about
+    ``most`` by their count, before they are sorted: what tasks send to the driver does not grow with the labels.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     if learn:
         ids = ids.where(learn)
-    ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
+    ids = ids.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
+    # 30 % and 1,000 more than wanted are expected below the bound: far beyond any chance shortfall.
+    share = (1.3 * most + 1000) / max(1, ids.count())
+    if share < 1:
+        ids = ids.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
+    rank = F.row_number().over(Window.orderBy("h", "id"))
+    return ids.orderBy("h", "id").limit(most).select("id", "y", rank.cast("int").alias("place"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, learn: str | None = None) -> DataFrame:
+    """id, text, y, place of at most ``most`` labelled documents (see sampled_ids).
+
+    The ids (at most ``most`` of 16 bytes) are the one broadcast, read back from the shared folder, so no later use
+    draws them again.
+    """
+    ids = C.cut(sampled_ids(labels, label, most, id_col, learn).coalesce(1), "sample")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.join(F.broadcast(ids), "id")

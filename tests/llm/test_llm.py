@@ -183,11 +183,39 @@ def test_quality_bounds_are_parameters(spark, monkeypatch):
     docs, labels = labelled(spark)
     seen, words, fit = [], QR.T.common_words, QR.fit
     monkeypatch.setattr(QR.T, "common_words", lambda df, *a: seen.append(df.count()) or words(df, *a))
-    monkeypatch.setattr(QR, "fit", lambda names, x, y, pairs=None, **k: seen.append(pairs) or fit(names, x, y, pairs, **k))
+    monkeypatch.setattr(QR, "fit", lambda names, x, y, pairs=None, **k: seen.append((len(x), pairs)) or fit(names, x, y, pairs, **k))
     QU.apply_rules(docs, labels, common_sample=40)
-    QR.score_quality(docs, labels, common_sample=30, pairs=500)
+    QR.score_quality(docs, labels, common_sample=30, pairs=500, sample=100)
     QR.score_quality(docs, labels)
-    assert seen[:3] == [40, 30, 500] and seen[3] > 40 and seen[4] == 20_000
+    assert seen[:3] == [40, 30, (100, 500)] and seen[3] > 40 and seen[4] == (240, 20_000)
+
+
+def test_sampled_ids(spark):
+    """Thinned by hash before the sort, with the same result; of several labels the greatest."""
+    rows = spark.range(30_000).selectExpr("id doc_id", "cast(id % 2 as int) quality").unionByName(spark.createDataFrame([(4, 1), (None, 1), (6, None)], "doc_id long, quality int"))
+    got = QU.T.sampled_ids(rows, "quality", 500, "doc_id").collect()
+    want = rows.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(500).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == [r.doc_id for r in want] and {r.place for r in got} == set(range(1, 501))
+    assert all(r.y == (r.id % 2 if r.id != 4 else 1) for r in got)
+
+
+def test_common_words(spark):
+    df = spark.createDataFrame([("a b a",), ("b c",), ("b\tc d",), (None,), ("",)], "text string")
+    h = lambda w: QU.T.C.word_hashes(np.frombuffer(w, np.uint8), np.array([len(w)]), False)[0].tolist()
+    assert QU.T.common_words(df, "text", 2).tolist() == sorted(h(b"b") + h(b"c"))
+    assert len(QU.T.common_words(df.limit(0), "text")) == 0
+
+
+def test_quality_edge_rows(spark):
+    """Clashing names, repeated rows, a very long text, one whose id is null."""
+    docs, labels = labelled(spark)
+    ugly = docs.union(docs.where("doc_id = 5")).union(spark.createDataFrame([(2000, "word " * 300_000), (None, "x y")], "doc_id long, text string"))
+    for c in ("id", "y", "place", "key", "score", "kept", "h"):
+        ugly = ugly.withColumn(c, F.lit("clash"))
+    for out in (QU.apply_rules(ugly, labels)[0], QR.score_quality(ugly, labels)[0]):
+        rows = out.collect()
+        assert len(rows) == 240 + len(texts()) + 3 and len({tuple(r) for r in rows if r.id == 5}) == 1
+        assert next(r for r in rows if r.id == 2000).n_words == 300_000 and sum(r.id is None for r in rows) == 1
 
 
 def test_fills_are_best():
@@ -239,23 +267,67 @@ def test_packing_round_trip(spark):
     assert PK.pack(empty(spark), path).count() == 0
 
 
-def test_cross_parsing(spark):
+def naive_phrases(sample, text):
+    """Longest matches by substring search, from left to right; a letter that the sample lacks is a phrase by itself."""
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample and text[i:j] in sample:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+def test_cross_parsing_is_exact():
+    """Against longest matches by substring search: across segments, with rare letters, periodic and long texts."""
     rng = random.Random(9)
-    a = L.Automaton([rng.randint(0, 2) for _ in range(60)])
-    sample = {"aa": "the cat and the dog sat on the mat again and again", "bb": "der hund und die katze sassen auf der matte"}
-    p = L.CrossParser(sample)
-    for t in ["the dog and zebra", "und die matte", "x", "qqq the"]:
-        s = p.symbols(t)
-        got, size, _ = p.parse([t])
-        assert size[0] == len(s)
-        assert got[:, 0].tolist() == [L.Automaton(p.symbols(sample[k])).phrases(s) for k in p.langs]
-    assert a.phrases([9]) == 1
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    han = "".join(chr(0x4E00 + k) for k in range(300))
+    samples = {"ab": say("ab ", 900), "han": say(han, 2500) + "aaaaaaaaaaaaaaaaaaaa", "long": "the quick brown fox jumps over the lazy dog " * 3 + say("abcdefghijklmnopqrstuvwxyz ", 600), "nil": "ü"}
+    p = L.CrossParser(samples)
+    clean = {k: L.normal(v) for k, v in samples.items()}
+    assert [t.states <= 2 * len(clean[k]) for k, t in zip(p.langs, p.tables)] == [True] * 4
+    texts = [say("ab ", 1000), samples["ab"] * 3, "a" * 5000, say(han, 700) + " " + say("abz", 300), samples["han"], "the quick brown fox " * 60, say("xyz é", 400), "b", "", None, "12 !", "Ü" * 300, samples["long"][100:]]
+    rounds = L.ROUNDS
+    for L.ROUNDS in (rounds, 0):
+        got, size, letters = p.parse(texts)
+        for k, t in enumerate(texts):
+            t = L.normal(t or "").lstrip()
+            assert size[k] == len(t) and letters[k] == sum(c != " " for c in t)
+            assert got[:, k].tolist() == [naive_phrases(clean[lang], t) for lang in p.langs], (k, L.ROUNDS)
+
+
+def test_many_languages_stay_small():
+    """Fifty languages, one of thousands of letters: tables grow with the samples alone."""
+    rng = random.Random(5)
+    samples = {f"l{k:02}": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000)) for k in range(49)}
+    samples["zh"] = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(6000))
+    p = L.CrossParser(samples)
+    assert sum(t.table.nbytes + t.keys.nbytes + t.to.nbytes + t.root.nbytes for t in p.tables) < 80 * sum(map(len, samples.values())) + 50 * 40_000
+    assert p.predict([samples["zh"][100:200], samples["l07"][50:200]])[0] == ["zh", "l07"]
+
+
+def test_language_id(spark):
     rows = [(i, "the cat sat on the mat and the dog too" if i % 2 else "der hund sass auf der matte und die katze auch", "aa" if i % 2 else "bb") for i in range(60)]
-    docs = spark.createDataFrame([*rows, (100, None, "aa"), (101, "", None), (102, "12 !?", "bb"), (103, "the cat " * 3000, None)], "doc_id long, text string, lang string")
-    got = {r.id: r for r in L.identify(docs, L.learn(docs.where("doc_id % 3 != 0"), "lang", "text")).collect()}
-    assert all(got[i].lang_pred == lang for i, _, lang in rows) and got[103].lang_pred == "aa"
+    docs = spark.createDataFrame([*rows, (100, None, "aa"), (101, "", None), (102, "12 !?", "bb"), (103, "the cat " * 30_000, None), (1, rows[1][1], "bb"), (None, "the dog", None)], "doc_id long, text string, lang string")
+    for c in ("id", "lang_pred", "score", "h", "count"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = L.identify(docs, L.learn(docs.where("doc_id % 3 != 0"), "lang", "text")).collect()
+    got = {r.id: r for r in out}
+    assert len(out) == 66 and all(got[i].lang_pred == lang for i, _, lang in rows) and got[103].lang_pred == "aa" and got[None].lang_pred == "aa"
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
-    assert L.identify(docs.limit(0), L.learn(docs.limit(0), "lang", "text")).count() == 0
+    none = L.learn(docs.limit(0), "lang", "text")
+    assert L.identify(docs.limit(0), none).count() == 0 and {r.lang_pred for r in L.identify(docs, none).collect()} == {"und"}
+
+
+def test_registered_language_id(spark):
+    """The query's columns, held-out rows and accuracy on them."""
+    sf = "/root/testdata/sf0.001"
+    rows = Q.op6_language_id(spark, sf).collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(rows) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
 def test_language_samples_fill_up(spark):
@@ -268,7 +340,7 @@ def test_language_samples_fill_up(spark):
     docs = spark.createDataFrame(rows, "lang string, text string").unionByName(copies)
     p = L.learn(docs, "lang", "text")
     assert p.langs == ["aa", "bb", "cc"]
-    states = dict(zip(p.langs, (np.diff([-1, *p.roots]) - 1).tolist()))
+    states = {k: t.states for k, t in zip(p.langs, p.tables)}
     assert states["aa"] > 24_000 and states["bb"] > 24_000 and 100 < states["cc"] < 2000
     assert p.predict([say(lang, 60) for lang in p.langs])[0] == p.langs
 
@@ -378,18 +450,116 @@ def test_leaks_that_sampling_misses():
     assert all(0 < got[t, t] <= len(items[t][1]) // 10 and got[t + 4, t] == 0 for t in range(4))
 
 
+def test_short_items_and_edge_rows(spark):
+    """Items below the gate against brute force; repeated rows, clashing names, a very long text, ids that are null."""
+    rng = random.Random(17)
+    low = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    items = [(n, low(n)) for n in (3, 7, 9, 10, 12, 15, 16, 20, 22, 23, 24, 31)]
+    index = D.ItemIndex(items)
+    docs = []
+    for _, t in items * 4:
+        e = D.ItemIndex._edit(t.encode(), len(t) // 10, rng).decode()
+        docs.append(low(rng.randint(0, 40)) + e + low(rng.randint(0, 40)))
+    got = {(t, i): d for t, i, d, *_ in index.search([x.encode() for x in docs])}
+    want = {(k, i): d for k, x in enumerate(docs) for i, t in items if (d := edit_distance(t, x)) <= len(t) // 10}
+    assert got == want and any(d for d in got.values())
+    item = "a benchmark question that is long enough to be found by the gate of substrings, is it not?"
+    rows = [(1, "x " + item), (1, "x " + item), (None, item), (2, "word " * 200_000 + item.replace("long", "short") + " word" * 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "item_id", "distance", "t", "i"):
+        df = df.withColumn(c, F.lit("clash"))
+    out = sorted(((r.id or 0, r.item_id, r.distance) for r in D.find_leaks(df, spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")).collect()))
+    assert out == [(0, 7, 0), (0, 8, 0), (1, 7, 0), (1, 7, 0), (1, 8, 0), (1, 8, 0), (2, 7, 4), (2, 8, 4)]
+
+
+def test_embedding_keeps_few_edits_near():
+    """Walks over whole windows: with d edits far fewer coordinates differ than between unlike texts, ends included."""
+    rng = random.Random(18)
+    items = [(i, "".join(rng.choice("abcdefghijklmnop") for _ in range(600))) for i in range(20)]
+    index = D.ItemIndex(items)
+    c = index.classes[0]
+    assert c["picked"].max() > c["width"] and len(c["picked"]) <= D.TIMES
+    own = [(k, k, np.array([0]), [(0, 700)]) for k in range(20)]
+    for head in (0, 540):  # edits at the head, at the end
+        texts = [t[:head].encode() + D.ItemIndex._edit(t[head : head + 60].encode(), 20, rng) + t[head + 60 :].encode() for _, t in items]
+        assert len(index._candidates(0, own, texts)) >= 18
+    assert len(index._candidates(0, own, [t.encode() for _, t in items[1:] + items[:1]])) <= 2
+
+
+def naive_align(a, b):
+    """Patience alignment as its definition says, with a quadratic longest increasing subsequence."""
+    if a and b and a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in naive_align(a[1:], b[1:])]
+    if a and b and a[-1] == b[-1]:
+        return naive_align(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(a.index(w), b.index(w)) for w in a if a.count(w) == 1 and b.count(w) == 1]
+    best = {}
+    for i, j in once:
+        below = [best[p] for p in best if p[0] < i and p[1] < j]
+        best[i, j] = max(below, key=len, default=[]) + [(i, j)]
+    anchors = max(best.values(), key=len, default=[])
+    if not anchors:
+        return []
+    out = []
+    for (p, q), (r, t) in zip([(-1, -1), *anchors], [*anchors, (len(a), len(b))]):
+        out += [(p + 1 + i, q + 1 + j) for i, j in naive_align(a[p + 1 : r], b[q + 1 : t])] + [(r, t)]
+    return out[:-1]
+
+
+def test_patience_alignment():
+    rng = random.Random(21)
+    for _ in range(300):
+        a, b = (rng.choices("abcdefghijklmnop"[: rng.choice([3, 8, 16])], k=rng.randint(0, 14)) for _ in range(2))
+        got = LS.align(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+        assert len(got) == len(naive_align(a, b)) or len(set(a)) < len(a) or len(set(b)) < len(b)
+    for _ in range(100):  # all words differ: the longest common subsequence, whichever it is
+        a, b = (rng.sample("abcdefghijklmnop", 9) for _ in range(2))
+        best = [[0] * 10 for _ in range(10)]
+        for i in range(9):
+            for j in range(9):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(LS.align(a, b)) == best[9][9]
+
+
+def test_licenses_are_told_apart():
+    t = [LS.Template(k, LS.words(x)) for k, x in LS.TEMPLATES.items()]
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} General Public License for more details."
+    cases = {
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        gnu.format("", 2, ""): ["GPL-2.0-header"],
+        gnu.format("Lesser", "2.1", "Lesser"): ["LGPL-2.1-header"],
+        gnu.format("Affero", 3, "Affero"): ["AGPL-3.0-header"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": ["CC-BY-SA-4.0-notice"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": ["CC-BY-NC-4.0-notice"],
+        "Licensed under CC BY 4.0": ["CC-BY-4.0"],
+        "Licensed under CC BY 2.0": [],
+        "Released under the BSD License": ["BSD-notice"],
+        "Licensed under the Apache License, Version 1.1": ["Apache-1.1"],
+        "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "All of the rights are reserved": [],
+        "(c) 2021 A. All rights reserved. Released under the MIT License.": ["All-rights-reserved", "MIT-notice"],
+        LS.TEMPLATES["Apache-2.0-header"]: ["Apache-2.0-header"],
+        LS.TEMPLATES["BSD-2-Clause"]: ["BSD-2-Clause"],
+        LS.TEMPLATES["BSD-3-Clause"].replace("Redistributions", "1. Redistributions").replace("Neither", "3. Neither"): ["BSD-3-Clause"],
+        LS.TEMPLATES["MIT"].replace("charge", "cost") + " " + LS.TEMPLATES["ISC"]: ["ISC", "MIT"],
+    }
+    filler = "some words of the text and of the other things in it " * 20
+    for text, want in cases.items():
+        for whole in (text, filler + text.upper() + "\n" + filler):
+            assert [m.template for m in LS.scan_text(whole, t, 0.8)] == want, text
+
+
 def test_license_scan(spark):
-    a, b = "x a b c y d".split(), "a b z c d".split()
-    assert [a[i] for i, _ in LS.align(a, b)] == ["a", "b", "c", "d"]
-    for _ in range(50):
-        a, b = ([random.Random(k).choice("abcdef") for k in range(s, s + 12)] for s in (_, _ + 7))
-        pairs = LS.align(a, b)
-        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
     mit = LS.TEMPLATES["MIT"]
-    rows = [(1, "intro words here\n" + mit.upper() + "\nmore"), (2, mit.replace("free of charge", "gratis")), (3, "the person obtaining"), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0. " * 3), (7, "word " * 50_000)]
-    got = {(r.id, r.template): r for r in LS.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) == {(1, "MIT"), (2, "MIT"), (6, "CC-BY-NC-4.0")}
+    rows = [(1, "intro words here\n" + mit.upper() + "\nmore"), (2, mit.replace("free of charge", "gratis")), (3, "the person obtaining"), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0. " * 3), (7, "word " * 50_000), (6, "Licensed under CC BY-NC 4.0. " * 3), (None, "All rights reserved")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("template", F.lit(0))
+    out = LS.scan_licenses(df).collect()
+    got = {(r.id, r.template): r for r in out}
+    assert set(got) == {(1, "MIT"), (2, "MIT"), (6, "CC-BY-NC-4.0"), (None, "All-rights-reserved")} and len(out) == 5
     assert got[1, "MIT"].coverage == 1 and 0.8 < got[2, "MIT"].coverage < 1 and got[6, "CC-BY-NC-4.0"].n_places == 3
+    assert LS.scan_licenses(df.limit(0)).count() == 0
 
 
 def test_pipeline_on_a_fixture(spark, tmp_path):
