@@ -2,39 +2,41 @@
 
 Words that stand once in both the region and the template are anchors; the longest increasing subsequence of their
 places is kept, and the gaps between anchors are aligned the same way.  Coverage is the share of the template's words
-that are aligned.  Before that, a text's words bound the coverage a template can reach, so few texts are aligned.
+that are aligned; likeness also counts what the region holds beside them, so insertions tell against a template.
+
+What makes another license must agree in full: version numbers and the words of DECISIVE are aligned one and all, in
+the template and in the region.  Of templates that claim the same words the one with most aligned words is kept.
+Before that, a text's words bound the coverage a template can reach, so few texts are aligned.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Public license notices, as they are commonly written.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    "MIT-notice": "Released under the MIT License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "All-rights-reserved": "All rights reserved",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-}
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from .license_texts import DECISIVE, TEMPLATES
+
+_WORD = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*")
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words without outer punctuation, as templates and texts are compared."""
-    return [w for w in (x.strip(".,;:!?()[]{}\"'").lower() for x in _WORD.findall(text)) if w]
+    """Lower-case runs of letters and numbers.  A version number, one with a point, after ``version`` or ``v``, or before
+    ``clause``, is written ``#`` and its digits, without ``.0`` at the end; list marks and years stay plain numbers."""
+    out = _WORD.findall(text.lower())
+    for i, w in enumerate(out):
+        if w[0].isdigit() and ("." in w or out[i - 1 : i] in (["version"], ["v"]) or out[i + 1 : i + 2] == ["clause"]):
+            out[i] = "#" + re.sub(r"(\.0+)+$", "", w)
+    return out
+
+
+def decisive(word: str) -> bool:
+    return word[0] == "#" or word in DECISIVE
 
 
 def _increasing(places: list[int]) -> list[int]:
@@ -85,77 +87,122 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+@dataclass
+class Template:
+    name: str
+    words: list[str]
+
+    def __post_init__(self):
+        self.bag, self.distinct = Counter(self.words), set(self.words)
+        self.decisive = [k for k, w in enumerate(self.words) if decisive(w)]
+
+
 @dataclass
 class Match:
     template: str
+    aligned: int
     coverage: float
+    likeness: float
     first: int
     last: int
-    places: int
-
-
-def scan_text(text: str, templates: dict[str, list[str]], least: float) -> list[Match]:
-    """Best aligned region of each template that reaches ``least`` coverage, and how many regions do.
-
-    A region is where template words stand close together: places of template words, parted where more than half a
-    template's length of other words lies between, and read in windows of twice the template.
-    """
-    own, out = words(text), []
-    where: dict[str, list[int]] = {}
-    for i, w in enumerate(own):
-        where.setdefault(w, []).append(i)
-    for name, t in templates.items():
-        need = least * len(t)
-        if sum(w in where for w in t) < need:
+    places: int = 1
+
+
+def _best_part(pairs: list[tuple[int, int]], n: int, least: float) -> tuple[int, int, float]:
+    """(from, to, likeness) of the run of pairs that is most like a template of n words: stray words at the ends go."""
+    need, best = -(-least * n // 1), (0, 0, 0.0)
+    for i in range(len(pairs)):
+        for j in range(len(pairs), i, -1):
+            if j - i < need:
+                break
+            like = 2 * (j - i) / (n + pairs[j - 1][0] - pairs[i][0] + 1)
+            if like > best[2]:
+                best = (i, j, like)
+    return best
+
+
+def regions(own: list[str], t: Template, least: float):
+    """Yields Matches of t, left to right and apart: windows that hold enough of its words, aligned."""
+    n, size = len(t.words), int(1.5 * len(t.words)) + 2
+    need = least * n
+    have: Counter[str] = Counter()
+    over, s, e = 0, 0, 0
+
+    def drop(to: int) -> None:
+        nonlocal s, over
+        while s < to:
+            w = own[s]
+            if w in t.bag:
+                have[w] -= 1
+                over -= have[w] < t.bag[w]
+            s += 1
+
+    while e < len(own):
+        w = own[e]
+        if w in t.bag:
+            have[w] += 1
+            over += have[w] <= t.bag[w]
+        e += 1
+        drop(max(s, e - size))
+        # Go on while the window may still get better: to its full size, or to the end of the text.
+        if over < need or (over < n and e - s < size and e < len(own)):
             continue
-        hits = sorted({p for w in set(t) for p in where.get(w, ())})
-        gap, size = max(3, len(t) // 2), 2 * len(t)
-        best, n, s = None, 0, 0
-        while s < len(hits):
-            e = s + 1
-            while e < len(hits) and hits[e] - hits[e - 1] <= gap and hits[e] - hits[s] < size:
-                e += 1
-            nxt = s + 1
-            if e - s >= need:
-                a = own[hits[s] : hits[e - 1] + 1]
-                pairs = align(a, t)
-                c = len(pairs) / len(t)
-                if c >= least:
-                    n += 1
-                    m = Match(name, c, hits[s] + pairs[0][0], hits[s] + pairs[-1][0], 0)
-                    if best is None or c > best.coverage:
-                        best = m
-                    nxt = s + bisect_left(hits[s:], m.last + 1)
-            s = max(nxt, s + 1)
-        if best:
-            best.places = n
-            out.append(best)
-    return out
+        window = own[s:e]
+        pairs = align(window, t.words)
+        i, j, like = _best_part(pairs, n, least)
+        if j - i >= need and like >= least:
+            part = pairs[i:j]
+            first, last = part[0][0], part[-1][0]
+            if [q for _, q in part if decisive(t.words[q])] == t.decisive and sum(map(decisive, window[first : last + 1])) == len(t.decisive):
+                yield Match(t.name, j - i, (j - i) / n, like, s + first, s + last)
+                drop(s + last + 1)
+                continue
+        drop(min(e, s + max(1, n // 8)))
+
+
+def scan_text(text: str, templates: list[Template], least: float) -> list[Match]:
+    """Best match of each template that reaches ``least`` coverage and likeness, and how many places it has.
+
+    Places where several templates claim a word go to the one with most aligned words (then likeness, then name).
+    """
+    own = words(text)
+    held, found = set(own), []
+    for t in templates:
+        # So many of its words may be missing at most.
+        if len(t.distinct & held) >= len(t.distinct) - int(len(t.words) - least * len(t.words)):
+            found += regions(own, t, least)
+    taken: list[Match] = []
+    for m in sorted(found, key=lambda m: (-m.aligned, -m.likeness, m.template, m.first)):
+        if all(m.last < o.first or m.first > o.last for o in taken):
+            taken.append(m)
+    out: dict[str, Match] = {}
+    for m in sorted(taken, key=lambda m: (-m.coverage, -m.likeness, m.first)):
+        if m.template in out:
+            out[m.template].places += 1
+        else:
+            out[m.template] = m
+    return sorted(out.values(), key=lambda m: m.template)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows id, template, coverage, first_word, last_word, n_places for each template that a whole text covers to ``least``.
+    """Rows id, template, coverage, likeness, first_word, last_word, n_places for each template that a text holds.
 
-    Null, empty and unmatched texts give no row; repeated rows give theirs each; an empty table gives none; other columns
-    don't matter.  Of regions with one coverage the first counts.  Words lose outer punctuation and case.
+    Places are those of words(text); of equally good ones the first counts.  Null, empty and unmatched texts give no
+    row; repeated rows give theirs each; whole texts are read, however long; an empty table gives no rows; other columns
+    don't matter, whatever their names.
     """
-    split = {k: words(t) for k, t in (templates or TEMPLATES).items()}
+    split = [Template(k, words(t)) for k, t in (templates or TEMPLATES).items()]
+    names = ["id", "template", "coverage", "likeness", "first_word", "last_word", "n_places"]
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
 
     def fn(batches):
-        # Which templates can a text cover at all?  A word that isn't even a substring can't be aligned.
         for b in batches:
-            ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
             rows: list[tuple] = []
-            for i, t in zip(ids, texts):
-                if not t:
-                    continue
-                low = t.lower()
-                likely = {k: w for k, w in split.items() if sum(x in low for x in w) >= least * len(w)}
-                if likely:
-                    rows += [(i, m.template, m.coverage, m.first, m.last, m.places) for m in scan_text(t, likely, least)]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "template", "coverage", "first_word", "last_word", "n_places"])
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                if t:
+                    rows += [(i, m.template, m.coverage, m.likeness, m.first, m.last, m.places) for m in scan_text(t, split, least)]
+            cols = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(fn, "id long, template string, coverage double, first_word long, last_word long, n_places long")
+    return rows.mapInArrow(fn, "id long, template string, coverage double, likeness double, first_word long, last_word long, n_places long")
