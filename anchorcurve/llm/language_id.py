@@ -2,13 +2,17 @@
 
 A text is read left to right; while the automaton of a language's sample can follow, the phrase goes on, else a new
 phrase starts.  The language whose sample parses the text in the fewest phrases per symbol, times the logarithm of the
-sample's size, wins: an estimate of cross entropy.  All texts of a batch and all languages advance together, a symbol at a time, in segments of fixed length,
-so a long text costs no more per symbol than a short one (a segment's end ends a phrase, alike in every language).
+sample's size, wins: an estimate of cross entropy.
+
+All texts of a batch advance together, a symbol at a time.  Long texts are laid out in segments that advance side by side:
+each first starts anew, then those whose start was not where the segment before ended are parsed again from there, until
+none changes.  Phrases thus go on across segments, and counts are those of one reader from left to right.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SEGMENT = 128
+#: Rounds of parsing segments anew side by side; what is left after them is parsed one by one.
+ROUNDS = 8
 #: Smaller samples are weighed as if they had so many symbols.
 LEAST = 2000
 
@@ -65,43 +71,102 @@ class Automaton:
         return n
 
 
+class Table:
+    """Transitions of one language's automaton: its most frequent symbols as a dense array, the others as sorted keys.
+
+    Symbol 0 is a gap, 1 a letter that the sample lacks, then its own letters by frequency.  A missing transition starts
+    a phrase and goes on from the root.
+    """
+
+    DENSE = 32
+
+    def __init__(self, symbols: list[int], letters: int):
+        a = Automaton(symbols)
+        n = len(a.next)
+        self.size = max(len(symbols), LEAST)
+        kind = np.uint16 if n + 1 < 1 << 16 else np.uint32
+        self.none = int(np.iinfo(kind).max)
+        # Last columns: a rare letter, and the filling after a text's end, which changes nothing.
+        self.rare, self.pad = min(letters + 2, self.DENSE), min(letters + 2, self.DENSE) + 1
+        t = np.full((n + 1, self.pad + 1), self.none, kind)  # state n: after a symbol that the sample lacks, and at the start
+        keys, to = [], []
+        self.letters = letters + 2
+        for s, row in enumerate(a.next):
+            for c, q in row.items():
+                if c < self.rare:
+                    t[s, c] = q
+                else:
+                    keys.append(s * self.letters + c)
+                    to.append(q)
+        t[:, self.pad] = np.arange(n + 1)
+        o = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.to = np.array(keys, np.int64)[o], np.array(to, np.int64)[o]
+        self.root = np.array([a.next[0].get(c, n) for c in range(self.letters)] + [n], np.int64)  # by symbol; the last is the filling
+        self.table, self.start, self.states = t.ravel(), n, n
+
+    def walk(self, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that start, last state) of each row of symbols (letters: the filling), from the given states."""
+        width, some = self.pad + 1, len(self.keys) > 0
+        state, count = state.copy(), np.zeros(len(grid), np.int64)
+        for c in grid.T.copy():
+            col = np.minimum(c, self.rare)
+            col[c == self.letters] = self.pad
+            v = self.table[state * width + col].astype(np.int64)
+            if some and (r := np.flatnonzero(col == self.rare)).size:
+                key = state[r] * self.letters + c[r]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                v[r[hit]] = self.to[at[hit]]
+            new = v == self.none
+            count += new
+            state = np.where(new, self.root[c], v)
+        return count, state
+
+
+    def follow(self, row: np.ndarray, state: int) -> tuple[int, int]:
+        """The same for one row."""
+        n, width = 0, self.pad + 1
+        for c in row.tolist():
+            if c == self.letters:
+                break
+            if c < self.rare:
+                v = int(self.table[state * width + c])
+            else:
+                k = int(np.searchsorted(self.keys, state * self.letters + c))
+                v = int(self.to[k]) if k < len(self.keys) and self.keys[k] == state * self.letters + c else self.none
+            if v == self.none:
+                n, v = n + 1, int(self.root[c])
+            state = v
+        return n, state
+
+
 class CrossParser:
-    """Automata of several languages as one table of transitions: next state << 1 | starts a phrase."""
+    """A Table for each language.  What it takes grows with the samples, not with languages times letters."""
 
     def __init__(self, samples: dict[str, str]):
-        letters = sorted({c for t in samples.values() for c in normal(t) if c != " "})
-        self.alphabet = {c: i + 2 for i, c in enumerate(letters)}  # 0: between words, 1: any other letter
-        self.pad = len(letters) + 2
-        width = self.pad + 1
-        self.langs, tables, self.roots, at, sizes = sorted(samples), [], [], 0, []
+        self.langs, self.tables = sorted(samples), []
+        texts = {k: normal(samples[k]) for k in self.langs}
+        union = sorted({c for t in texts.values() for c in set(t) if c != " "})
+        self.alphabet = {c: i + 2 for i, c in enumerate(union)}  # 0: between words, 1: any other letter
+        self.local = []
         for lang in self.langs:
-            a = Automaton(symbols := self.symbols(samples[lang]))
-            sizes.append(max(len(symbols), LEAST))
-            n = len(a.next)
-            t = np.full((n + 1, width), -1, np.int64)  # state n: after a symbol that the sample lacks
-            for s, row in enumerate(a.next):
-                for c, to in row.items():
-                    t[s, c] = to
-            root = np.where(t[0] >= 0, t[0], n)
-            t = np.where(t >= 0, (t + at) << 1, ((root + at) << 1 | 1)[None, :])
-            t[n] = (root + at) << 1 | 1
-            t[:, self.pad] = (np.arange(n + 1) + at) << 1
-            tables.append(t)
-            self.roots.append(at + n)  # the first symbol starts a phrase
-            at += n + 1
+            often = [c for c, _ in sorted(Counter(c for c in texts[lang] if c != " ").items(), key=lambda x: (-x[1], x[0]))]
+            own = {c: i + 2 for i, c in enumerate(often)}
+            self.tables.append(Table([0 if c == " " else own[c] for c in texts[lang]], len(own)))
+            m = np.ones(len(union) + 2, np.int64)
+            m[0] = 0
+            for c, i in own.items():
+                m[self.alphabet[c]] = i
+            self.local.append(m)
         # Matches grow as the logarithm of the sample, so this much of a rate is the sample's size.
+        sizes = [t.size for t in self.tables]
         self.weight = np.log(sizes) / np.log(max(sizes)) if sizes else np.ones(0)
-        self.width = width
-        self.table = np.ascontiguousarray(np.concatenate(tables), np.int32).ravel() if tables else np.zeros(0, np.int32)
         self._classes = None
 
-    def symbols(self, text: str) -> list[int]:
-        return [0 if c == " " else self.alphabet.get(c, 1) for c in normal(text)]
-
     def classes(self) -> np.ndarray:
-        """The symbol of each code point."""
+        """The symbol of each code point, in the alphabet of all languages."""
         if self._classes is None:
-            t = np.zeros(0x110000, np.uint16)
+            t = np.zeros(0x110000, np.int32)
             for p in range(0x110000):
                 c = chr(p)
                 if c.isalpha():
@@ -118,7 +183,7 @@ class CrossParser:
         n, langs = len(texts), len(self.langs)
         points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         lens = np.array([len(p) for p in points], np.int64)
-        cls = self.classes()[np.concatenate(points)] if n and lens.sum() else np.zeros(0, np.uint16)
+        cls = self.classes()[np.concatenate(points)] if n and lens.sum() else np.zeros(0, np.int32)
         doc = np.repeat(np.arange(n), lens)
         letters = np.bincount(doc[cls > 0], minlength=n)
         keep = cls > 0
@@ -128,18 +193,32 @@ class CrossParser:
         size = np.bincount(doc, minlength=n)
         segments = -(-size // SEGMENT)
         base = np.cumsum(segments) - segments
-        grid = np.full((int(segments.sum()), SEGMENT), self.pad, np.int32)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-        grid[base[doc] + place // SEGMENT, place % SEGMENT] = cls
         owner = np.repeat(np.arange(n), segments)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        row, col = base[doc] + place // SEGMENT, place % SEGMENT
+        later = np.flatnonzero(np.r_[False, owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
         out = np.zeros((langs, n), np.int64)
-        for l in range(langs):
-            state = np.full(len(grid), self.roots[l], np.int32)
-            count = np.zeros(len(grid), np.int32)
-            for c in grid.T.copy():
-                v = self.table[state * np.int32(self.width) + c]
-                count += v & 1
-                state = v >> 1
+        for l, t in enumerate(self.tables):
+            grid = np.full((len(owner), SEGMENT), t.letters, np.int64)
+            grid[row, col] = self.local[l][cls]
+            begin = np.full(len(owner), t.start, np.int64)
+            count, end = t.walk(grid, begin)
+            again = later
+            for _ in range(ROUNDS):
+                if not len(again := again[begin[again] != end[again - 1]]):
+                    break
+                begin[again] = end[again - 1]
+                was = end[again]
+                count[again], end[again] = t.walk(grid[again], begin[again])
+                after = again[was != end[again]] + 1
+                again = after[after < len(owner)]
+                again = again[owner[again] == owner[again - 1]]
+            # Texts whose phrases never fall into step, such as one letter over and over: from left to right.
+            for r in again.tolist():
+                while r < len(owner) and owner[r] == owner[r - 1] and begin[r] != end[r - 1]:
+                    begin[r] = end[r - 1]
+                    count[r], end[r] = t.follow(grid[r], int(begin[r]))
+                    r += 1
             out[l] = np.bincount(owner, weights=count, minlength=n)
         return out, size, letters
 
@@ -188,7 +267,8 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
     """Per document: id, lang_pred, score.  ``und`` with score 0 where text is null or has no letter.
 
     Whole texts are parsed.  Ties go to the first language by name; repeated rows are judged each for itself; an empty
-    table gives no rows; other columns don't matter.  The parser (some MB, by its sample size) travels with the tasks.
+    table gives no rows; other columns don't matter, whatever their names.  The parser travels with the tasks: some 3 MB a
+    language at the default sample size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
