@@ -13,9 +13,9 @@ from .license_scan import scan_licenses
 from .packing import pack
 from .quality_ranking import score_quality
 from .quality_rules import apply_rules
-from .quote_linking import link_quotes
+from .quote_linking import conversations, link_quotes
 from .suffix_dedup import remove_repeats
-from .token_rollup import RollupStore, counted, deletes, inserts, piece_count, revisions, word_count
+from .token_rollup import RollupStore, bare_count, counted, deletes, inserts, piece_count, revisions, with_token_counts, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,8 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out words without a letter or digit; the revision is delivered twice; documents of fewer than 20 words go."""
     docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
     text = F.col("text")
-    bare = F.coalesce(F.regexp_count(text, F.lit("(?<![^\\x20\\x09-\\x0D])[^0-9A-Za-z\\u00C0-\\u024F\\x20\\x09-\\x0D]+(?![^\\x20\\x09-\\x0D])")), F.lit(0)).cast("long")
     # One pass over the texts; what the batches need afterwards is one short row for each document.
-    base = C.cut(docs.select("source", "lang", word_count(text).alias("w"), bare.alias("bare"), piece_count(text).alias("p")), "counts")
+    base = C.cut(docs.select("source", "lang", word_count(text).alias("w"), bare_count(text).alias("bare"), piece_count(text).alias("p")), "counts")
     store = RollupStore(spark, C.new_path(spark, "rollup"))
     w, p = F.col("w"), F.col("p")
     store.apply("0-load", inserts(counted(base, {"words-1": w, "pieces-1": p})))
@@ -52,12 +51,23 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def token_rollup_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by a public tokenizer as a version of its own: all documents inserted, those of fewer than 20 ids withdrawn."""
+    version = "word_bpe_49k"
+    base = C.cut(with_token_counts(table(spark, sf_dir, "documents").select("source", "lang", "text"), {version: tokenizer_path()}), "counts")
+    store = RollupStore(spark, C.new_path(spark, "rollup"))
+    store.apply("0-load", inserts(counted(base, {version: F.col(version)})))
+    store.apply("1-withdraw", deletes(counted(base.where(F.col(version) < 20), {version: F.col(version)})))
+    C.discard(base)
+    return store.totals()
+
+
 SQL_OP2 = r"""
 WITH c AS (
   SELECT source, lang,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
-    len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: NOT regexp_matches(x, '[0-9A-Za-z\x{00C0}-\x{024F}]'))) AS bare,
-    len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{00C0}-\x{024F}]+|[^0-9A-Za-z\x{00C0}-\x{024F}\x20\x09-\x0D]')) AS p
+    len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: NOT regexp_matches(x, '[\p{L}\p{N}]'))) AS bare,
+    len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]')) AS p
   FROM documents)
 SELECT source, lang, 'words-1' AS tokenizer_version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(w - bare) AS BIGINT) AS n_tokens FROM c WHERE w >= 20 GROUP BY source, lang
 UNION ALL
@@ -94,9 +104,29 @@ def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
 
 
-SQL_OP7 = r"""
-WITH RECURSIVE m AS (
-  SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(text, chr(10)) AS ls FROM conversations),
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with quotes put in, as mail programs do: of the two messages before, under one and two marks."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    one = c.groupBy("conv_id", "turn").agg(F.min("text").alias("said")).where("said is not null")
+    mark = lambda col, by: F.concat(F.lit(by), F.replace(col, F.lit("\n"), F.lit("\n" + by)), F.lit("\n"))
+    near = one.select("conv_id", (F.col("turn") + 1).alias("turn"), mark(F.col("said"), "> ").alias("near"))
+    far = one.select("conv_id", (F.col("turn") + 2).alias("turn"), mark(F.col("said"), "> > ").alias("far"))
+    c = c.join(near, ["conv_id", "turn"], "left").join(far, ["conv_id", "turn"], "left")
+    return c.select("conv_id", "turn", "role", F.concat(F.coalesce("far", F.lit("")), F.coalesce("near", F.lit("")), "text").alias("text"))
+
+
+def quote_linking_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over conversations with quotes of two levels."""
+    return link_quotes(quoted_conversations(spark, sf_dir))
+
+
+def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered conversations without quotes, from those with quotes."""
+    return conversations(link_quotes(quoted_conversations(spark, sf_dir)))
+
+
+_QUOTES = r"""m AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(text, chr(10)) AS ls FROM src),
 l AS (
   SELECT r, conv_id, turn, i, ls[i] AS line, len(regexp_replace(regexp_extract(ls[i], '^(?:[ \t]*>)+[ \t]?'), '[^>]', '', 'g')) AS level,
     trim(regexp_replace(lower(regexp_replace(ls[i], '^(?:[ \t]*>)+[ \t]?', '')), '[\x20\x09-\x0D]+', ' ', 'g')) AS s,
@@ -105,19 +135,38 @@ l AS (
 b AS (
   SELECT r, regexp_replace(coalesce(string_agg(said, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body,
     count(*) FILTER (WHERE level > 0 AND s != '') AS n_quoted FROM l GROUP BY r),
-f AS (SELECT conv_id, s, min(turn) AS origin FROM l WHERE level = 0 AND s != '' GROUP BY conv_id, s),
+own AS (SELECT r, conv_id, turn, list(s ORDER BY i) AS ss FROM l WHERE level = 0 AND s != '' GROUP BY ALL),
+ch AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY r ORDER BY i) THEN 1 ELSE 0 END AS new FROM l),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM ch),
+pas AS (SELECT r, conv_id, turn, run, level, list(s ORDER BY i) AS ss, count(*) AS n FROM runs WHERE level > 0 AND s != '' GROUP BY r, conv_id, turn, run, level),
+heads AS (SELECT DISTINCT conv_id, ss[1] AS head, ss FROM pas),
+f AS (
+  SELECT o.conv_id, heads.ss, min(o.turn) AS origin FROM (SELECT conv_id, turn, ss, k, ss[k] AS head FROM own, unnest(range(1, len(ss) + 1)) AS u(k)) o
+  JOIN heads ON o.conv_id = heads.conv_id AND o.head = heads.head WHERE o.ss[k : k + len(heads.ss) - 1] = heads.ss GROUP BY ALL),
 p AS (
-  SELECT l.conv_id, l.turn, f.origin, count(*) AS c, count(*) FILTER (WHERE level = 1) AS near
-  FROM l JOIN f ON l.conv_id = f.conv_id AND l.s = f.s WHERE level > 0 AND l.s != '' AND f.origin < l.turn GROUP BY ALL),
+  SELECT pas.conv_id, pas.turn, f.origin, sum(n) AS c, coalesce(sum(n) FILTER (WHERE level = 1), 0) AS near
+  FROM pas JOIN f ON pas.conv_id = f.conv_id AND pas.ss = f.ss WHERE f.origin < pas.turn GROUP BY ALL),
 k AS (SELECT conv_id, turn, sum(c) AS n_linked, (max({'near': near, 'origin': origin}) FILTER (WHERE near > 0)).origin AS reply_to FROM p GROUP BY ALL),
 t AS (
-  SELECT conv_id, turn, reply_to AS anc FROM k WHERE reply_to IS NOT NULL
-  UNION ALL SELECT t.conv_id, t.turn, k.reply_to FROM t JOIN k ON t.conv_id = k.conv_id AND t.anc = k.turn WHERE k.reply_to IS NOT NULL),
-root AS (SELECT conv_id, turn, min(anc) AS thread_root FROM t GROUP BY ALL)
-SELECT m.conv_id, m.turn, m.role, coalesce(b.body, '') AS body, CAST(coalesce(b.n_quoted, 0) AS BIGINT) AS n_quoted,
-  CAST(coalesce(k.n_linked, 0) AS BIGINT) AS n_linked, k.reply_to, coalesce(root.thread_root, m.turn) AS thread_root
-FROM m LEFT JOIN b ON m.r = b.r LEFT JOIN k ON m.conv_id = k.conv_id AND m.turn = k.turn LEFT JOIN root ON m.conv_id = root.conv_id AND m.turn = root.turn
-"""
+  SELECT conv_id, turn, reply_to AS anc, 1 AS d FROM k WHERE reply_to IS NOT NULL
+  UNION ALL SELECT t.conv_id, t.turn, k.reply_to, t.d + 1 FROM t JOIN k ON t.conv_id = k.conv_id AND t.anc = k.turn WHERE k.reply_to IS NOT NULL),
+root AS (SELECT conv_id, turn, min(anc) AS thread_root, max(d) AS depth FROM t GROUP BY ALL),
+z AS (
+  SELECT m.conv_id, m.turn, m.role, coalesce(b.body, '') AS body, coalesce(b.n_quoted, 0) AS n_quoted, coalesce(k.n_linked, 0) AS n_linked, k.reply_to,
+    coalesce(root.thread_root, m.turn) AS thread_root, coalesce(root.depth, 0) AS depth
+  FROM m LEFT JOIN b ON m.r = b.r LEFT JOIN k ON m.conv_id = k.conv_id AND m.turn = k.turn LEFT JOIN root ON m.conv_id = root.conv_id AND m.turn = root.turn),
+o AS (SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN rank() OVER (PARTITION BY conv_id ORDER BY thread_root, turn) END AS reply_order,
+  '[' || coalesce(role, '') || ' ' || coalesce(CAST(turn AS VARCHAR), '') || coalesce(' to ' || CAST(reply_to AS VARCHAR), '') || ']' || chr(10) || body AS formatted FROM z)"""
+_LINKED = """SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, body, CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked, CAST(reply_to AS BIGINT) AS reply_to, CAST(thread_root AS BIGINT) AS thread_root, CAST(depth AS BIGINT) AS depth, CAST(reply_order AS BIGINT) AS reply_order, formatted FROM o"""
+_QUOTED = """one AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL HAVING min(text) IS NOT NULL),
+src AS (SELECT c.conv_id, c.turn, c.role, coalesce('> > ' || replace(g.said, chr(10), chr(10) || '> > ') || chr(10), '') || coalesce('> ' || replace(h.said, chr(10), chr(10) || '> ') || chr(10), '') || c.text AS text
+  FROM conversations c LEFT JOIN one h ON c.conv_id = h.conv_id AND c.turn = h.turn + 1 LEFT JOIN one g ON c.conv_id = g.conv_id AND c.turn = g.turn + 2)"""
+SQL_OP7 = f"WITH RECURSIVE src AS (SELECT * FROM conversations), {_QUOTES} {_LINKED}"
+SQL_QUOTED = f"WITH RECURSIVE {_QUOTED}, {_QUOTES} {_LINKED}"
+SQL_TEXTS = f"""WITH RECURSIVE {_QUOTED}, {_QUOTES},
+e AS (SELECT conv_id, (reply_order - 1) // 1024 AS block, reply_order, formatted, count(*) AS c FROM o WHERE reply_order IS NOT NULL GROUP BY ALL)
+SELECT conv_id, CAST(block AS BIGINT) AS block, CAST(sum(c) AS BIGINT) AS n_messages, string_agg(formatted || CASE WHEN c > 1 THEN chr(10) || '(' || c || ' times)' ELSE '' END, chr(10) || chr(10) ORDER BY reply_order, formatted) AS conversation
+FROM e GROUP BY conv_id, block"""
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +184,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_rollup, op3_quality_rules, op4_quality_ranking, op5_packing, op6_language_id, op7_quote_linking, op8_decontamination, op9_license_scan, op10_jaccard_join)}
-ORACLE = {"op2_token_rollup": SQL_OP2, "op7_quote_linking": SQL_OP7}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_rollup, op3_quality_rules, op4_quality_ranking, op5_packing, op6_language_id, op7_quote_linking, op8_decontamination, op9_license_scan, op10_jaccard_join, token_rollup_tokenizer, quote_linking_quoted, conversation_texts)}
+ORACLE = {"op2_token_rollup": SQL_OP2, "op7_quote_linking": SQL_OP7, "quote_linking_quoted": SQL_QUOTED, "conversation_texts": SQL_TEXTS}

@@ -23,7 +23,8 @@ from anchorcurve.llm import queries as Q  # noqa: E402
 from anchorcurve.llm import suffix_dedup as SD  # noqa: E402
 from anchorcurve.llm import token_rollup as TR  # noqa: E402
 from anchorcurve.llm.components import connected_components  # noqa: E402
-from anchorcurve.llm.quote_linking import link_quotes  # noqa: E402
+from anchorcurve.llm import quote_linking as QL  # noqa: E402
+from anchorcurve.llm.quote_linking import conversations, link_quotes  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, id string"
@@ -346,35 +347,89 @@ def test_language_samples_fill_up(spark):
 
 
 def test_rollup(spark, tmp_path):
-    store = TR.RollupStore(spark, str(tmp_path / "r"))
+    store = TR.RollupStore(spark, str(tmp_path / "r"), every=3)
     assert store.totals().count() == 0
     rows = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v1", 7), (None, None, "v1", 0)], "source string, lang string, tokenizer_version string, n_tokens long")
     assert store.apply("1", TR.inserts(rows)) and not store.apply("1", TR.inserts(rows))
+    with pytest.raises(ValueError, match="other changes"):
+        store.apply("1", TR.inserts(rows.limit(1)))
     store.apply("2", TR.revisions(rows.where("n_tokens = 7").selectExpr("source", "lang", "tokenizer_version", "n_tokens old_tokens", "3L new_tokens")))
+    assert not store._names("totals")
     store.apply("3", TR.deletes(rows.where("n_tokens = 5")))
+    assert store._names("totals") == ["000000000000"] and store._open()[1] == []  # three batches: totals are stored
     store.apply("4", TR.inserts(rows.limit(0)))
-    assert {tuple(r) for r in store.totals().collect()} == {("s", "en", "v1", 1, 3), (None, None, "v1", 1, 0)}
+    want = {("s", "en", "v1", 1, 3), (None, None, "v1", 1, 0)}
+    assert {tuple(r) for r in store.totals().collect()} == want and store._open()[1] == ["4"]
+    assert not store.apply("2", TR.revisions(rows.where("n_tokens = 7").selectExpr("source", "lang", "tokenizer_version", "n_tokens old_tokens", "3L new_tokens")))
+    # An attempt that was lost: its data and a torn commit file count for nothing, and the batch can be applied.
+    store._store(TR._sums(TR.inserts(rows)))
+    (tmp_path / "r" / "batches" / "5").write_text("")
+    assert not store.committed("5") and {tuple(r) for r in store.totals().collect()} == want
+    assert store.apply("5", TR.deletes(rows.limit(1)))
+    store.compact()
+    again = TR.RollupStore(spark, str(tmp_path / "r"))
+    assert {tuple(r) for r in again.totals().collect()} == {("s", "en", "v1", 0, -2), (None, None, "v1", 1, 0)} and again._open()[1] == []
+    for bad in ("", "a/b", "_x"):
+        with pytest.raises(ValueError):
+            store.apply(bad, TR.inserts(rows))
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    rows = [*texts(), "слово -- 日本 12", "word " * 20_000, texts()[0]]
+    df = frame(spark, rows)
+    full = Tokenizer.from_file(Q.tokenizer_path())
+    got = TR.with_token_counts(df, {"n": Q.tokenizer_path()}).collect()
+    assert {r.doc_id: r.n for r in got} == {i: len(full.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(rows)}
+    for c in ("d_docs", "d_tokens", "tokenizer_version", "e"):
+        df = df.withColumn(c, F.lit("clash"))
+    w = {r.doc_id: r for r in df.select("doc_id", TR.word_count(F.col("text")).alias("w"), TR.bare_count(F.col("text")).alias("b"), TR.piece_count(F.col("text")).alias("p")).collect()}
+    for i, t in enumerate(rows):
+        own = WORD.findall(t or "")
+        assert (w[i].w, w[i].b) == (len(own), sum(not any(c.isalnum() for c in x) for x in own))
+    assert w[len(rows) - 3].p == 5
+    total = TR._sums(TR.inserts(TR.counted(df, {"v": TR.word_count(F.col("text"))}))).collect()
+    assert [tuple(r) for r in total] == [("s", "en", "v", len(rows), sum(len(WORD.findall(t or "")) for t in rows))]
+    assert TR._sums(TR.inserts(TR.counted(empty(spark), {"v": F.lit(0)}))).count() == 0
 
 
 def test_quotes(spark):
     rows = [
-        (1, 0, "user", "How are you?\nFine weather."),
-        (1, 1, "assistant", "> how  are YOU?\nWell.\n\n"),
-        (1, 2, "user", "> Well.\n> > How are you?\nGood."),
+        (1, 0, "user", "How are you?\nFine weather.\n\nYes."),
+        (1, 1, "assistant", "> how  are YOU?\nWell.\nYes.\n\n"),
+        (1, 2, "user", "> Well.\n> Yes.\n> > How are you?\nGood."),
         (1, 3, "user", "> not said by anyone\nHm"),
-        (1, 4, "user", ">Fine weather.\n>Good.\n> Hm\n> Well."),
+        (1, 4, "user", ">Fine weather.\n>\n>Yes.\n\n>Hm\n> Well.\nend"),
+        (1, 5, "user", "> Good.\n>> Well.\n>> Yes.\n>>> how are you?\nback"),
         (2, 0, "user", "> How are you?"),
         (2, 1, "user", None),
         (2, 2, "user", ""),
         (None, 3, "user", "> x"),
         (2, 2, "user", "twice"),
+        (3, 0, "user", "a\n" * 3000 + "b"),
+        (3, 1, "user", "> a\n" * 3000 + "> b\nlong"),
+        (3, 2, "user", "> a\n> b\nshort"),
+        (3, 2, "user", "> a\n> b\nshort"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): tuple(r)[3:] for r in link_quotes(df).collect() if r.body != "twice"}
-    assert got[1, 1] == ("Well.", 1, 1, 0, 0) and got[1, 2] == ("Good.", 2, 2, 1, 0)
-    assert got[1, 3] == ("Hm", 1, 0, None, 3) and got[1, 4][1:3] == (4, 4) and got[1, 4][3] == 3
-    assert got[2, 0] == ("", 1, 0, None, 0) and got[2, 1] == ("", 0, 0, None, 1)
-    assert link_quotes(df).count() == 10 and link_quotes(df.limit(0)).count() == 0
+    for c in ("h", "level", "lines", "m", "origin", "body"):
+        df = df.withColumn(c, F.lit("clash"))
+    out = link_quotes(df)
+    got = {(r.conv_id, r.turn): r for r in out.collect() if r.body != "twice"}
+    short = {k: (r.body, r.n_quoted, r.n_linked, r.reply_to, r.thread_root, r.depth) for k, r in got.items() if k[0] != 3}
+    assert short[1, 1] == ("Well.\nYes.", 1, 1, 0, 0, 1) and short[1, 2] == ("Good.", 3, 3, 1, 0, 2)
+    # A line by itself doesn't link where it stands in a passage that nobody said.
+    assert short[1, 3] == ("Hm", 1, 0, None, 3, 0) and short[1, 4] == ("end", 4, 2, 0, 0, 1)
+    assert short[1, 5] == ("back", 4, 4, 2, 0, 3)
+    assert short[2, 0] == ("", 1, 0, None, 0, 0) and short[2, 1] == ("", 0, 0, None, 1, 0) and short[None, 3][2:4] == (0, None)
+    assert got[3, 1].n_linked == 3001 and got[3, 2].n_linked == 4 and got[3, 2].reply_to == 0
+    assert [r.turn for r in sorted((r for k, r in got.items() if k[0] == 1), key=lambda r: r.reply_order)] == [0, 1, 2, 4, 5, 3]
+    assert got[1, 5].formatted == "[user 5 to 2]\nback" and got[None, 3].reply_order is None
+    assert out.count() == len(rows) and link_quotes(df.limit(0)).count() == 0
+    texts_ = {(r.conv_id, r.block): r for r in conversations(out, 4).collect()}
+    assert texts_[1, 0].conversation.startswith("[user 0]\nHow are you?") and texts_[1, 0].n_messages == 4 and texts_[1, 1].conversation.endswith("[user 3]\nHm")
+    assert texts_[3, 0].conversation.endswith("short\n(2 times)") and (None, 0) not in texts_
     import duckdb
 
     con = duckdb.connect()
@@ -385,6 +440,14 @@ def test_quotes(spark):
     assert sorted(str(tuple(r)) for r in out.select(cols).collect()) == sorted(str(tuple(x[want.columns.index(c)] for c in cols)) for x in want.fetchall())
 
 
+def test_reply_order_in_blocks(spark):
+    """Prefix sums over many blocks against a plain sort."""
+    rng = random.Random(3)
+    rows = [(c, rng.randrange(5000), 1) for c in (1, 2) for _ in range(900)]
+    got = {(r.k, r.v): r.before for r in QL._before(spark.createDataFrame(rows, "k long, v long, c long"), ["k"], "v", 64).collect()}
+    assert got == {(k, v): sum(a == k and b < v for a, b, _ in rows) for k, v, _ in rows}
+
+
 def edit_distance(a, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(a, 1):
