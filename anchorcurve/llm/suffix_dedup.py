@@ -12,8 +12,8 @@ Plan (one job, three passes over one shuffle of the texts):
 3. The answers go back to the shards, which cut their documents.
 
 The suffix array is built by grouping: groups of suffixes that share a Lyndon prefix, from the largest down, each
-handing its members' previous smaller suffixes to new groups; a second sweep emits the order of each group.  No
-ranks are renamed recursively.
+handing its members' previous smaller suffixes to new groups; a second sweep emits the order of each group.  Groups begin
+by counting symbols and nothing is sorted by comparison.  No ranks are renamed recursively.
 """
 
 from __future__ import annotations
@@ -31,28 +31,51 @@ U64 = C.U64
 SEED = 24
 
 
+def _pointer(s: int, smaller: list[int], where: list[int], left: int) -> int:
+    """The pointer of a member of the group whose interval begins at left; those it needs are set on the way."""
+    todo, p = [s], s - 1
+    while True:
+        while p >= 0 and where[p] >= left and smaller[p] != -2:
+            p = smaller[p]
+        if p >= 0 and where[p] >= left:
+            todo.append(p)
+            p -= 1
+        else:
+            smaller[todo.pop()] = p
+            if not todo:
+                return p
+
+
 def suffix_array(t: list[int]) -> list[int]:
     """Suffix array of integers whose last one is the least and occurs once."""
     n = len(t)
-    order = sorted(range(n), key=t.__getitem__)
-    where, start, size = [0] * n, [0] * n, [0] * n
-    at = 0
-    for i, s in enumerate(order):
-        if i and t[s] != t[order[i - 1]]:
-            at = i
-        where[s], start[s] = i, at
-        size[at] += 1
-    smaller = [-1] * n
+    # Groups of equal first symbols, by counting.
+    begin = [0] * (max(t) + 2)
+    for c in t:
+        begin[c + 1] += 1
+    for c in range(1, len(begin)):
+        begin[c] += begin[c - 1]
+    order, where, start, size = [0] * n, [0] * n, [begin[c] for c in t], [0] * n
+    free = begin[:]
+    for s, c in enumerate(t):
+        where[s] = at = free[c]
+        order[at] = s
+        free[c] = at + 1
+        size[begin[c]] += 1
+    smaller = [-2] * n  # not known yet
     # First sweep: groups from the right; those below may only move within their own interval.
     right = n - 1
     while right >= 0:
         left = start[order[right]]
         counts: dict[int, int] = {}
-        for s in sorted(order[left : right + 1]) if right > left else (order[right],):
-            p = s - 1
-            while p >= 0 and where[p] >= left:  # where[p] in the group itself: its pointer is set, as p < s
-                p = smaller[p]
-            smaller[s] = p
+        for s in order[left : right + 1]:
+            p = smaller[s]
+            if p == -2:
+                p = s - 1
+                while p >= 0 and where[p] >= left:
+                    # A member of the group that comes later in it may not have its pointer yet.
+                    p = smaller[p] if smaller[p] != -2 else _pointer(p, smaller, where, left)
+                smaller[s] = p
             if p >= 0:
                 counts[p] = counts.get(p, 0) + 1
         if counts:
@@ -62,7 +85,7 @@ def suffix_array(t: list[int]) -> list[int]:
                 by: dict[int, list[int]] = {}
                 for p, c in counts.items():
                     by.setdefault(c, []).append(p)
-                levels = [by[c] for c in sorted(by, reverse=True)]
+                levels = [by[c] for c in range(max(by), 0, -1) if c in by]
             for level in levels:
                 parts: dict[int, list[int]] = {}
                 for p in level:
@@ -240,9 +263,8 @@ def _send(known: dict, shard: int) -> pa.Table:
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds)})
 
 
-def _shared_windows(pieces: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each piece the runs of windows that another piece may hold, by 64-bit window hashes."""
-    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
+def _window_hashes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, place in it, 64-bit hash) of every window."""
     lens = np.array([len(p) for p in pieces], np.int64)
     first = np.cumsum(lens) - lens
     data = np.frombuffer(b"".join(pieces) + b"\0" * 8, np.uint8)
@@ -256,20 +278,51 @@ def _shared_windows(pieces: list[bytes], length: int) -> list[list[tuple[int, in
         h = C.finish(h + u[at + s] * C.MIX_A)
     if length < 8:
         h = C.finish((u[at] & U64((1 << 8 * length) - 1)) * C.MIX_A)
+    return who, place, h
+
+
+def _window_runs(who: np.ndarray, place: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int]]:
+    """(piece, first window, end) of the runs of the picked windows k (ascending)."""
+    if not len(k):
+        return []
+    new = np.r_[True, (k[1:] != k[:-1] + 1) | (who[k[1:]] != who[k[:-1]])]
+    a, b = k[new], k[np.r_[new[1:], True]]
+    return list(zip(who[a].tolist(), place[a].tolist(), (place[b] + 1).tolist()))
+
+
+def settled(pieces: list[bytes], ids: list[int], length: int, most: int = 1 << 20) -> list[list[int]]:
+    """least_ids, of many pieces with one minimizer by parts: equal windows have equal hashes, so windows are dealt to
+    parts by hash, and no array is longer than about ``most`` symbols, whatever the number of pieces."""
+    total = sum(map(len, pieces))
+    if total <= most:
+        return least_ids(pieces, ids, length)
+    who, place, h = _window_hashes(pieces, length)
+    parts = -(-len(h) * (length + 1) // most)
+    own = h % U64(parts)
+    o = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[o], np.arange(parts + 1).astype(U64))
+    out = [[i] * max(0, len(p) - length + 1) for p, i in zip(pieces, ids)]
+    for a, b in zip(ends[:-1], ends[1:]):
+        runs = _window_runs(who, place, o[a:b])
+        found = least_ids([pieces[w][x : y + length - 1] for w, x, y in runs], [ids[w] for w, _, _ in runs], length)
+        for (w, x, y), least in zip(runs, found):
+            out[w][x:y] = least
+    return out
+
+
+def _shared_windows(pieces: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """For each piece the runs of windows that another piece may hold, by 64-bit window hashes."""
+    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
+    who, place, h = _window_hashes(pieces, length)
     o = np.argsort(h, kind="stable")
     ho, wo = h[o], who[o]
     g = np.cumsum(np.r_[True, ho[1:] != ho[:-1]]) - 1
     cut = np.flatnonzero(np.r_[True, ho[1:] != ho[:-1]])
     several = np.minimum.reduceat(wo, cut) < np.maximum.reduceat(wo, cut)
-    hit = np.zeros(len(at), bool)
+    hit = np.zeros(len(h), bool)
     hit[o] = several[g]
-    k = np.flatnonzero(hit)
-    if len(k):
-        new = np.r_[True, (k[1:] != k[:-1] + 1) | (who[k[1:]] != who[k[:-1]])]
-        a = k[new]
-        b = k[np.r_[new[1:], True]]
-        for w, x, y in zip(who[a].tolist(), place[a].tolist(), (place[b] + 1).tolist()):
-            out[w].append((x, y))
+    for w, x, y in _window_runs(who, place, np.flatnonzero(hit)):
+        out[w].append((x, y))
     return out
 
 
@@ -318,7 +371,7 @@ def _settle(length: int):
                 if not texts:
                     continue
                 names = list(texts)
-                found = least_ids(names, [texts[p][0] for p in names], length)
+                found = settled(names, [texts[p][0] for p in names], length)
                 for p, least in zip(names, found):
                     runs, s = [], 0
                     for j in range(1, len(least) + 1):
