@@ -11,7 +11,7 @@ sets is lost, and no stage emits all pairs of a group:
    verified exactly, pairs already connected are skipped.  Only spanning edges leave.
 4. Exact round: two linked sets share a shingle of both prefixes (rarest first).  A shingle whose sets all lie in
    one component is done; for the others trees of bitmaps alone (a byte a shingle) name the pairs of different
-   components that may link, and those pairs are verified.  A shingle with more than ``block`` sets is split into
+   components that may link, and those pairs are verified.  A shingle with more than ``block`` sets, or BLOCK_BYTES, is split into
    pairs of blocks.
 """
 
@@ -28,6 +28,8 @@ from . import common as C
 from .components import connected_components
 
 U64 = C.U64
+#: Sets that meet in one part of the first look, and bytes of sets or signatures in any part.
+FIRST, BLOCK_BYTES = 512, 32_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5, chunk: int = 1 << 18):
@@ -382,7 +384,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, block: int = 2048, id_col
     """Per document: id, n_shingles, component_id (the least id reachable by links).
 
     A null or empty text, or one without words, has no shingles and links with nothing.  Rows of one id are one
-    node.  A row whose id is null gets a null component.  An empty table gives no rows; other columns don't matter.
+    node.  A row whose id is null gets a null component.  Texts are read whole, however long.  An empty table gives no
+    rows; other columns don't matter, whatever their names.
     Links are counted over 64-bit shingle hashes.
     """
     shards = shards or C.n_shards(docs, text_col)
@@ -395,8 +398,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, block: int = 2048, id_col
 
     # Places to look first: each set under its rarest and least shingles; large groups in salted parts.
     first = near.select("id", "n", "toks", F.explode("keys").alias("key"))
-    counts = near.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
-    first = first.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / block)).cast("long"))
+    size_of = F.octet_length("toks")
+    counts = near.select(F.explode("keys").alias("key"), size_of.alias("b")).groupBy("key").agg(F.count("*").alias("count"), F.sum("b").alias("bytes")).where("count > 1")
+    # Parts are dealt anew under each key, so what one key's parts keep apart another's bring together.
+    parts = F.ceil(F.greatest(F.col("count") / min(block, FIRST), F.col("bytes") / BLOCK_BYTES))
+    first = first.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("long"))
     edges = C.cut(_by_key(first.select("key", "part", "id", "n", "toks"), shards, _first_links), "links")
     roots = connected_components(edges)
 
@@ -415,10 +421,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, block: int = 2048, id_col
     labelled = near.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "prefix", "toks", "sig", F.coalesce("root", "id").alias("root"))
     labelled = C.cut(labelled, "labelled")
     rows = labelled.select("id", "prefix", "toks", "root").mapInArrow(prefixes, "key long, id long, root long, rest long")
-    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where("lo < hi")
-    asked = rows.join(open_.select("key", "count"), "key")
-    # A key of more than block sets: blocks 0..c-1, a task for each pair of them (and each block with itself).
-    c = F.ceil(F.col("count") / block).cast("long")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count"), F.sum("rest").alias("tokens")).where("lo < hi")
+    asked = rows.join(open_.select("key", "count", "tokens"), "key")
+    # A key of more than a block of sets: blocks 0..c-1, a task for each pair of them (and each block with itself).  A
+    # signature has about a byte for each token.
+    c = F.ceil(F.greatest(F.col("count") / block, F.col("tokens") / BLOCK_BYTES)).cast("long")
     asked = asked.withColumn("c", c).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("c")))
     asked = asked.withColumn("other", F.explode(F.expr("sequence(0L, c - 1)")))
     asked = asked.select("key", "id", "rest", (F.least("mine", "other") * F.col("c") + F.greatest("mine", "other")).alias("part"), F.expr("case when mine = other then 2 when mine < other then 0 else 1 end").alias("side"))
