@@ -101,27 +101,71 @@ class Table:
         t[:, self.pad] = np.arange(n + 1)
         o = np.argsort(np.array(keys, np.int64), kind="stable")
         self.keys, self.to = np.array(keys, np.int64)[o], np.array(to, np.int64)[o]
-        self.root = np.array([a.next[0].get(c, n) for c in range(self.letters)] + [n], np.int64)  # by symbol; the last is the filling
+        self.root = np.array([a.next[0].get(c, n) for c in range(self.letters)] + [n], np.int32)  # by symbol; the last is the filling
         self.table, self.start, self.states = t.ravel(), n, n
 
-    def walk(self, grid: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases that start, last state) of each row of symbols (letters: the filling), from the given states."""
-        width, some = self.pad + 1, len(self.keys) > 0
-        state, count = state.copy(), np.zeros(len(grid), np.int64)
-        for c in grid.T.copy():
-            col = np.minimum(c, self.rare)
-            col[c == self.letters] = self.pad
-            v = self.table[state * width + col].astype(np.int64)
-            if some and (r := np.flatnonzero(col == self.rare)).size:
-                key = state[r] * self.letters + c[r]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                v[r[hit]] = self.to[at[hit]]
-            new = v == self.none
-            count += new
-            state = np.where(new, self.root[c], v)
-        return count, state
-
+    def columns(self, grid: np.ndarray) -> np.ndarray:
+        """The dense column of each symbol (letters: the filling)."""
+        col = np.minimum(grid, self.rare)
+        col[grid == self.letters] = self.pad
+        return col
+
+    def step(self, state: np.ndarray, c: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase starts) for the symbols c."""
+        v = self.table.take(state * np.int32(self.pad + 1) + col).astype(np.int32)
+        if len(self.keys) and (r := np.flatnonzero(col == self.rare)).size:
+            key = state[r].astype(np.int64) * self.letters + c[r]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            v[r[hit]] = self.to[at[hit]]
+        new = v == self.none
+        n = np.flatnonzero(new)
+        v[n] = self.root[c[n]]
+        return v, new
+
+    def walk(self, grid: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases that start in each segment grid[:, segment], as one reader would count them who comes from the segment
+        before where ``after`` says so.
+
+        All segments are first read side by side as if each were a text's first.  Those whose start was not where the
+        one before ended are read again from there, until they fall into step with what was read before.
+        """
+        size, n = grid.shape
+        col = self.columns(grid)
+        states, starts = np.empty((size, n), np.int32), np.empty((size, n), np.int8)
+        state = np.full(n, self.start, np.int32)
+        for j in range(size):
+            states[j], starts[j] = self.step(state, grid[j], col[j])
+            state = states[j]
+        begin, end = np.full(n, self.start, np.int32), state.copy()
+        count = starts.sum(0, dtype=np.int64)
+        todo = np.flatnonzero(after)
+        for _ in range(ROUNDS):
+            todo = todo[begin[todo] != end[todo - 1]]
+            if not len(todo):
+                return count
+            state = end[todo - 1].copy()
+            begin[todo], was, left = state, end[todo], todo
+            for j in range(size):
+                state, new = self.step(state, grid[j][left], col[j][left])
+                count[left] += new.astype(np.int64) - starts[j, left]
+                starts[j, left] = new
+                apart = state != states[j, left]
+                states[j, left] = state
+                left, state = left[apart], state[apart]
+                if not len(left):
+                    break
+            end[left] = state
+            todo = todo[was != end[todo]] + 1
+            todo = todo[todo < n]
+            todo = todo[after[todo]]
+        # Texts whose phrases never fall into step, such as one letter over and over: from left to right.
+        for r in todo.tolist():
+            while r < n and after[r] and begin[r] != end[r - 1]:
+                begin[r] = end[r - 1]
+                count[r], end[r] = self.follow(grid[:, r], int(begin[r]))
+                r += 1
+        return count
 
     def follow(self, row: np.ndarray, state: int) -> tuple[int, int]:
         """The same for one row."""
@@ -153,7 +197,7 @@ class CrossParser:
             often = [c for c, _ in sorted(Counter(c for c in texts[lang] if c != " ").items(), key=lambda x: (-x[1], x[0]))]
             own = {c: i + 2 for i, c in enumerate(often)}
             self.tables.append(Table([0 if c == " " else own[c] for c in texts[lang]], len(own)))
-            m = np.ones(len(union) + 2, np.int64)
+            m = np.ones(len(union) + 2, np.int32)
             m[0] = 0
             for c, i in own.items():
                 m[self.alphabet[c]] = i
@@ -196,30 +240,12 @@ class CrossParser:
         owner = np.repeat(np.arange(n), segments)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
         row, col = base[doc] + place // SEGMENT, place % SEGMENT
-        later = np.flatnonzero(np.r_[False, owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+        after = np.r_[False, owner[1:] == owner[:-1]] if len(owner) else np.zeros(0, bool)
         out = np.zeros((langs, n), np.int64)
         for l, t in enumerate(self.tables):
-            grid = np.full((len(owner), SEGMENT), t.letters, np.int64)
-            grid[row, col] = self.local[l][cls]
-            begin = np.full(len(owner), t.start, np.int64)
-            count, end = t.walk(grid, begin)
-            again = later
-            for _ in range(ROUNDS):
-                if not len(again := again[begin[again] != end[again - 1]]):
-                    break
-                begin[again] = end[again - 1]
-                was = end[again]
-                count[again], end[again] = t.walk(grid[again], begin[again])
-                after = again[was != end[again]] + 1
-                again = after[after < len(owner)]
-                again = again[owner[again] == owner[again - 1]]
-            # Texts whose phrases never fall into step, such as one letter over and over: from left to right.
-            for r in again.tolist():
-                while r < len(owner) and owner[r] == owner[r - 1] and begin[r] != end[r - 1]:
-                    begin[r] = end[r - 1]
-                    count[r], end[r] = t.follow(grid[r], int(begin[r]))
-                    r += 1
-            out[l] = np.bincount(owner, weights=count, minlength=n)
+            grid = np.full((SEGMENT, len(owner)), t.letters, np.int32)
+            grid[col, row] = self.local[l][cls]
+            out[l] = np.bincount(owner, weights=t.walk(grid, after), minlength=n)
         return out, size, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -64,6 +64,17 @@ def test_suffix_array():
         assert SD.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_settling_by_parts():
+    """Many pieces about one minimizer: by parts as in one array."""
+    rng = random.Random(2)
+    for length in (30, 50):
+        seed = bytes(rng.randrange(97, 101) for _ in range(24))
+        pieces = list({bytes(rng.choice(b"ab") for _ in range(length - 20)) + seed + bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(200)})
+        pieces += [p[2:] for p in pieces[:50] if p[2:] not in pieces]
+        ids = [rng.randrange(60) for _ in pieces]
+        assert SD.settled(pieces, ids, length, 3000) == SD.least_ids(pieces, ids, length) == SD.settled(pieces, ids, length)
+
+
 def brute_repeats(rows, length):
     first, out = {}, {}
     for i, t in rows:
@@ -646,6 +657,71 @@ def test_pipeline_on_a_fixture(spark, tmp_path):
         assert kept.columns == df.columns
 
 
+def test_pipeline_edge_rows(spark, tmp_path):
+    """Empty tables; nulls, repeated rows of one id, rows without an id, a very long text, extra columns."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = labelled(spark)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, row long, key string"
+    clean = [r.text for r in docs.where("doc_id < 240 and doc_id % 4 != 0").orderBy("doc_id").collect()]
+    rows = [(1, clean[0]), (1, clean[0]), (1, clean[1]), (2, clean[0]), (None, clean[2]), (None, None), (3, None), (4, ""), (5, " ".join(f"{w}{k}" for k in range(300) for w in clean[3].split())), (6, clean[4]), (7, clean[4])]
+    df = spark.createDataFrame([(i, t, None, "s", len(t or ""), "x", 1, "k") for i, t in rows], schema)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start in (df, df.limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.C.cut(stage(spark, kept, str(tmp_path)), "test")
+            assert kept.columns == df.columns
+            if name == "quality" and start is df:
+                assert {r.doc_id for r in kept.collect()} >= {1, 2, None, 5, 6, 7}
+            if name == "near_duplicates" and start is df:
+                left = [r.doc_id for r in kept.collect()]
+                assert left.count(1) == 1 and left.count(None) == 2 and left.count(6) == 1 and 7 not in left and 2 not in left and 5 in left
+        packed = corpus_pipeline.packed(spark, kept, str(tmp_path))
+        assert packed.count() == (0 if start is not df else packed.select("doc_id", "start").distinct().count() + 1)
+
+
+def test_registered_pair_queries(spark):
+    """The queries' columns and rows at sf0.001 against brute force: op1, op10, and op3's and op4's held-out rows."""
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in Q.op1_suffix_dedup(spark, sf).collect()}
+    assert got == brute_repeats(docs, 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in Q.op10_jaccard_join(spark, sf).collect()}
+    assert got == brute_components(docs)
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    four = Q.op4_quality_ranking(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in four)
+    held = [r for r in four if r.held_out and r.doc_id in label]
+    assert sum(r.predicted == label[r.doc_id] for r in held) >= 0.9 * len(held)
+    for r, (i, t) in zip(sorted(Q.op3_quality_rules(spark, sf).collect()), docs):
+        want = base_counts(t)
+        assert (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (i, *want)
+
+
+def test_decision_list_against_brute_force():
+    """One condition by trying every threshold; the expression judges as the list does."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = {k: np.round(rng.random(60), 1) for k in ("a", "b")}
+        y = (x["a"] > 0.6) & (x["b"] <= 0.5) | (rng.random(60) < 0.05)
+        if not y.any() or y.all():
+            continue
+        on = np.ones(60, bool)
+        gain, (name, op, at) = QU._best_condition(x, y, on)
+        best = 0.0
+        for k in x:
+            for t in np.unique(x[k])[:-1]:
+                for c in (x[k] <= t, x[k] > t):
+                    p = int((c & y).sum())
+                    if p:
+                        best = max(best, p * (np.log2(p / c.sum()) - np.log2(y.sum() / 60)))
+        assert gain == pytest.approx(best)
+        rules = QU.learn_list(x, y)
+        for r in rules:
+            assert all(n in x for n, _, _ in r)
+
+
 def test_op2_sql(spark):
     import duckdb
 
