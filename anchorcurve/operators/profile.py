@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import MotifSet
+from .arrays import CELLS, Flat, cell_rows, scanned
+from .arrays import window_sums as sums
 from .joins import points_in_intervals, range_join
-from .scan import one_hot, scan
 
 BASE_NAMES = ["A", "C", "G", "T"]
 
@@ -80,68 +81,87 @@ def dense_profile_sql(scores: DataFrame, anchor_rows: DataFrame, w: int, per_int
     return pairs.groupBy(*dims, (F.col("p") - F.col("pos")).alias("rel")).agg(F.sum("score").alias("value"))
 
 
-def _windows(x: np.ndarray, anchor: np.ndarray, w: int) -> np.ndarray:
-    """Sum over anchors of x[:, p - w : p + w + 1]."""
-    out = np.zeros((len(x), 2 * w + 1))
-    for p in anchor:
-        out += x[:, p - w : p + w + 1]
-    return out
-
-
 def dense_profile(strands: DataFrame, motifs: MotifSet, w: int, query: int | None = None, kind: str = "score", per_interval: bool = False) -> DataFrame:
     """Scan and accumulate in one narrow pass; what is shuffled is one partial profile for each batch.
 
     kind ``score``: (anchor_motif,) motif_idx, rel, value, both strands added.  kind ``base``: strand, motif_idx, rel,
     base, value: composition around hits.  kind ``signal``: strand, motif_idx, rel, celltype, value, from a column
     ``signal`` of arrays (one for each cell type, as long as the sequence; not reversed for strand 1).
-    per_interval adds interval_id, and each interval its own rows.
+    per_interval adds interval_id, and each interval its own rows, which leave before the next ones are made.
     """
-    kernels, limits, m = motifs.kernels, motifs.thresholds, motifs.length
-    needs = ["interval_id", "strand", "seq"] + (["signal"] if kind == "signal" else [])
-
-    def rows_of(i, strand, seq, signal):
-        x = scan(seq, kernels)
-        n = x.shape[1]
-        if kind == "score":
-            if n < 2 * w + 1:
-                return
-            for a in range(len(kernels)) if query is None else (query,):
-                p = np.flatnonzero(x[a] > limits[a])
-                p = p[(p >= w) & (p < n - w)]
-                if len(p):
-                    yield (a,), _windows(x, p, w)
-            return
-        if not seq:
-            return
-        y = one_hot(seq).T if kind == "base" else np.asarray(signal, np.float64).reshape(-1, len(seq))
-        size = y.shape[1]
-        if size < 2 * w + 1 or not n:
-            return
-        # The window is centred on the kernel's middle: m // 2, or (m - 1) // 2 where the kernel is longer than the window.
-        mid = m // 2 if 2 * w - m + 1 > 0 else (m - 1) // 2
-        for a in range(len(kernels)):
-            p = np.flatnonzero(x[a] > limits[a]) + mid
-            p = p[(p >= w) & (p < size - w)]
-            if len(p):
-                yield (strand, a), _windows(y, p, w)
-
+    kernels, limits, m = motifs.kernels, np.asarray(motifs.thresholds, np.float64)[:, None], motifs.length
+    needs = [F.col("interval_id").cast("long").alias("interval_id"), F.col("strand").cast("int").alias("strand"), "seq"] + (["signal"] if kind == "signal" else [])
+    # The window is centred on the kernel's middle: m // 2, or (m - 1) // 2 where the kernel is longer than the window.
+    mid = 0 if kind == "score" else m // 2 if 2 * w - m + 1 > 0 else (m - 1) // 2
     names = {"score": ["anchor_motif", "motif_idx"], "base": ["strand", "motif_idx", "channel"], "signal": ["strand", "motif_idx", "channel"]}[kind]
     dims = [*(["interval_id"] if per_interval else []), *names, "rel"]
 
+    def anchors_of(f: Flat) -> tuple[np.ndarray, np.ndarray]:
+        """(motif, place) of hits with a whole window, in the order of motifs."""
+        x = f.scores > limits
+        if query is not None and kind == "score":
+            x[np.arange(len(x)) != query] = False
+        a, at = np.nonzero(x)
+        size = (f.counts if kind == "score" else f.lengths)[f.row[at]]
+        p = f.p[at] + mid
+        ok = (p >= w) & (p < size - w)
+        return a[ok], at[ok]
+
+    def sums_of(f: Flat, signal, a: np.ndarray, at: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        if kind == "score":
+            return sums(f.scores, at, group, groups, w)
+        row = f.row[at]
+        if kind == "base":
+            out = np.zeros((groups, 5, 2 * w + 1))
+            place = f.offsets[row] + f.p[at] + mid
+            for r in range(-w, w + 1):
+                out[:, :, r + w] = np.bincount(group * 5 + f.codes[place + r], minlength=groups * 5).reshape(groups, 5)
+            return out[:, :4]
+        flat, at_row, channels = signal
+        out = np.zeros((groups, channels, 2 * w + 1))
+        for c in range(channels):
+            place = at_row[f.first + row] + c * f.lengths[row] + f.p[at] + mid
+            out[:, c] = sums(flat[None], place, group, groups, w)[:, 0]
+        return out
+
     def fn(batches):
         for b in batches:
-            total: dict[tuple, np.ndarray] = {}
-            # Some rows at a time: as Python objects, the signals of a batch of whole texts take many times their bytes.
-            for i, strand, seq, *signal in (r for k in range(0, len(b), 64) for r in zip(*(b.column(c).slice(k, 64).to_pylist() for c in needs))):
-                for key, v in rows_of(i, strand, seq or "", signal[0] if signal else None):
-                    key = ((i,) if per_interval else ()) + key
-                    total[key] = total[key] + v if key in total else v
-            out: list[tuple] = []
-            for key, v in total.items():
-                for j, r in zip(*np.nonzero(v)):
-                    out.append((*key, int(j), int(r) - w, float(v[j, r])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out))[:-1]] + [pa.array([x[-1] for x in out], pa.float64())], [*dims, "value"])
+            ids, strand = np.asarray(b.column("interval_id").fill_null(0)), np.asarray(b.column("strand"))
+            signal = _flat_signal(b.column("signal")) if kind == "signal" else None
+            total: dict[int, np.ndarray] = {}
+            # Cells of one interval's profile bound how many intervals are taken at a time.
+            cells = CELLS if not per_interval else max(1, CELLS // (2 * w + 1))
+            for f in scanned(b.column("seq"), kernels, cells):
+                a, at = anchors_of(f)
+                if not len(a):
+                    continue
+                if per_interval:
+                    yield from _each(f, signal, a, at, ids, strand)
+                    continue
+                for s in np.unique(strand[f.row[at] + f.first]).tolist() if kind != "score" else [0]:
+                    on = slice(None) if kind == "score" else strand[f.row[at] + f.first] == s
+                    v = sums_of(f, signal, a[on], at[on], a[on], len(kernels))
+                    total[s] = total[s] + v if s in total else v
+            for s, v in total.items():
+                g = np.arange(len(kernels))
+                keys = [g] if kind == "score" else [np.full(len(kernels), s), g]
+                yield _batch(cell_rows(v, keys, w), kind)
+
+    def _each(f: Flat, signal, a, at, ids, strand):
+        row = f.row[at]
+        key = row * len(kernels) + a
+        o = np.argsort(key, kind="stable")
+        a, at, key = a[o], at[o], key[o]
+        known, group = np.unique(key, return_inverse=True)
+        most = max(1, CELLS // (len(kernels) * (2 * w + 1)))
+        for g in range(0, len(known), most):
+            lo, hi = np.searchsorted(group, [g, min(g + most, len(known))])
+            v = sums_of(f, signal, a[lo:hi], at[lo:hi], group[lo:hi] - g, min(most, len(known) - g))
+            row, motif = known[g : g + most] // len(kernels) + f.first, known[g : g + most] % len(kernels)
+            yield _batch(cell_rows(v, [ids[row], motif] if kind == "score" else [ids[row], strand[row], motif], w), kind)
+
+    def _batch(cols: list[np.ndarray], kind: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*dims, "value"])
 
     partial = strands.select(*needs).mapInArrow(fn, ", ".join(f"{d} long" for d in dims) + ", value double")
     out = partial.groupBy(*dims).agg(F.sum("value").alias("value"))
@@ -150,6 +170,17 @@ def dense_profile(strands: DataFrame, motifs: MotifSet, w: int, query: int | Non
     return out.withColumnRenamed("channel", "celltype") if kind == "signal" else out
 
 
+def _flat_signal(col: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(values, where each row's begin, cell types) of a column of arrays of arrays."""
+    inner = col.flatten()
+    sizes = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    channels = int(sizes.max()) if len(sizes) else 0
+    lens = inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(lens)])
+    first = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+    return inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64), begin[first], channels
+
+
 def window_sums(scores: DataFrame, anchor_rows: DataFrame, w: int) -> DataFrame:
     """motif_idx, value: sums over whole windows, from running sums (one scalar for each motif)."""
     from pyspark.sql.window import Window

@@ -1,7 +1,9 @@
 """Kernel scans: scores of every position, hits, coordinates, anchors.
 
 scan_columns is built of column expressions only (one higher-order expression for each kernel); scan_arrow does the
-same in NumPy for many or long kernels.  Both are narrow: a sequence is scored where it lies.
+same in NumPy for many or long kernels, a batch of sequences at a time.  Both are narrow: a sequence is scored where it
+lies.  What is needed by interval only (statistics, maxima, sums, counts) is reduced in the same pass, so no row for
+each place ever leaves it.
 """
 
 from __future__ import annotations
@@ -12,10 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BASES, MotifSet
-
-_CODE = np.full(256, 4, np.uint8)
-for _i, _b in enumerate(BASES):
-    _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
+from .arrays import CODE, scan_codes, scanned
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -23,16 +22,12 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def one_hot(seq: str) -> np.ndarray:
-    return np.eye(5, 4, dtype=np.float32)[_CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]]
+    return np.eye(5, 4, dtype=np.float32)[CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]]
 
 
 def scan(seq: str, kernels: np.ndarray) -> np.ndarray:
     """(motif, position) scores: valid cross-correlation, then negative ones to zero."""
-    m = kernels.shape[1]
-    if len(seq) < m:
-        return np.zeros((len(kernels), 0), np.float32)
-    x = np.lib.stride_tricks.sliding_window_view(one_hot(seq), m, axis=0)
-    return np.maximum(np.tensordot(kernels, x, axes=([1, 2], [2, 1])), 0)
+    return scan_codes(CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)], kernels)
 
 
 def with_strands(intervals: DataFrame, both: bool = True) -> DataFrame:
@@ -74,16 +69,86 @@ def scan_arrow(strands: DataFrame, motifs: MotifSet, above: float | None = None)
 
     def fn(batches):
         for b in batches:
-            out = [[], [], [], [], []]
-            for i, s, q in zip(b.column("interval_id").to_pylist(), b.column("strand").to_pylist(), b.column("seq").to_pylist()):
-                x = scan(q or "", kernels)
-                k, p = np.nonzero(x > above) if above is not None else map(np.ravel, np.indices(x.shape))
-                for c, v in zip(out, (np.full(len(k), i, np.int64), np.full(len(k), s, np.int32), k.astype(np.int32), p.astype(np.int32), x[k, p].astype(np.float64))):
-                    c.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["interval_id", "strand", "motif_idx", "p", "score"])
-
-    return strands.select("interval_id", "strand", "seq").mapInArrow(fn, "interval_id long, strand int, motif_idx int, p int, score double")
+            ids, strand = b.column("interval_id"), np.asarray(b.column("strand"))
+            for f in scanned(b.column("seq"), kernels):
+                k, at = np.nonzero(f.scores > above) if above is not None else map(np.ravel, np.indices(f.scores.shape))
+                row = f.row[at] + f.first
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(strand[row].astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(f.p[at].astype(np.int32)), pa.array(f.scores[k, at].astype(np.float64))], ["interval_id", "strand", "motif_idx", "p", "score"])
+
+    return _scanned(strands).mapInArrow(fn, "interval_id long, strand int, motif_idx int, p int, score double")
+
+
+def _scanned(strands: DataFrame) -> DataFrame:
+    return strands.select(F.col("interval_id").cast("long").alias("interval_id"), F.col("strand").cast("int").alias("strand"), "seq")
+
+
+def _reduced(strands: DataFrame, motifs: MotifSet, reduce, schema: str) -> DataFrame:
+    """Rows (interval_id, strand, motif_idx, then reduce's columns) of the scanned rows, reduced where they lie.
+
+    reduce(scores, places, starts): columns (motif, row) of float64 or int64, and a mask (motif, row) of cells to keep.
+    starts holds only rows with places.
+    """
+    kernels = motifs.kernels
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def fn(batches):
+        for b in batches:
+            ids, strand = b.column("interval_id"), np.asarray(b.column("strand"))
+            for f in scanned(b.column("seq"), kernels):
+                rows = np.flatnonzero(f.counts)
+                if not len(rows):
+                    continue
+                cols, keep = reduce(f.scores, f.p, f.starts[:-1][rows])
+                k, at = np.nonzero(keep)
+                row = rows[at] + f.first
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(strand[row].astype(np.int32)), pa.array(k.astype(np.int32)), *(pa.array(c[k, at]) for c in cols)], ["interval_id", "strand", "motif_idx", *names])
+
+    return _scanned(strands).mapInArrow(fn, f"interval_id long, strand int, motif_idx int, {schema}")
+
+
+def scan_statistics(strands: DataFrame, motifs: MotifSet) -> DataFrame:
+    """interval_id, strand, motif_idx, n, total, best: places, sum and greatest of the scores."""
+
+    def reduce(x, p, starts):
+        n = np.diff(np.r_[starts, x.shape[1]])
+        return (np.tile(n, (len(x), 1)), np.add.reduceat(x, starts, axis=1, dtype=np.float64), np.maximum.reduceat(x, starts, axis=1).astype(np.float64)), np.ones((len(x), len(starts)), bool)
+
+    out = _reduced(strands, motifs, reduce, "n long, total double, best double").groupBy("interval_id", "strand", "motif_idx")
+    return out.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+
+
+def scan_max(strands: DataFrame, motifs: MotifSet) -> DataFrame:
+    """As max_hits of all scores, reduced in the scan: one row for each sequence, strand and motif is grouped."""
+    limits = np.asarray(motifs.thresholds, np.float64)[:, None]
+
+    def reduce(x, p, starts):
+        best = np.maximum.reduceat(x, starts, axis=1)
+        wide = np.diff(np.r_[starts, x.shape[1]])
+        first = np.minimum.reduceat(np.where(x == np.repeat(best, wide, axis=1), p, np.iinfo(np.int64).max), starts, axis=1)
+        return (first, best.astype(np.float64)), best > limits
+
+    rows = _reduced(strands, motifs, reduce, "rel_pos long, score double").groupBy("interval_id", "motif_idx")
+    best = rows.agg(F.max(F.struct("score", (-F.col("rel_pos")).alias("np"))).alias("b"))
+    return best.select("interval_id", "motif_idx", (-F.col("b.np")).cast("int").alias("rel_pos"), F.col("b.score").alias("score"))
+
+
+def scan_sums(strands: DataFrame, motifs: MotifSet, levels: dict[str, list[float]] | None = None) -> DataFrame:
+    """interval_id, motif_idx, level, n_hits, score: number and sum of scores above the thresholds of each level.
+
+    levels: thresholds by name, one for each motif; without it the motifs' own, named ``own``.
+    """
+    names = list(levels or {"own": motifs.thresholds})
+    limits = [np.asarray(v, np.float64)[:, None] for v in (levels or {"own": motifs.thresholds}).values()]
+
+    def reduce(x, p, starts):
+        hit = [x > t for t in limits]
+        n = [np.add.reduceat(h, starts, axis=1, dtype=np.int64) for h in hit]
+        return tuple(n) + tuple(np.add.reduceat(np.where(h, x, 0), starts, axis=1, dtype=np.float64) for h in hit), sum(n) > 0
+
+    schema = ", ".join([f"n{i} long" for i in range(len(names))] + [f"s{i} double" for i in range(len(names))])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"n{i}").alias("n_hits"), F.col(f"s{i}").alias("score")) for i, k in enumerate(names)])).alias("e")
+    rows = _reduced(strands, motifs, reduce, schema).select("interval_id", "motif_idx", each).select("interval_id", "motif_idx", "e.*").where("n_hits > 0")
+    return rows.groupBy("interval_id", "motif_idx", "level").agg(F.sum("n_hits").alias("n_hits"), F.sum("score").alias("score"))
 
 
 def _per_motif(values: list) -> Column:

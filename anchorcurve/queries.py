@@ -234,14 +234,13 @@ def scan_scores(spark, sf_dir):
 
 @query(f"WITH {SCORES} SELECT interval_id, CAST(strand AS INT) AS strand, CAST(motif_idx AS INT) AS motif_idx, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, CAST(max(score) AS BIGINT) AS best FROM sc GROUP BY ALL")
 def scan_scores_arrow(spark, sf_dir):
-    """The same scan in NumPy."""
-    s = S.scan_arrow(strands(spark, sf_dir), motifs()).groupBy("interval_id", "strand", "motif_idx")
-    return s.agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total"), F.max("score").cast("long").alias("best"))
+    """The same scan in NumPy, reduced where the sequences lie."""
+    return _whole(S.scan_statistics(strands(spark, sf_dir), motifs()), "total", "best")
 
 
 @query(f"WITH {SCORES} SELECT CAST(motif_idx AS INT) AS motif_idx, count(*) AS n_hits FROM hs GROUP BY ALL")
 def hit_counts(spark, sf_dir):
-    return S.hit_counts(S.scan_arrow(strands(spark, sf_dir), motifs(), 0.0), motifs())
+    return S.scan_sums(strands(spark, sf_dir), motifs()).groupBy("motif_idx").agg(F.sum("n_hits").alias("n_hits"))
 
 
 _POSITIONS = f"WITH {SCORES} SELECT interval_id, CAST(motif_idx AS INT) AS motif_idx, CAST(strand AS INT) AS strand, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p ELSE n + 2 - p - 3 END AS BIGINT) AS start_pos, CAST(interval_id * 1000 + CASE WHEN strand = 0 THEN p + 1 ELSE n + 2 - 1 - p - 1 END AS BIGINT) AS center_pos, CAST(score AS BIGINT) AS score FROM hs"
@@ -271,12 +270,13 @@ _MAX = f"WITH {SCORES} SELECT interval_id, CAST(motif_idx AS INT) AS motif_idx,
 
 @query(_MAX)
 def max_hit_per_region(spark, sf_dir):
-    return _whole(S.max_hits(S.scan_arrow(strands(spark, sf_dir, False), motifs(), 0.0), motifs()), "score")
+    return _whole(S.scan_max(strands(spark, sf_dir, False), motifs()), "score")
 
 
 @query(f"WITH {SCORES} SELECT interval_id, CAST(motif_idx AS INT) AS motif_idx, CAST(-1 AS INT) AS rel_pos, CAST(sum(score) AS BIGINT) AS score FROM hs WHERE strand = 0 GROUP BY ALL")
 def sum_hit_per_region(spark, sf_dir):
-    return _whole(S.sum_hits(S.scan_arrow(strands(spark, sf_dir, False), motifs(), 0.0), motifs()), "score")
+    rows = S.scan_sums(strands(spark, sf_dir, False), motifs()).where("score > 0")
+    return _whole(rows.select("interval_id", "motif_idx", F.lit(-1).alias("rel_pos"), "score"), "score")
 
 
 def _dense(where: str, w: int, dims: str) -> str:

@@ -316,3 +316,35 @@ def test_queries_of_all_hits(spark, tmp_path):
     hits, strong = Q.Q["hit_positions_all"](spark, sf), Q.Q["hit_positions"](spark, sf)
     assert {r.score for r in hits.select("score").distinct().collect()} == {2, 3, 4}
     assert strong.count() and not strong.exceptAll(hits).count() and not hits.where("score >= 4").exceptAll(strong).count()
+
+
+def test_long_kernels_and_batches(spark):
+    """Kernels beyond the lookup table, several pieces of a batch, letters beyond ASCII, against one place at a time."""
+    from anchorcurve.operators import arrays as A
+
+    rng = np.random.default_rng(11)
+    kernels = rng.integers(-2, 3, (3, 9, 4)).astype(np.float32)
+    import pyarrow as pa
+
+    seqs = ["".join(rng.choice(list("ACGTN"), int(n))) for n in (0, 8, 9, 40, 200, 3)] + [None, "ACGéACGTACGTAC", "acgtacgtacg"]
+    want = {}
+    for i, s in enumerate(seqs):
+        codes = ["ACGT".find(c.upper()) for c in s or ""]
+        for p in range(len(codes) - 8):
+            want[i, p] = [max(0.0, float(sum(k[j][codes[p + j]] for j in range(9) if codes[p + j] >= 0))) for k in kernels]
+    for cells in (1, 100, 10**6):
+        got = {}
+        for f in A.scanned(pa.array(seqs), kernels, cells):
+            for x in range(len(f.p)):
+                got[int(f.row[x]) + f.first, int(f.p[x])] = f.scores[:, x].tolist()
+        assert got == want
+    m = MotifSet(["a", "b", "c"], kernels, [3.0, 4.0, 2.0])
+    st = S.with_strands(spark.createDataFrame([(i, s) for i, s in enumerate(seqs) if s], "interval_id long, seq string"))
+    every = S.scan_arrow(st, m)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(S.scan_max(st, m)) == key(S.max_hits(every, m))
+    assert key(S.scan_sums(st, m).where("score > 0").select("interval_id", "motif_idx", F.lit(-1), "score")) == key(S.sum_hits(every, m))
+    stats = every.groupBy("interval_id", "strand", "motif_idx").agg(F.count("*"), F.sum("score"), F.max("score"))
+    assert key(S.scan_statistics(st, m)) == key(stats)
+    levels = {(r.motif_idx, r.level): r.n for r in S.scan_sums(st, m, {"low": [1.0] * 3, "high": [5.0] * 3}).groupBy("motif_idx", "level").agg(F.sum("n_hits").alias("n")).collect()}
+    assert levels == {(r.motif_idx, k): r.n for k, t in (("low", 1), ("high", 5)) for r in every.where(F.col("score") > t).groupBy("motif_idx").agg(F.count("*").alias("n")).collect()}
