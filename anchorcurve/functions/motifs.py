@@ -46,3 +46,24 @@ def resolve_motif(names: list[str], query: str) -> int:
     if len(found) != 1:
         raise ValueError(f"{query!r} stands for {len(found)} motifs")
     return found[0]
+
+
+def resolve_target(names: list[str], target: str, resolver=None) -> int:
+    """Digits are an index, anything else goes to the resolver (name -> index), which is resolve_motif unless given."""
+    if target.isdigit():
+        return resolve_motif(names, target)
+    return (resolver or (lambda t: resolve_motif(names, t)))(target)
+
+
+def thresholds_of(n: int, key: str | None = None, score: float | None = None, by_key: dict[str, list[float]] | None = None, annotation: list[float] | None = None) -> list[float]:
+    """Thresholds of n motifs: an explicit score, else those of the p-value key, else the annotation's.
+
+    None of them, or a list of another length: ValueError.
+    """
+    if score is not None:
+        return [float(score)] * n
+    out = (by_key or {}).get(key) if key is not None else None
+    out = annotation if out is None else out
+    if out is None or len(out) != n:
+        raise ValueError("no threshold for every motif")
+    return [float(x) for x in out]

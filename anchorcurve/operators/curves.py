@@ -38,11 +38,24 @@ def valid_average(curve: Column, size: int) -> Column:
 
 
 def autocorrelation(curves: DataFrame, key: str, delays: int) -> DataFrame:
-    """key, delay, r: correlation of each curve with itself at delays 1 .. delays - 1."""
-    long = curves.select(key, F.posexplode("curve").alias("i", "x"))
-    d = long.withColumn("delay", F.explode(F.sequence(F.lit(1), F.lit(delays - 1)))).withColumn("j", F.col("i") + F.col("delay"))
-    b = long.select(key, F.col("i").alias("j"), F.col("x").alias("y"))
-    return d.join(b, [key, "j"]).groupBy(key, "delay").agg(F.corr("x", "y").alias("r"))
+    """key, delay, r: correlation of each curve with itself at delays 1 .. delays - 1; null where one part has no spread.
+
+    Within each curve's array: no row for each place, and no join.  Curves without two places at a delay give no row.
+    """
+    kind = curves.schema[key].dataType.simpleString()
+
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for k, c in zip(pdf[key], pdf["curve"]):
+                x = np.asarray(c, float)
+                for d in range(1, min(delays, len(x))):
+                    a, b = x[:-d] - x[:-d].mean(), x[d:] - x[d:].mean()
+                    norm = np.sqrt((a @ a) * (b @ b))
+                    out.append((k, d, float(a @ b / norm) if norm else None))
+            yield pd.DataFrame(out, columns=[key, "delay", "r"]).astype({"r": float})
+
+    return curves.select(key, "curve").mapInPandas(fn, f"{key} {kind}, delay int, r double")
 
 
 def spectrum(curves: DataFrame, key: str, top: int | None = None) -> DataFrame:
@@ -107,3 +120,33 @@ def rank_contexts(curves: DataFrame, counts: DataFrame, min_regions: int = 1, si
 
 def top_contexts(ranked: DataFrame, n: int) -> DataFrame:
     return ranked.orderBy("rank_sum", "motif_idx").limit(n)
+
+
+def pair_curves(curves: DataFrame, pairs: list[tuple[str, str]], names: list[str]) -> DataFrame:
+    """anchor, partner, rel, value of the curves (anchor_motif, motif_idx, curve) of named pairs: what a grid of plots shows."""
+    at = {n: i for i, n in enumerate(names)}
+    known = [(a, b, at[a], at[b]) for a, b in pairs if a in at and b in at]
+    spark = curves.sparkSession
+    wanted = spark.createDataFrame(known, "anchor string, partner string, anchor_motif long, motif_idx long")
+    rows = curves.withColumns({c: F.col(c).cast("long") for c in ("anchor_motif", "motif_idx")}).join(F.broadcast(wanted), ["anchor_motif", "motif_idx"])
+    half = F.floor(F.size("curve") / 2)
+    return rows.select("anchor", "partner", half.alias("_h"), F.posexplode("curve").alias("i", "value")).select("anchor", "partner", (F.col("i") - F.col("_h")).cast("long").alias("rel"), "value")
+
+
+def clustered(curves: DataFrame, key: str, most: int = 5000) -> DataFrame:
+    """key, place: the order of a heat map's rows, each next to the row most like it (a chain by cosine similarity from
+    the row of greatest norm).  A plot holds at most ``most`` rows; more are an error, as no plot can show them."""
+    rows = curves.select(key, "curve").orderBy(key).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a heat map of more than {most} rows")
+    kind = curves.schema[key].dataType.simpleString()
+    x = np.array([np.asarray(c, float) for c in rows["curve"]]) if len(rows) else np.zeros((0, 1))
+    norm = np.linalg.norm(x, axis=1)
+    unit = x / np.where(norm > 0, norm, 1)[:, None]
+    order, left = [], np.ones(len(x), bool)
+    while left.any():
+        like = unit @ unit[order[-1]] if order else norm
+        k = int(np.argmax(np.where(left, like, -np.inf)))
+        order.append(k)
+        left[k] = False
+    return curves.sparkSession.createDataFrame([(rows[key].iloc[k].item() if hasattr(rows[key].iloc[k], "item") else rows[key].iloc[k], i) for i, k in enumerate(order)], f"{key} {kind}, place long")

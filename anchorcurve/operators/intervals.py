@@ -27,12 +27,22 @@ def center_windows(df: DataFrame, window: int) -> DataFrame:
     return df.withColumn("_s", s).withColumn("start", F.col("_s")).withColumn("end", F.col("_s") + window).drop("_s")
 
 
-def _islands(df: DataFrame, joins: bool, gap: int = 0) -> DataFrame:
-    """Adds island: a running number per chromosome.  joins: an interval that only touches the one before joins it."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    prev = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = (F.col("start") > prev + gap) if joins else (F.col("start") >= prev + gap)
-    return df.withColumn("_new", F.when(prev.isNull() | new, 1).otherwise(0)).withColumn("island", F.sum("_new").over(w)).drop("_new")
+def _islands(df: DataFrame, joins: bool, gap: int = 0, span: int = 1 << 20) -> DataFrame:
+    """Adds island: a running number per chromosome.  joins: an interval that only touches the one before joins it.
+
+    Done by ranges of ``span`` starts: what lies before a range comes to it as one number, so no chromosome is one task.
+    """
+    own = Window.partitionBy("chrom", "_range").orderBy("start", "end")
+    ranges = Window.partitionBy("chrom").orderBy("_range")
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_range", F.floor(F.col("start") / span))
+    ends = rows.groupBy("chrom", "_range").agg(F.max("end").alias("_most")).select("chrom", "_range", F.max("_most").over(past(ranges)).alias("_far"))
+    rows = rows.join(ends, ["chrom", "_range"]).withColumn("_prev", F.greatest(F.max("end").over(past(own)), "_far"))
+    new = (F.col("start") > F.col("_prev") + gap) if joins else (F.col("start") >= F.col("_prev") + gap)
+    rows = rows.withColumn("_new", F.when(F.col("_prev").isNull() | new, 1).otherwise(0))
+    begun = rows.groupBy("chrom", "_range").agg(F.sum("_new").alias("_n")).select("chrom", "_range", F.coalesce(F.sum("_n").over(past(ranges)), F.lit(0)).alias("_before"))
+    rows = rows.join(begun, ["chrom", "_range"]).withColumn("island", F.sum("_new").over(own) + F.col("_before"))
+    return rows.drop("_range", "_far", "_prev", "_new", "_before")
 
 
 def merge_touching(df: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
@@ -89,13 +99,34 @@ def covering_tiles(df: DataFrame, tile: int, flank: int) -> DataFrame:
     return out.withColumn("scan_start", F.greatest(F.lit(0), F.col("tile_start") - flank)).withColumn("scan_end", F.col("tile_end") + flank)
 
 
-def extend(df: DataFrame, by: int, sizes: dict[str, int] | None = None) -> DataFrame:
+def extend(df: DataFrame, by: int, sizes: dict[str, int] | None = None, right_only: bool = False) -> DataFrame:
+    """Intervals wider by ``by`` on both sides, within their chromosomes; right_only: at their ends alone, starts as they are.
+
+    sizes: a chromosome that it lacks has no bound.  by <= 0: unchanged.
+    """
     if by <= 0:
         return df
     end = F.col("end") + by
-    if sizes is not None:
+    if sizes:
         end = F.least(end, F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("chrom")])
-    return df.withColumn("end", end).withColumn("start", F.greatest(F.lit(0), F.col("start") - by))
+    out = df.withColumn("end", end)
+    return out if right_only else out.withColumn("start", F.greatest(F.lit(0), F.col("start") - by))
+
+
+def numbered(df: DataFrame, keys: tuple[str, ...] = ("chrom", "start", "end"), name: str = "interval_id") -> DataFrame:
+    """The distinct keys with a number each, written to the shared folder once, so the numbers are the same in every use."""
+    from ..sources.folders import cut
+
+    return cut(df.select(*keys).distinct().withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def common_chromosomes(*tables: DataFrame) -> DataFrame:
+    """The chromosomes that all tables hold."""
+    names = [t.select("chrom").where("chrom is not null").distinct() for t in tables]
+    out = names[0]
+    for n in names[1:]:
+        out = out.join(n, "chrom", "left_semi")
+    return out
 
 
 def coalesce_blocks(df: DataFrame, gap: int, max_span: int | None = None, n_motifs: int = 1, motif_length: int = 1, max_bytes: int | None = None, strands: int = 2) -> DataFrame:

@@ -7,7 +7,13 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import MotifSet
+from ..operators import intervals as I
+from ..operators import joins as J
 from ..operators import profile as P
+from ..operators import scan as S
+from ..sources import readers
+from . import workflows as W
 
 SCHEMA_VERSION = "anchorcurve_contribution_cache_v1"
 
@@ -29,11 +35,18 @@ def resource_plan(memberships: DataFrame, n_motifs: int, w: int, all_pairs: bool
     return out
 
 
-def cache_plan(n_unique: int, n_motifs: int, w: int, query: bool, most_bytes: int, fractions: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 1.0)) -> dict:
-    """Bytes of a contribution cache, dense and at several shares of non-zero intervals."""
+#: Shares of non-zero cells for which a sparse cache is sized.
+SHARES = (0.02, 0.2, 0.5)
+
+
+def cache_plan(n_unique: int, n_motifs: int, w: int, query: bool, most_bytes: int, shares: tuple[float, ...] = SHARES) -> dict:
+    """Bytes of a contribution cache: dense, and as rows of non-zero cells (16 bytes each, four times a dense cell) at
+    several shares of them, with their ratio to the dense one.  recommend: dense if it fits, else sparse if some share does."""
     each = 4 * (1 if query else n_motifs) * n_motifs * (2 * w + 1)
     dense = each * n_unique
-    return {"bytes_per_interval": each, "dense_bytes": dense, "sparse_bytes": {f: int(dense * f) for f in fractions}, "feasible": dense <= most_bytes, "recommend": "dense" if dense <= most_bytes else "sparse"}
+    sparse = {f: int(4 * dense * f) for f in shares}
+    fits = [f for f, b in sparse.items() if b <= most_bytes]
+    return {"bytes_per_interval": each, "dense_bytes": dense, "sparse_bytes": sparse, "ratios": {f: 4 * f for f in shares}, "feasible": dense <= most_bytes, "recommend": "dense" if dense <= most_bytes else "sparse" if fits else "none"}
 
 
 class ContributionCache:
@@ -64,6 +77,136 @@ class ContributionCache:
         return P.fan_out(values, memberships, strict=not missing_are_zero)
 
 
+class HitCache:
+    """Hits of whole chromosomes or of covered stretches, sorted by place, with the fingerprint of what made them."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def build(self, chunks: DataFrame, chunk: int, motifs: MotifSet, tile: int | None = None, regions: DataFrame | None = None, ext: int = 0, both: bool = True, parts: int = 200) -> None:
+        """Scans tiles of all chromosomes, or the merged regions, with a flank of ext and a kernel's length; a hit belongs to
+        the stretch that holds its centre, so flanks find hits at the edges and none is written twice."""
+        if (tile is None) == (regions is None):
+            raise ValueError("either a tile length or regions")
+        sizes = readers.chromosome_sizes(chunks)
+        if regions is None:
+            own = I.tiles(sizes, tile)
+        else:
+            r = regions.select("chrom", "start", "end").join(sizes, "chrom")
+            own = I.merge_touching(r.select("chrom", F.greatest(F.lit(0), "start").alias("start"), F.least("end", "size").alias("end")))
+        own = I.numbered(own)
+        fetched = readers.fetch_sequences(chunks, own, chunk, ext=ext + motifs.length)
+        found = S.owned_hits(W.hits_of_intervals(fetched, motifs, both), own.select("interval_id", F.col("start").alias("tile_start"), F.col("end").alias("tile_end")))
+        S.write_hits(found.drop("interval_id"), f"{self.path}/hits", parts)
+        _write_meta(chunks.sparkSession, f"{self.path}/meta", self.describe(motifs, tile, ext, both) | {"complete": True})
+
+    @staticmethod
+    def describe(motifs: MotifSet, tile: int | None, ext: int, both: bool) -> dict:
+        return {"schema": "anchorcurve_hit_cache_v1", "motifs": motifs.fingerprint(), "tile": tile, "ext": ext, "both": both, "frame": "center"}
+
+    def meta(self, spark) -> dict:
+        return json.loads(spark.read.text(f"{self.path}/meta").first().value)
+
+    def mismatches(self, spark, expected: dict) -> list[str]:
+        return mismatches(self.meta(spark), expected | {"complete": True})
+
+    def hits(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/hits")
+
+    def query(self, spark, chrom: str, start: int, end: int, motif_idx: list[int] | None = None, min_score: float | None = None) -> DataFrame:
+        return S.query_hits(self.hits(spark), chrom, start, end, motif_idx, min_score)
+
+    def profile(self, regions: DataFrame, w: int, query=None) -> DataFrame:
+        """(anchor_motif,) motif_idx, rel, value of the cached hits within regions, each region for itself."""
+        c = P.region_contributions(self.hits(regions.sparkSession), regions, w, query)
+        keys = ["chrom", "start", "end"]
+        m = regions.groupBy(*keys).agg(F.count("*").alias("n"))
+        return c.join(m, keys).groupBy("anchor_motif", "motif_idx", "rel").agg(F.sum(F.col("value") * F.col("n")).alias("value"))
+
+
+class AnchorCache:
+    """Anchors of one motif in distinct intervals: places (interval, strand, pos) and counts, zero too."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def build(self, intervals: DataFrame, motifs: MotifSet, query: int, w: int, both: bool = True) -> None:
+        """From intervals (interval_id, chrom, start, end, seq), each scanned with the query motif alone."""
+        one = motifs.take([query])
+        strands = S.with_strands(intervals.select("interval_id", "seq"), both)
+        n = strands.where("strand = 0").select("interval_id", (F.length("seq") - motifs.length + 1).alias("n"))
+        found = S.anchors(S.scan_arrow(strands, one, above=_floor(one)), n, 0, float(one.thresholds[0]), w)
+        keys = intervals.select("interval_id", "chrom", "start", "end")
+        self._write(keys.join(found, "interval_id").select("chrom", "start", "end", "strand", "pos"), keys, motifs, query, w, both)
+
+    def build_from_tiles(self, chunks: DataFrame, chunk: int, intervals: DataFrame, motifs: MotifSet, query: int, w: int, tile: int, flank: int, both: bool = True) -> None:
+        """From the tiles that intervals (interval_id, chrom, start, end, within their chromosomes) touch, each scanned once.
+
+        Places in a tile become places of the sequence, then of each interval: on the reverse strand counted from its end.
+        Flanks overlap, so a place may be found twice and is kept once.  flank: a kernel's length less one at least.
+        """
+        one, m = motifs.take([query]), motifs.length
+        if flank < m - 1:
+            raise ValueError("the flank must hold a kernel that begins in the tile")
+        t = I.covering_tiles(intervals, tile, flank).select("chrom", F.col("scan_start").alias("start"), F.col("scan_end").alias("end"))
+        fetched = readers.fetch_sequences(chunks, I.numbered(t), chunk)
+        found = S.hits(S.scan_arrow(S.with_strands(fetched.select("interval_id", "seq"), both), one, above=_floor(one)), one)
+        at = found.join(fetched.select("interval_id", "chrom", F.col("start").alias("_ts"), F.col("end").alias("_te")), "interval_id")
+        at = at.select("chrom", "strand", F.when(F.col("strand") == 0, F.col("_ts") + F.col("p")).otherwise(F.col("_te") - m - F.col("p")).alias("at")).distinct()
+        inside = J.points_in_intervals(at, intervals.select("chrom", "start", "end").distinct(), "at", tile)
+        pos = F.when(F.col("strand") == 0, F.col("at") - F.col("start")).otherwise(F.col("end") - m - F.col("at"))
+        n = F.col("end") - F.col("start") - m + 1
+        rows = inside.withColumn("pos", pos.cast("int")).where((F.col("pos") >= w) & (F.col("pos") < n - w)).select("chrom", "start", "end", "strand", "pos")
+        self._write(rows, intervals.select("chrom", "start", "end"), motifs, query, w, both)
+
+    def _write(self, rows: DataFrame, keys: DataFrame, motifs: MotifSet, query: int, w: int, both: bool) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/anchors")
+        spark = rows.sparkSession
+        done = spark.read.parquet(f"{self.path}/anchors").groupBy("chrom", "start", "end").agg(F.count("*").alias("n_anchors"))
+        counts = keys.select("chrom", "start", "end").distinct().join(done, ["chrom", "start", "end"], "left").na.fill(0, ["n_anchors"])
+        counts.write.mode("overwrite").parquet(f"{self.path}/counts")
+        _write_meta(spark, f"{self.path}/meta", self.describe(motifs, query, w, both) | {"complete": True})
+
+    @staticmethod
+    def describe(motifs: MotifSet, query: int, w: int, both: bool) -> dict:
+        return {"schema": "anchorcurve_anchor_cache_v1", "query": motifs.take([query]).fingerprint(), "length": motifs.length, "half_window": w, "both": both}
+
+    def meta(self, spark) -> dict:
+        return json.loads(spark.read.text(f"{self.path}/meta").first().value)
+
+    def anchors(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/anchors")
+
+    def counts(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/counts")
+
+    def replay(self, intervals: DataFrame, memberships: DataFrame, motifs: MotifSet, query: int, w: int, both: bool = True, by_pattern: bool = False) -> DataFrame:
+        """subset_id, motif_idx, rel, value: only intervals with anchors are scanned with all motifs, once each.
+
+        A cache of something else, or without one of the memberships' intervals, is a ValueError.
+        """
+        spark, keys = memberships.sparkSession, ["chrom", "start", "end"]
+        if bad := mismatches(self.meta(spark), self.describe(motifs, query, w, both) | {"complete": True}):
+            raise ValueError("the cache doesn't fit: " + ", ".join(bad))
+        if not memberships.select(*keys).distinct().join(self.counts(spark), keys, "left_anti").isEmpty():
+            raise ValueError("an interval of the memberships is not in the cache")
+        held = self.anchors(spark).groupBy(*keys, "strand").agg(F.array_sort(F.collect_list("pos")).alias("anchors"))
+        own = intervals.join(memberships.select(*keys).distinct(), keys, "left_semi").join(self.counts(spark).where("n_anchors > 0"), keys, "left_semi")
+        strands = S.with_strands(own.select("interval_id", *keys, "seq"), both).join(held, [*keys, "strand"])
+        c = P.anchored_profile(strands, motifs, w).join(own.select("interval_id", *keys), "interval_id").select(*keys, "motif_idx", "rel", "value")
+        return (P.fan_out_by_pattern if by_pattern else P.fan_out)(c, memberships)
+
+
+def _floor(motifs: MotifSet) -> float | None:
+    """The least threshold, as far as a scan may leave out what doesn't pass it."""
+    t = float(min(motifs.thresholds))
+    return t if t >= 0 else None
+
+
+def _write_meta(spark, path: str, meta: dict) -> None:
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def mismatches(have: dict, expected: dict) -> list[str]:
     return sorted(k for k, v in expected.items() if k not in have or have[k] != v)
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.attributes import CANONICAL, context_label, parse_attributes, unquote
 from ..model import MotifSet
 from ..operators import intervals as I
+from ..operators import joins as J
 from ..operators import profile as P
 from ..operators import scan as S
+from ..sources import readers
 
 
 def peak_set_memberships(sets: dict[str, DataFrame], window: int, min_peaks: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -41,19 +43,56 @@ def hits_of_intervals(intervals: DataFrame, motifs: MotifSet, both: bool = True)
     return S.hit_positions(S.hits(scores, motifs), at, motifs)
 
 
-def full_curves(intervals: DataFrame, memberships: DataFrame, motifs: MotifSet, query: int, w: int, both: bool = True, by_pattern: bool = False) -> DataFrame:
-    """subset_id, motif_idx, rel, value around the query motif's anchors.
+def prefiltered(strands: DataFrame, motifs: MotifSet, query: int, w: int) -> DataFrame:
+    """Strands of the intervals in which the query motif has an anchor: a scan of that motif alone finds them."""
+    one = motifs.take([query])
+    scores = S.scan_arrow(strands, one, above=max(0.0, float(one.thresholds[0])) if one.thresholds[0] >= 0 else None)
+    n = strands.where("strand = 0").select("interval_id", (F.length("seq") - motifs.length + 1).alias("n"))
+    anchored = S.anchors(scores, n, 0, float(one.thresholds[0]), w).select("interval_id").distinct()
+    return strands.join(anchored, "interval_id", "left_semi")
+
+
+def dense_contributions(intervals: DataFrame, motifs: MotifSet, w: int, query: int | None = None, both: bool = True, prefilter: bool = True) -> DataFrame:
+    """chrom, start, end, (anchor_motif,) motif_idx, rel, value of every distinct interval (interval_id, chrom, start, end,
+    seq): around the query motif's anchors, or of all pairs.  prefilter: intervals without anchors are scanned once only."""
+    strands = S.with_strands(intervals.select("interval_id", "seq"), both)
+    if query is not None and prefilter:
+        strands = prefiltered(strands, motifs, query, w)
+    dense = P.dense_profile(strands, motifs, w, query, per_interval=True)
+    dims = ["motif_idx", "rel"] if query is not None else ["anchor_motif", "motif_idx", "rel"]
+    return dense.join(intervals.select("interval_id", "chrom", "start", "end"), "interval_id").select("chrom", "start", "end", *dims, "value")
+
+
+def full_curves(intervals: DataFrame, memberships: DataFrame, motifs: MotifSet, query: int | None, w: int, both: bool = True, by_pattern: bool = False) -> DataFrame:
+    """subset_id, (anchor_motif,) motif_idx, rel, value around the query motif's anchors, or of all pairs.
 
     A scan of the query alone finds intervals with anchors; only these (a semi join) are scanned with all motifs, each
     distinct interval once; memberships then fan the contributions out.
     """
-    unique = memberships.select("chrom", "start", "end").distinct()
-    own = intervals.join(unique, ["chrom", "start", "end"], "left_semi")
-    strands = S.with_strands(own.select("interval_id", "chrom", "start", "end", "seq"), both)
-    one = motifs.take([query])
-    scores = S.scan_arrow(strands, one, above=max(0.0, float(one.thresholds[0])))
-    n = strands.where("strand = 0").select("interval_id", (F.length("seq") - motifs.length + 1).alias("n"))
-    anchored = S.anchors(scores, n, 0, float(one.thresholds[0]), w).select("interval_id").distinct()
-    dense = P.dense_profile(strands.join(anchored, "interval_id", "left_semi"), motifs, w, query, per_interval=True)
-    c = dense.join(own.select("interval_id", "chrom", "start", "end"), "interval_id").select("chrom", "start", "end", "motif_idx", "rel", "value")
+    own = intervals.join(memberships.select("chrom", "start", "end").distinct(), ["chrom", "start", "end"], "left_semi")
+    c = dense_contributions(own.select("interval_id", "chrom", "start", "end", "seq"), motifs, w, query, both)
     return (P.fan_out_by_pattern if by_pattern else P.fan_out)(c, memberships)
+
+
+def block_scores(chunks: DataFrame, chunk: int, intervals: DataFrame, motifs: MotifSet, gap: int, max_span: int | None = None, both: bool = True) -> DataFrame:
+    """SCORE rows of intervals (interval_id, chrom, start, end, within their chromosomes), scanned by blocks of near ones.
+
+    A block is fetched and scanned once; each interval takes its own slice, which on the reverse strand is counted from
+    the block's end.  The same as scanning each interval by itself.
+    """
+    m = motifs.length
+    blocks = I.numbered(I.coalesce_blocks(intervals, gap, max_span, len(motifs.names), m)).withColumnRenamed("interval_id", "block")
+    fetched = readers.fetch_sequences(chunks, blocks.withColumnRenamed("block", "interval_id"), chunk)
+    scores = S.scan_arrow(S.with_strands(fetched.select("interval_id", "seq"), both), motifs).withColumnRenamed("interval_id", "block")
+    # An interval lies in the block that covers it; blocks of one chromosome may overlap where a cap cut them.
+    b = blocks.select("block", "chrom", F.col("start").alias("_bs"), F.col("end").alias("_be"))
+    inside = J.points_in_intervals(intervals.select("interval_id", "chrom", F.col("start").alias("_s"), F.col("end").alias("_e")), b.withColumnsRenamed({"_bs": "start", "_be": "end"}), "_s", max(1, max_span or 100_000))
+    own = inside.where("_e <= end").groupBy("interval_id", "_s", "_e").agg(F.min(F.struct("block", "start", "end")).alias("b")).select("interval_id", "_s", "_e", "b.block", F.col("b.start").alias("_bs"), F.col("b.end").alias("_be"))
+    off = F.when(F.col("strand") == 0, F.col("_s") - F.col("_bs")).otherwise(F.col("_be") - F.col("_e"))
+    rows = scores.join(own, "block").withColumn("p", (F.col("p") - off).cast("int")).where((F.col("p") >= 0) & (F.col("p") <= F.col("_e") - F.col("_s") - m))
+    return rows.select("interval_id", "strand", "motif_idx", "p", "score")
+
+
+def scores_profile(scores: DataFrame, lengths: DataFrame, motifs: MotifSet, query: int, w: int, per_interval: bool = False) -> DataFrame:
+    """(interval_id,) motif_idx, rel, value around the query motif's anchors, from SCORE rows and lengths (interval_id, n)."""
+    return P.dense_profile_sql(scores, S.anchors(scores, lengths, query, float(motifs.thresholds[query]), w), w, per_interval)

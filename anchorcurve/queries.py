@@ -76,13 +76,21 @@ HITS = """h AS (SELECT CAST(user_id % 10 AS VARCHAR) AS chrom, CAST(floor(epoch(
 hit AS (SELECT * FROM h WHERE score > 2000),
 reg AS (SELECT chrom, center_pos - 900 AS start, center_pos + 900 AS "end", user_id FROM h WHERE motif_idx = 'purchase'),
 mem AS (SELECT c_mktsegment AS subset_id, chrom, start, "end" FROM reg JOIN customer ON c_custkey = user_id)"""
-SCORES = f"""k(motif_idx, off, base, w) AS (VALUES {", ".join(map(str, CELLS))}),
+LETTERS = "SELECT doc_id, upper(regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g')) AS s FROM documents"
+
+
+def scores_sql(source: str = LETTERS) -> str:
+    """CTEs k, t, d, seq, pos, sc (scores) and hs (hits) of the sequences that source gives as doc_id, s."""
+    return f"""k(motif_idx, off, base, w) AS (VALUES {", ".join(map(str, CELLS))}),
 t(motif_idx, thr) AS (VALUES {", ".join(str((i, x)) for i, x in enumerate(THRESHOLDS))}),
-d AS (SELECT doc_id, upper(regexp_replace(lower(coalesce(text, '')), '[^acgt]', '', 'g')) AS s FROM documents),
+d AS ({source}),
 seq AS (SELECT doc_id AS interval_id, 0 AS strand, s FROM d UNION ALL SELECT doc_id, 1, translate(reverse(s), 'ACGT', 'TGCA') FROM d),
 pos AS (SELECT interval_id, strand, length(s) - 2 AS n, p, s FROM seq, unnest(range(0, greatest(length(s) - 2, 0))) AS u(p)),
 sc AS (SELECT interval_id, strand, n, motif_idx, p, greatest(0, sum(CASE WHEN substr(s, CAST(p + off + 1 AS INT), 1) = base THEN w ELSE 0 END)) AS score FROM pos, k GROUP BY ALL),
 hs AS (SELECT sc.* FROM sc JOIN t USING (motif_idx) WHERE score > thr)"""
+
+
+SCORES = scores_sql()
 Q, O = {}, {}  # noqa: E741
 
 
@@ -390,14 +398,31 @@ def autocorrelation(spark, sf_dir):
     return V.autocorrelation(e, "vec_id", 6).select("vec_id", "delay", F.round("r", 6).alias("r"))
 
 
-@query()
+_DFT = """WITH e AS (SELECT vec_id, len(embedding) AS n, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, unnest(range(0, len(embedding))) AS u(i)),
+f AS (SELECT vec_id, n, f, sqrt(power(sum(x * cos(2 * pi() * ((i * f) % n) / n)), 2) + power(sum(x * sin(2 * pi() * ((i * f) % n) / n)), 2)) AS m FROM e, unnest(range(1, (n + 1) // 2)) AS v(f) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY m DESC, f) AS k FROM f)
+SELECT vec_id, CAST(f AS BIGINT) AS freq, round(n / f, 6) AS period, round(m, 5) AS magnitude FROM r WHERE k <= 5"""
+
+
+@query(_DFT)
 def power_spectrum(spark, sf_dir):
-    """Five strongest frequencies of each embedding (FFT; rows only)."""
+    """Five strongest frequencies of each embedding."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("curve"))
-    return V.spectrum(e, "vec_id", 5)
+    return V.spectrum(e, "vec_id", 5).select("vec_id", "freq", F.round("period", 6).alias("period"), F.round("magnitude", 5).alias("magnitude"))
+
+
+_BLOCKS = f"""WITH RECURSIVE {HITS}, u AS (SELECT DISTINCT chrom, start, "end" FROM reg),
+v AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, "end") AS i FROM u),
+w AS (
+  SELECT chrom, i, start AS s, "end" AS e, 1 AS block FROM v WHERE i = 1
+  UNION ALL SELECT v.chrom, v.i, CASE WHEN v.start <= w.e + 300 AND greatest(w.e, v."end") - w.s <= 7200 THEN w.s ELSE v.start END,
+    CASE WHEN v.start <= w.e + 300 AND greatest(w.e, v."end") - w.s <= 7200 THEN greatest(w.e, v."end") ELSE v."end" END,
+    CASE WHEN v.start <= w.e + 300 AND greatest(w.e, v."end") - w.s <= 7200 THEN w.block ELSE w.block + 1 END
+  FROM w JOIN v ON v.chrom = w.chrom AND v.i = w.i + 1)
+SELECT chrom, min(s) AS start, max(e) AS "end", count(*) AS n_intervals FROM w GROUP BY chrom, block"""
 
 
-@query()
+@query(_BLOCKS)
 def block_coalescing(spark, sf_dir):
-    """Greedy blocks with a span cap (stateful; rows only)."""
+    """Greedy blocks with a gap and a cap on their span."""
     return I.coalesce_blocks(purchases(spark, sf_dir), 300, max_span=7200, n_motifs=3, motif_length=3)

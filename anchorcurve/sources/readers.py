@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import MotifSet
+from ..operators.joins import points_in_intervals
 
+# The published narrowPeak columns.
 NARROWPEAK_COLUMNS = ["chrom", "start", "end", "name", "score", "strand", "signalValue", "pValue", "qValue", "peak"]
 
 
@@ -79,13 +81,17 @@ def chromosome_sizes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chrom").agg(F.max(F.col("chunk_start") + F.length("seq")).alias("size"))
 
 
-def fetch_sequences(chunks: DataFrame, regions: DataFrame, chunk: int, ext: int = 0) -> DataFrame:
+def fetch_sequences(chunks: DataFrame, regions: DataFrame, chunk: int, ext: int = 0, right_only: bool = False, strict: bool = False) -> DataFrame:
     """interval_id, chrom, start, end, seq of regions (interval_id, chrom, start, end) cut to the chromosome.
 
-    chunk: the length of chunks, which start at its multiples.  Unknown chromosomes and empty results are left out.
+    chunk: the length of chunks, which start at its multiples.  ext: wider on both sides, or with right_only at the end
+    alone.  Unknown chromosomes and empty results are left out; strict: nothing left is a ValueError.
     """
-    r = regions.join(chromosome_sizes(chunks), "chrom")
-    r = r.withColumn("start", F.greatest(F.lit(0), F.col("start") - ext)).withColumn("end", F.least("size", F.col("end") + ext)).where("end > start").drop("size")
+    r = regions.select("interval_id", "chrom", "start", "end").join(chromosome_sizes(chunks), "chrom")
+    start = F.col("start") if right_only else F.col("start") - ext
+    r = r.withColumn("start", F.greatest(F.lit(0), start)).withColumn("end", F.least("size", F.col("end") + ext)).where("end > start").drop("size")
+    if strict and r.isEmpty():
+        raise ValueError("no region lies on a known chromosome")
     r = r.withColumn("k", F.explode(F.expr(f"sequence(cast(floor(start / {chunk}) as long), cast(floor((end - 1) / {chunk}) as long))"))).withColumn("chunk_start", F.col("k") * chunk)
     part = F.substring(F.col("seq"), (F.greatest("start", "chunk_start") - F.col("chunk_start") + 1).cast("int"), (F.least(F.col("end"), F.col("chunk_start") + chunk) - F.greatest("start", "chunk_start")).cast("int"))
     rows = r.join(chunks, ["chrom", "chunk_start"]).select("interval_id", "chrom", "start", "end", F.struct("chunk_start", part.alias("s")).alias("piece"))
@@ -93,30 +99,70 @@ def fetch_sequences(chunks: DataFrame, regions: DataFrame, chunk: int, ext: int
     return rows.groupBy("interval_id", "chrom", "start", "end").agg(joined.alias("seq"))
 
 
+def fetch_signal(signal: DataFrame, intervals: DataFrame, celltypes: list[str], bin_size: int = 1000) -> DataFrame:
+    """The intervals (interval_id, chrom, start, end and other columns) with a column signal: an array of values for each
+    cell type, as long as the interval, 0 where the signal has none.
+
+    Only values inside some interval travel; the intervals stay where they are unless they hold any.
+    """
+    at = intervals.select("interval_id", "chrom", "start", "end").where("end > start")
+    inside = points_in_intervals(signal.where(F.col("celltype").isin(celltypes)).select("chrom", "pos", "celltype", "value"), at, "pos", bin_size)
+    cells = F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("start")).cast("int"), "value")))
+    one = inside.groupBy("interval_id", "start", "end", "celltype", "pos").agg(F.sum("value").alias("value")).groupBy("interval_id", "celltype").agg(cells.alias("m"))
+    tracks = one.groupBy("interval_id").agg(F.map_from_entries(F.collect_list(F.struct("celltype", "m"))).alias("_t"))
+    place = F.sequence(F.lit(0), (F.col("end") - F.col("start") - 1).cast("int"))
+    track = lambda c: F.transform(place, lambda i: F.coalesce(F.try_element_at(F.try_element_at("_t", F.lit(c)), i), F.lit(0.0)))
+    return intervals.where("end > start").join(tracks, "interval_id", "left").withColumn("signal", F.array(*[track(c) for c in celltypes])).drop("_t")
+
+
 def segments(chunks: DataFrame, length: int) -> DataFrame:
-    """Whole segments of each chunk, tails dropped: interval_id is their running place."""
-    n = F.floor(F.length("seq") / length)
+    """Whole segments of each chunk, tails dropped: interval_id, chrom, start, end, seq.  The ids are running numbers."""
     k = F.explode(F.expr(f"sequence(0L, cast(floor(length(seq) / {length}) as long) - 1)")).alias("k")
-    rows = chunks.where(n > 0).select("chrom", "chunk_start", "seq", k)
-    return rows.select("chrom", (F.col("chunk_start") + F.col("k") * length).alias("start"), F.substring(F.col("seq"), (F.col("k") * length + 1).cast("int"), F.lit(length)).alias("seq")).withColumn("interval_id", F.xxhash64("chrom", "start"))
+    rows = chunks.where(F.length("seq") >= length).select("chrom", "chunk_start", "seq", k)
+    rows = rows.select("chrom", (F.col("chunk_start") + F.col("k") * length).alias("start"), F.substring(F.col("seq"), (F.col("k") * length + 1).cast("int"), F.lit(length)).alias("seq"))
+    return rows.withColumn("end", F.col("start") + length).withColumn("interval_id", F.monotonically_increasing_id())
 
 
-def save_motifs(motifs: MotifSet, path: str) -> None:
-    Path(path).write_text(json.dumps({"names": motifs.names, "thresholds": motifs.thresholds, "kernels": motifs.kernels.tolist(), "meta": motifs.meta | {"fingerprint": motifs.fingerprint()}}))
+def _motif_json(motifs: MotifSet) -> str:
+    return json.dumps({"names": motifs.names, "thresholds": motifs.thresholds, "kernels": motifs.kernels.tolist(), "meta": motifs.meta | {"fingerprint": motifs.fingerprint()}})
 
 
-def load_motifs(path: str, select: str | None = None) -> MotifSet:
-    """A motif file, checked against its own fingerprint; select: see functions.motifs.select_motifs."""
+def _motifs_of(text: str, select: str | None) -> MotifSet:
     from ..functions.motifs import select_motifs
 
-    d = json.loads(Path(path).read_text())
+    d = json.loads(text)
     out = MotifSet(d["names"], np.asarray(d["kernels"], np.float32), d["thresholds"], d.get("meta", {}))
     if (was := out.meta.get("fingerprint")) and was != out.fingerprint():
         raise ValueError("the motif file doesn't match its fingerprint")
     return out.take(select_motifs(out.names, select)) if select else out
 
 
+def save_motifs(motifs: MotifSet, path: str) -> None:
+    Path(path).write_text(_motif_json(motifs))
+
+
+def load_motifs(path: str, select: str | None = None) -> MotifSet:
+    """A motif file of the driver's, checked against its own fingerprint; select: see functions.motifs.select_motifs."""
+    return _motifs_of(Path(path).read_text(), select)
+
+
+def write_motifs(spark: SparkSession, motifs: MotifSet, path: str) -> None:
+    """The same in any store that Spark writes to."""
+    spark.createDataFrame([(_motif_json(motifs),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_motifs(spark: SparkSession, path: str, select: str | None = None) -> MotifSet:
+    return _motifs_of(spark.read.text(path).first().value, select)
+
+
 def read_motif_metrics(spark: SparkSession, path: str) -> DataFrame:
     """tf, name, chipseq, selex from JSON lines with name and nested metrics."""
     rows = spark.read.schema("name string, metrics struct<chipseq:double, selex:double>").json(path)
     return rows.select(F.split("name", "[.]")[0].alias("tf"), "name", F.col("metrics.chipseq").alias("chipseq"), F.col("metrics.selex").alias("selex"))
+
+
+def motif_table(spark: SparkSession, motifs: MotifSet) -> DataFrame:
+    """motif_idx, name, threshold, center, offset, base, weight: the non-zero cells of a motif set's kernels."""
+    centers = motifs.center_offsets()
+    rows = [(i, n, float(motifs.thresholds[i]), centers[i], j, "ACGT"[b], float(motifs.kernels[i, j, b])) for i, n in enumerate(motifs.names) for j, b in zip(*map(list, np.nonzero(motifs.kernels[i])))]
+    return spark.createDataFrame([(i, n, t, c, int(j), b, w) for i, n, t, c, j, b, w in rows], "motif_idx int, name string, threshold double, center int, offset int, base string, weight double")

@@ -26,8 +26,16 @@ def peak_hits(found: DataFrame, peaks: DataFrame) -> DataFrame:
     return found.join(peaks.select("peak_id", "chrom", n), "peak_id")
 
 
-def append_peak_hits(found: DataFrame, peaks: DataFrame, path: str) -> None:
-    peak_hits(found, peaks).write.mode("append").partitionBy("chrom").parquet(path)
+def append_peak_hits(found: DataFrame, peaks: DataFrame, path: str, batch: str = "all") -> None:
+    """Adds a batch of hits; the same batch again replaces itself, so a run that was lost can be repeated."""
+    peak_hits(found, peaks).write.mode("overwrite").partitionBy("chrom").parquet(f"{path}/batch={batch}")
+
+
+def write_peaks(peaks: DataFrame, path: str) -> None:
+    """peak_id, chrom, start, end, local_idx, sorted by chromosome and start; ids are explicit, so the order changes nothing."""
+    n = (F.row_number().over(Window.partitionBy("chrom").orderBy("peak_id")) - 1).alias("local_idx")
+    out = peaks.select("peak_id", "chrom", "start", "end", n)
+    out.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").write.mode("overwrite").parquet(path)
 
 
 def absolute_hits(stored: DataFrame, peaks: DataFrame, extension: int, chrom: str, start: int, end: int, cutoff: float = 5.0, motif_idx: list[int] | None = None) -> DataFrame:
@@ -39,15 +47,61 @@ def absolute_hits(stored: DataFrame, peaks: DataFrame, extension: int, chrom: st
 
 
 def checksum(df: DataFrame, mode: str = "full") -> str | None:
-    """full: an order-free sum of row hashes; sample: of one row in 64, by hash; none: None."""
+    """full: the number of rows and an order-free sum of row digests (15 hex digits of the md5 of a row's values as JSON);
+    sample: of one row in 64, by digest; none: None."""
     if mode == "none":
         return None
     if mode not in ("full", "sample"):
         raise ValueError("mode must be full, sample or none")
-    h = df.select(F.xxhash64(*df.columns).alias("h"))
-    h = h.where(F.pmod("h", F.lit(64)) == 0) if mode == "sample" else h
-    r = h.agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
-    return f"{r.n}:{r.s or 0}"
+    r = digests(df, mode).first()
+    return f"{r.n}:{r.s}"
+
+
+def digests(df: DataFrame, mode: str = "full") -> DataFrame:
+    """One row n, s: see checksum.  Columns count in the order of their names."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sorted(df.columns)])
+    h = df.select(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
+    h = h.where(F.col("h") % 64 == 0) if mode == "sample" else h
+    return h.agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").alias("s"))
+
+
+def write_motif_index(names: list[str], path: str, spark, strands: bool = False) -> None:
+    """One line a motif, ``index<TAB>name``; strands: another for each as read on the reverse strand."""
+    rows = [f"{i}\t{n}" for i, n in enumerate([*names, *(f"{n}_RC" for n in names)] if strands else names)]
+    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+# The kinds of results, as they name their tables.
+MODES = {"signal2d": "2d_signal_accumulation", "signal": "signal_accumulation", "sequence": "sequence_content", "target": "target_{}", "pairs": "motif_cooccurrences"}
+
+
+def result_name(mode: str, target: str | None = None) -> str:
+    if mode not in MODES or (mode == "target") != (target is not None):
+        raise ValueError(f"no such result: {mode}, {target}")
+    return MODES[mode].format(target)
+
+
+def save_result(profile: DataFrame, path: str | None, mode: str, motifs, meta: dict, target: str | None = None) -> str | None:
+    """Profile, metadata and motif index under the mode's name; without a path nothing is written."""
+    name = result_name(mode, target)
+    if not path:
+        return None
+    strands = mode in ("signal", "signal2d", "sequence")
+    write_motif_index(motifs.names, f"{path}/{name}_motifs", profile.sparkSession, strands)
+    return write_profile(profile, path, meta | {"motifs": motifs.fingerprint(), "n_motifs": len(motifs.names)}, name)
+
+
+def manifest(tables: dict[str, DataFrame], path: str | None = None, mode: str = "full") -> dict:
+    """name -> columns, rows, checksum of written tables; as JSON at path, which marks the whole set as complete."""
+    out = {n: {"columns": sorted(t.columns), "rows": t.count(), "checksum": checksum(t, mode)} for n, t in sorted(tables.items())}
+    if path and tables:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame([(json.dumps({"tables": out, "complete": True}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return out
+
+
+def read_manifest(spark, path: str) -> dict:
+    return json.loads(spark.read.text(path).first().value)
 
 
 def write_table(df: DataFrame, path: str, header: bool = True) -> None:

@@ -18,6 +18,6 @@ def append_hits(stream: DataFrame, motifs: MotifSet, path: str, checkpoint: str,
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_pair_counts(hits: DataFrame, time: str, width: str, late: str) -> DataFrame:
+def windowed_hit_counts(hits: DataFrame, time: str, width: str, late: str) -> DataFrame:
     """Hits per motif and time window of a stream with event time, late rows beyond the watermark dropped."""
     return hits.withWatermark(time, late).groupBy(F.window(time, width), "motif_idx").agg(F.count("*").alias("n_hits"), F.sum("score").alias("score"))
