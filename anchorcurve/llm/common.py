@@ -28,7 +28,7 @@ def input_parts(df: DataFrame) -> int:
 
 
 #: Bytes of text and documents that a shard holds on average: what a task keeps is a few tens of MB.
-SHARD_BYTES, SHARD_ROWS = 8_000_000, 40_000
+SHARD_BYTES, SHARD_ROWS = 12_000_000, 40_000
 
 
 def n_shards(df: DataFrame, text_col: str) -> int:

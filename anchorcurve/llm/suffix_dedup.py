@@ -19,6 +19,7 @@ by counting symbols and nothing is sorted by comparison.  No ranks are renamed r
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,7 @@ def suffix_array(t: list[int]) -> list[int]:
     begin = [0] * (max(t) + 2)
     for c in t:
         begin[c + 1] += 1
-    for c in range(1, len(begin)):
-        begin[c] += begin[c - 1]
+    begin = list(accumulate(begin))
     order, where, start, size = [0] * n, [0] * n, [begin[c] for c in t], [0] * n
     free = begin[:]
     for s, c in enumerate(t):
@@ -169,12 +169,28 @@ def least_ids(pieces: list[bytes], ids: list[int], length: int) -> list[list[int
     return out
 
 
-def minimizer_runs(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, end) of the runs of windows that share a minimizer."""
-    n, k = len(b), min(SEED, length)
-    if n < length:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a = np.frombuffer(b + b"\0" * 8, np.uint8)
+def minimizer_runs(texts: list[bytes], length: int, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, first window, end) of the runs of windows that share a minimizer, text by text."""
+    out = [(np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)]
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size < chunk):
+            size += len(texts[j])
+            j += 1
+        out.append(_runs_of(texts[i:j], i, length))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _runs_of(texts: list[bytes], number: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of texts that are read as one array; windows across two of them are left out."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    n, k = int(lens.sum()), min(SEED, length)
+    windows = np.maximum(lens - length + 1, 0)
+    if not windows.any():
+        return np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3
+    a = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
     u = np.ndarray(n, dtype="<u8", buffer=a, strides=(1,))
     m = n - k + 1
     h = u[:m] * C.MIX_A
@@ -193,9 +209,18 @@ def minimizer_runs(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         s *= 2
     if s < w:
         h = np.minimum(h[: len(h) - (w - s)], h[w - s :])
-    at = np.flatnonzero(h[1:] != h[:-1]) + 1
-    at = np.concatenate([[0], at])
-    return h[at], at, np.append(at[1:], len(h))
+    begin = np.cumsum(lens) - lens
+    text = np.repeat(np.arange(len(texts)), windows)
+    first = np.cumsum(windows) - windows
+    place = np.arange(len(text)) - first[text]
+    h = h[begin[text] + place]
+    new = np.empty(len(h), bool)
+    new[0] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    new[first[windows > 0]] = True
+    at = np.flatnonzero(new)
+    end = place[np.append(at[1:], len(h)) - 1] + 1
+    return h[at], text[at] + number, place[at], end
 
 
 def _documents(t: pa.Table):
@@ -210,55 +235,66 @@ class _Shard:
     """A shard's pieces, found alike in each pass."""
 
     def __init__(self, t: pa.Table, length: int, buckets: int):
-        self.length, self.buckets, self.docs = length, buckets, _documents(t)
-        self.runs = [minimizer_runs(b, length) for _, _, b in self.docs]
-        keys = [C.slots(k, buckets) for k, _, _ in self.runs]
-        self.keys = keys
-        each = [np.unique(k) for k in keys]
-        ids = np.repeat(np.array([i for _, i, _ in self.docs], np.int64), [len(k) for k in each]) if each else np.zeros(0, np.int64)
-        every = np.concatenate(each) if each else np.zeros(0, U64)
-        o = np.argsort(every, kind="stable")  # ids ascend within a key
-        every, ids = every[o], ids[o]
-        cut = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        self.length, self.docs = length, _documents(t)
+        keys, self.text, self.first, self.end = minimizer_runs([b for _, _, b in self.docs], length)
+        self.slot = C.slots(keys, buckets)
+        ids = np.array([i for _, i, _ in self.docs], np.int64)
+        o = np.argsort(self.slot, kind="stable")  # ids ascend within a key, as documents do
+        every, own = self.slot[o], ids[self.text[o]] if len(o) else ids[:0]
+        new = np.r_[True, every[1:] != every[:-1]] if len(every) else np.zeros(0, bool)
+        cut = np.flatnonzero(new)
         self.sent = every[cut]
-        last = np.r_[cut[1:], len(every)] - 1
-        self.local = ids[cut] != ids[last] if len(every) else np.zeros(0, bool)
+        self.local = own[cut] != own[np.r_[cut[1:], len(every)] - 1] if len(every) else np.zeros(0, bool)
+        self.key = np.empty(len(o), np.int64)  # of each run, its place in sent
+        self.key[o] = np.cumsum(new) - 1
 
     def pieces(self, answers: pa.Table):
-        """{piece: [least id, number, slot]} in a fixed order, and per document its (first, end, piece)."""
+        """(distinct pieces, their least ids, their order by slot, slots in it), and per document its (first, end, number)."""
         live = self.local | C.shared_slots(self.sent, answers)
-        known: dict[bytes, list] = {}
-        mine = []
-        for (_, i, b), (_, s, e), slot in zip(self.docs, self.runs, self.keys):
-            own = []
-            if len(slot):
-                at = np.flatnonzero(live[np.searchsorted(self.sent, slot)])
-                for x, y, z in zip(s[at].tolist(), (e[at] + (self.length - 1)).tolist(), slot[at].tolist()):
-                    p = b[x:y]
-                    if p not in known:
-                        known[p] = [i, len(known), z]
-                    own.append((x, y, p))
-            mine.append(own)
-        return known, mine
+        at = np.flatnonzero(live[self.key]) if len(self.key) else self.key
+        known: dict[bytes, int] = {}
+        names: list[bytes] = []
+        ids: list[int] = []
+        begin: list[int] = []
+        mine: list[list] = [[] for _ in self.docs]
+        for n, d, x, y in zip(at.tolist(), self.text[at].tolist(), self.first[at].tolist(), (self.end[at] + (self.length - 1)).tolist()):
+            _, i, b = self.docs[d]
+            p = b[x:y]
+            k = known.get(p)
+            if k is None:
+                known[p] = k = len(names)
+                names.append(p)
+                ids.append(i)
+                begin.append(n)
+            mine[d].append((x, y, k))
+        slot = self.slot[np.array(begin, np.int64)]
+        order = np.argsort(slot, kind="stable")
+        return names, ids, order, slot[order], mine
 
 
 PIECE_ROWS = "bucket int, shard int, tags binary, lens binary, ids binary, body binary"
 
 
-def _send(known: dict, shard: int) -> pa.Table:
-    by: dict[int, list] = {}
-    for p, (i, k, slot) in known.items():
-        by.setdefault(slot >> 32, []).append((slot & 0xFFFFFFFF, k, i, p))
+def _by_bucket(slots: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted slots."""
+    b = (slots >> U64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    return list(zip(b[cut].tolist(), cut.tolist(), np.r_[cut[1:], len(b)].tolist()))
+
+
+def _send(names: list[bytes], ids: list[int], order: np.ndarray, slots: np.ndarray, shard: int) -> pa.Table:
     rows = {x: [] for x in ("bucket", "shard", "tags", "lens", "ids", "body")}
     zip_ = zstandard.ZstdCompressor(level=1)
-    for bucket, own in by.items():
-        own.sort(key=lambda x: x[:2])
+    own_ids = np.array(ids, np.int64)[order]
+    tags = (slots & U64(0xFFFFFFFF)).astype(np.uint32)
+    for bucket, a, b in _by_bucket(slots):
+        own = [names[k] for k in order[a:b].tolist()]
         rows["bucket"].append(bucket)
         rows["shard"].append(shard)
-        rows["tags"].append(C.pack(np.array([x[0] for x in own], np.uint32)))
-        rows["lens"].append(C.pack(np.array([len(x[3]) for x in own], np.uint32)))
-        rows["ids"].append(C.pack(np.array([x[2] for x in own], np.int64)))
-        rows["body"].append(zip_.compress(b"".join(x[3] for x in own)))
+        rows["tags"].append(C.pack(tags[a:b]))
+        rows["lens"].append(C.pack(np.fromiter(map(len, own), np.uint32, len(own))))
+        rows["ids"].append(C.pack(own_ids[a:b]))
+        rows["body"].append(zip_.compress(b"".join(own)))
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds)})
 
@@ -336,8 +372,8 @@ def _settle(length: int):
         asked = []
         for tag, lens, own, body in zip(*(t[c].to_pylist() for c in ("tags", "lens", "ids", "body"))):
             raw, at, numbers = unzip.decompress(body), 0, []
-            own_ids = C.unpack(own, np.int64).tolist()
-            for g, n, i in zip(C.unpack(tag, np.uint32).tolist(), C.unpack(lens, np.uint32).tolist(), own_ids):
+            own_ids = C.unpack(own, np.int64)
+            for g, n, i in zip(C.unpack(tag, np.uint32).tolist(), C.unpack(lens, np.uint32).tolist(), own_ids.tolist()):
                 p = raw[at : at + n]
                 at += n
                 k = known.get(p)
@@ -380,14 +416,19 @@ def _settle(length: int):
                             s = j
                     for k, x in texts[p][1]:
                         low.setdefault(k, []).extend((x + a, x + b, v) for a, b, v in runs)
+        least = np.array(ids, np.int64)
+        windows = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
+        some = np.zeros(len(pieces), bool)
+        some[list(low)] = True
         out = []
         for numbers, own_ids in asked:
-            rows = []
-            for place, (k, i) in enumerate(zip(numbers, own_ids)):
-                if ids[k] < i:  # an equal piece stands in another shard under a smaller id
-                    rows.append((place, 0, len(pieces[k]) - length + 1, ids[k]))
-                rows.extend((place, a, b, v) for a, b, v in low.get(k, ()) if v < i)
-            out.append(C.pack(np.array(rows, np.int64).reshape(-1, 4)))
+            k = np.array(numbers, np.int64)
+            # An equal piece stands in another shard under a smaller id.
+            at = np.flatnonzero(least[k] < own_ids)
+            rows = np.stack([at, np.zeros_like(at), windows[k[at]], least[k[at]]], 1)
+            hit = np.flatnonzero(some[k])
+            parts = [(place, a, b, v) for place, i in zip(hit.tolist(), own_ids[hit].tolist()) for a, b, v in low[numbers[place]] if v < i]
+            out.append(C.pack(np.concatenate([rows, np.array(parts, np.int64).reshape(-1, 4)])))
         return pa.table({"shard": t["shard"].cast(pa.int32()), "bucket": t["bucket"].cast(pa.int32()), "body": pa.array(out, pa.binary())})
 
     return fn
@@ -423,24 +464,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def send(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows:
-            return _send({}, 0)
-        known, _ = _Shard(docs_, length, buckets).pieces(answers)
-        return _send(known, docs_["shard"][0].as_py())
+            return _send([], [], np.zeros(0, np.int64), np.zeros(0, U64), 0)
+        return _send(*_Shard(docs_, length, buckets).pieces(answers)[:4], docs_["shard"][0].as_py())
 
     def finish(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers if answers.num_rows else empty_answers()
         kinds = np.array(answers["kind"].to_pylist(), np.int32)
         bits, found = answers.filter(pa.array(kinds == 0)), answers.filter(pa.array(kinds == 1))
         shard = _Shard(docs_, length, buckets)
-        known, mine = shard.pieces(bits)
-        order: dict[int, list[bytes]] = {}
-        for p, (_, k, slot) in known.items():
-            order.setdefault(slot >> 32, []).append((slot & 0xFFFFFFFF, k, p))
-        low: dict[bytes, list[tuple[int, int, int]]] = {}
+        _, ids, order, slots, mine = shard.pieces(bits)
+        where = {bucket: a for bucket, a, _ in _by_bucket(slots)}
+        low: dict[int, list[tuple[int, int, int]]] = {}
         for bucket, body in zip(found["bucket"].to_pylist(), found["body"].to_pylist()):
-            names = [p for _, _, p in sorted(order[bucket], key=lambda x: x[:2])]
-            for place, a, b, v in C.unpack(body, np.int64).reshape(-1, 4).tolist():
-                low.setdefault(names[place], []).append((a, b, v))
+            rows = C.unpack(body, np.int64).reshape(-1, 4)
+            for k, a, b, v in zip(order[where[bucket] + rows[:, 0]].tolist(), *rows[:, 1:].T.tolist()):
+                low.setdefault(k, []).append((a, b, v))
         n = docs_.num_rows
         cols: dict[str, list] = {"id": docs_["id"].to_pylist(), "n_bytes": [0] * n, "n_removed": [0] * n, "n_spans": [0] * n, "kept_sha256": [""] * n, "kept_text": [""] * n}
 
@@ -458,11 +496,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
         for (k, i, b), own in zip(shard.docs, mine):
             spans = []
-            for x, y, p in own:
-                if known[p][0] < i:
+            for x, y, k_ in own:
+                if ids[k_] < i:
                     spans.append((x, y))
-                else:
-                    spans.extend((x + a, x + e + length - 1) for a, e, v in low.get(p, ()) if v < i)
+                elif k_ in low:
+                    spans.extend((x + a, x + e + length - 1) for a, e, v in low[k_] if v < i)
             put(k, b, _merge(spans))
         for k, i in enumerate(cols["id"]):
             if i is None:
