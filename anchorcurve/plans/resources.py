@@ -174,6 +174,13 @@ class AnchorCache:
     def meta(self, spark) -> dict:
         return json.loads(spark.read.text(f"{self.path}/meta").first().value)
 
+    def fits(self, spark, motifs: MotifSet, query: int, w: int, both: bool = True) -> bool:
+        """Whether a whole cache of just this lies there."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return False
+        return not mismatches(self.meta(spark), self.describe(motifs, query, w, both) | {"complete": True})
+
     def anchors(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.path}/anchors")
 
