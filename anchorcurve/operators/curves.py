@@ -122,15 +122,17 @@ def top_contexts(ranked: DataFrame, n: int) -> DataFrame:
     return ranked.orderBy("rank_sum", "motif_idx").limit(n)
 
 
-def pair_curves(curves: DataFrame, pairs: list[tuple[str, str]], names: list[str]) -> DataFrame:
-    """anchor, partner, rel, value of the curves (anchor_motif, motif_idx, curve) of named pairs: what a grid of plots shows."""
+def pair_curves(curves: DataFrame, pairs: list[tuple[str, str]], names: list[str], w: int) -> DataFrame:
+    """anchor, partner, rel, value of the curves (anchor_motif, motif_idx, curve) of named pairs: what a grid of plots shows.
+
+    Unknown names are left out; a known pair without a curve is zero.
+    """
     at = {n: i for i, n in enumerate(names)}
     known = [(a, b, at[a], at[b]) for a, b in pairs if a in at and b in at]
-    spark = curves.sparkSession
-    wanted = spark.createDataFrame(known, "anchor string, partner string, anchor_motif long, motif_idx long")
-    rows = curves.withColumns({c: F.col(c).cast("long") for c in ("anchor_motif", "motif_idx")}).join(F.broadcast(wanted), ["anchor_motif", "motif_idx"])
-    half = F.floor(F.size("curve") / 2)
-    return rows.select("anchor", "partner", half.alias("_h"), F.posexplode("curve").alias("i", "value")).select("anchor", "partner", (F.col("i") - F.col("_h")).cast("long").alias("rel"), "value")
+    wanted = curves.sparkSession.createDataFrame(known, "anchor string, partner string, anchor_motif long, motif_idx long")
+    own = curves.withColumns({c: F.col(c).cast("long") for c in ("anchor_motif", "motif_idx")}).join(F.broadcast(wanted), ["anchor_motif", "motif_idx"], "left_semi")
+    rows = wanted.join(own, ["anchor_motif", "motif_idx"], "left").select("anchor", "partner", F.coalesce("curve", F.array_repeat(F.lit(0.0), 2 * w + 1)).alias("curve"))
+    return rows.select("anchor", "partner", F.posexplode("curve").alias("i", "value")).select("anchor", "partner", (F.col("i") - w).cast("long").alias("rel"), "value")
 
 
 def clustered(curves: DataFrame, key: str, most: int = 5000) -> DataFrame:

@@ -304,7 +304,7 @@ def pair_grid(spark, sf_dir):
     names = sorted({"purchase", "click", "view", "signup", "error"})
     at = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
     c = P.to_curves(p.select(at[F.col("anchor_motif")].alias("anchor_motif"), at[F.col("motif_idx")].alias("motif_idx"), F.col("rel").cast("int").alias("rel"), "value"), 50, ["anchor_motif", "motif_idx"])
-    return V.pair_curves(c, plot_pairs("purchase,click;view, view;nobody,view"), names)
+    return V.pair_curves(c, plot_pairs("purchase,click;view, view;nobody,view"), names, 50)
 
 
 _SETS = f"""{HITS}, sets AS (SELECT DISTINCT motif_idx AS name, chrom, greatest(0, center_pos - 250) AS start, greatest(0, center_pos - 250) + 500 AS "end" FROM hit WHERE motif_idx IN ('purchase', 'signup', 'error') AND score > 10000),

@@ -214,8 +214,8 @@ def test_zarr_stores(spark, tmp_path):
 
 def test_plot_frames(spark):
     c = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0]), (1, 1, [4.0, 5.0, 6.0])], "anchor_motif int, motif_idx int, curve array<double>")
-    got = sorted(map(tuple, V.pair_curves(c, [("a", "b"), ("b", "z")], ["a", "b"]).collect()))
-    assert got == [("a", "b", -1, 1.0), ("a", "b", 0, 2.0), ("a", "b", 1, 3.0)]
+    got = sorted(map(tuple, V.pair_curves(c, [("a", "b"), ("b", "z"), ("a", "a")], ["a", "b"], 1).collect()))
+    assert got == [("a", "a", r, 0.0) for r in (-1, 0, 1)] + [("a", "b", -1, 1.0), ("a", "b", 0, 2.0), ("a", "b", 1, 3.0)]
     rows = spark.createDataFrame([("u", [1.0, 0.0]), ("v", [0.0, 5.0]), ("w", [0.1, 4.0]), ("x", [0.0, 0.0])], "k string, curve array<double>")
     assert [r.k for r in V.clustered(rows, "k").orderBy("place").collect()] == ["v", "w", "u", "x"]
     with pytest.raises(ValueError):
