@@ -222,6 +222,22 @@ def window_sums(scores: DataFrame, anchor_rows: DataFrame, w: int) -> DataFrame:
     return hi.union(lo).groupBy("motif_idx").agg(F.sum("v").alias("value"))
 
 
+def window_totals(strands: DataFrame, motifs: MotifSet, query: int, w: int) -> DataFrame:
+    """motif_idx, value: what window_sums gives around the query motif's anchors, from running sums inside the scan."""
+    kernels, limit = motifs.kernels, float(motifs.thresholds[query])
+
+    def fn(batches):
+        for b in batches:
+            total = np.zeros(len(kernels))
+            for f in scanned(b.column("seq"), kernels):
+                at = np.flatnonzero((f.scores[query] > limit) & (f.p >= w) & (f.p < f.groups(f.counts) - w))
+                run = np.concatenate([np.zeros((len(kernels), 1)), np.cumsum(f.scores, axis=1, dtype=np.float64)], 1)
+                total += (run[:, at + w + 1] - run[:, at - w]).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(kernels), dtype=np.int32)), pa.array(total)], ["motif_idx", "value"])
+
+    return strands.select("seq").mapInArrow(fn, "motif_idx int, value double").groupBy("motif_idx").agg(F.sum("value").alias("value")).where("value != 0")
+
+
 def to_curves(profile: DataFrame, w: int, dims: list[str], value: str = "value") -> DataFrame:
     """dims, curve: an array of 2 w + 1 values, 0 where a cell is missing."""
     m = F.map_from_entries(F.collect_list(F.struct(F.col("rel").cast("int"), F.col(value).cast("double"))))

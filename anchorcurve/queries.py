@@ -344,7 +344,13 @@ def signal_profile_2d(spark, sf_dir):
 
 @query(f"WITH {SCORES} SELECT CAST(b.motif_idx AS INT) AS motif_idx, CAST(sum(b.score) AS BIGINT) AS value FROM (SELECT hs.*, r FROM hs, unnest(range(-20, 21)) AS u(r) WHERE motif_idx = 0 AND n >= 41 AND p >= 20 AND p < n - 20) a JOIN sc b ON a.interval_id = b.interval_id AND a.strand = b.strand AND b.p = a.p + r GROUP BY ALL")
 def window_sum_prefix(spark, sf_dir):
-    """Whole-window sums by running sums."""
+    """Whole-window sums by running sums inside the scan."""
+    return _whole(P.window_totals(strands(spark, sf_dir), motifs(), 0, 20), "value")
+
+
+@query(O["window_sum_prefix"])
+def window_sum_joined(spark, sf_dir):
+    """The same from score rows: running sums by a window, joined with the anchors' ends."""
     m, st = motifs(), strands(spark, sf_dir)
     scores = S.scan_arrow(st, m)
     n = st.where("strand = 0").select("interval_id", (F.length("seq") - 2).alias("n"))
