@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from . import textstats as T
 
 Rule = list[tuple[str, str, float]]
+BASE_RULE = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 
 
 def _cover(x: dict[str, np.ndarray], rule: Rule) -> np.ndarray:
@@ -110,5 +111,5 @@ def apply_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     rows, common = T.learning_rows(docs, labels, label, sample, id_col, text_col, learn, common_sample)
     rules = learn_list({k: rows[k].to_numpy(float) for k in T.SHAPE}, (rows["y"] == 0).to_numpy()) if len(rows) else []
     out = T.with_statistics(docs, id_col, text_col, common)
-    out = out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+    out = out.withColumn("base_failed", F.expr(BASE_RULE))
     return out.withColumn("kept", ~F.col("base_failed") & as_expression(rules)), rules

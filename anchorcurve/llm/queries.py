@@ -12,9 +12,10 @@ from .language_id import identify, learn
 from .license_scan import scan_licenses
 from .packing import pack
 from .quality_ranking import score_quality
-from .quality_rules import apply_rules
+from .quality_rules import BASE_RULE, apply_rules
 from .quote_linking import conversations, link_quotes
 from .suffix_dedup import remove_repeats
+from .textstats import with_statistics
 from .token_rollup import RollupStore, bare_count, counted, deletes, inserts, piece_count, revisions, with_token_counts, word_count
 
 
@@ -33,6 +34,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=50).withColumnRenamed("id", "doc_id")
 
 
+#: Whole texts as hexadecimal bytes; every 50-byte string with the least document that holds it.
+SQL_OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS u(p)),
+m AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, p FROM w JOIN m USING (s) WHERE lo < w.doc_id),
+i AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM hit),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM i),
+sp AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, n),
+cut AS (SELECT doc_id, a AS till, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM sp UNION ALL SELECT d.doc_id, length(h) // 2, coalesce(max(b), 0) FROM d LEFT JOIN sp ON d.doc_id = sp.doc_id GROUP BY d.doc_id, h),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (till - since)), '' ORDER BY since) AS k FROM cut JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM sp GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents are inserted under two tokenizer versions; words-1 is revised to leave
     out words without a letter or digit; the revision is delivered twice; documents of fewer than 20 words go."""
@@ -81,6 +98,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("id doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and the base rule of the same pass, which SQL can repeat."""
+    out = with_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.withColumnRenamed("id", "doc_id").withColumn("base_failed", F.expr(BASE_RULE))
+
+
+SQL_BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+t AS (SELECT doc_id, s FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT g.doc_id, count(DISTINCT g.i + k) AS n FROM g JOIN t ON g.doc_id = t.doc_id AND g.s = t.s, unnest(range(0, 8)) AS v(k) GROUP BY g.doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c"""
+
+
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bradley-Terry scores of all documents, learned where crc32(doc_id as text) mod 5 is not 0."""
     out, _ = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn="crc32(cast(id as string)) % 5 != 0")
@@ -184,5 +219,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_rollup, op3_quality_rules, op4_quality_ranking, op5_packing, op6_language_id, op7_quote_linking, op8_decontamination, op9_license_scan, op10_jaccard_join, token_rollup_tokenizer, quote_linking_quoted, conversation_texts)}
-ORACLE = {"op2_token_rollup": SQL_OP2, "op7_quote_linking": SQL_OP7, "quote_linking_quoted": SQL_QUOTED, "conversation_texts": SQL_TEXTS}
+SQL_OP10 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id"""
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_rollup, op3_quality_rules, op4_quality_ranking, op5_packing, op6_language_id, op7_quote_linking, op8_decontamination, op9_license_scan, op10_jaccard_join, token_rollup_tokenizer, quality_base_counts, quote_linking_quoted, conversation_texts)}
+ORACLE = {"op1_suffix_dedup": SQL_OP1, "op2_token_rollup": SQL_OP2, "quality_base_counts": SQL_BASE, "op10_jaccard_join": SQL_OP10, "op7_quote_linking": SQL_OP7, "quote_linking_quoted": SQL_QUOTED, "conversation_texts": SQL_TEXTS}
