@@ -21,7 +21,10 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-_PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÿ]")
+_ODD = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÿ]")
+#: The same by UTF-8 bytes: control characters, and first bytes of characters beyond À-ÿ (C3 is theirs alone).
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[*(b for b in range(32) if b not in b"\t\n\r"), 127, *(b for b in range(0xC0, 256) if b != 0xC3)]] = True
 #: The split of word_bpe_49k.json, for texts of the plain characters above after lower-casing.
 _SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 #: Byte-level alphabets write each byte as a character: printable ones as themselves, the rest from 256 on.
@@ -64,7 +67,13 @@ class WordTokenizer:
 
     def _chunk(self, chunk: str) -> list[int]:
         out = []
-        for w in _SPLIT.findall(chunk):
+        if chunk.isalpha():
+            parts = (chunk,)
+        elif chunk[:-1].isalpha() and not chunk[-1].isalnum():
+            parts = (chunk[:-1], chunk[-1])
+        else:
+            parts = _SPLIT.findall(chunk)
+        for w in parts:
             ids = self.words.get(w)
             if ids is None:
                 shown = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
@@ -85,10 +94,11 @@ class WordTokenizer:
         self.used += total
         self.known.update(zip(chunks, range(k, k + n)))
 
-    def encode(self, texts: list[str]):
-        """Yields the ids of each text."""
-        for text in texts:
-            if not self.by_word or _PLAIN.search(text) or "<|" in text:
+    def encode(self, texts: list[str], odd: np.ndarray | None = None):
+        """Yields the ids of each text.  odd: which texts hold characters beyond ASCII and Latin letters, if known."""
+        odd = (bool(_ODD.search(t)) for t in texts) if odd is None else odd.tolist()
+        for text, other in zip(texts, odd):
+            if not self.by_word or other or "<|" in text:
                 yield np.array(self.full.encode(text, add_special_tokens=False).ids, self.flat.dtype)
                 continue
             chunks = text.lower().split()
@@ -108,6 +118,17 @@ class WordTokenizer:
             yield self.flat[np.arange(total) + np.repeat(self.start[k] - begin, size)]
 
 
+def odd_texts(col) -> np.ndarray:
+    """Which texts of an Arrow column hold characters beyond ASCII and Latin letters."""
+    o, data = C.text_bytes(col)
+    own = data[o[0] : o[-1]]
+    at = np.flatnonzero(_ODD_BYTE[own]) + o[0]
+    out = np.zeros(len(o) - 1, bool)
+    if len(at):
+        out[np.searchsorted(o, at, side="right") - 1] = True
+    return out
+
+
 def pad_cost(total: int, capacity: int) -> int:
     """Padding of a sequence: none at the capacity or at a power of two."""
     return 0 if total == capacity or total & (total - 1) == 0 else capacity - total
@@ -181,7 +202,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, i
         for b in batches:
             ids, rows, texts = b.column("id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()
             cols: list[list] = [[] for _ in range(6)]
-            for i, r, t in zip(ids, rows, tok.encode([x or "" for x in texts])):
+            for i, r, t in zip(ids, rows, tok.encode([x or "" for x in texts], odd_texts(b.column("text")))):
                 t = t.astype("<u4")
                 if end_id is not None:
                     t = np.append(t, np.uint32(end_id))

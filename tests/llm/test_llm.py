@@ -290,6 +290,14 @@ def naive_phrases(sample, text):
     return n
 
 
+def test_odd_texts():
+    import pyarrow as pa
+
+    rows = [*texts(), "naïve ÿÀ×÷", "a\x0bb", "\x1f", "tab\t\r\n", "“quote”", "½", "\x7f", "Ā", "", None, "\U0001f600"]
+    for a, b in ((0, len(rows)), (3, 20), (len(rows), len(rows))):
+        assert PK.odd_texts(pa.array(rows)[a:b]).tolist() == [bool(PK._ODD.search(t or "")) for t in rows[a:b]]
+
+
 def test_cross_parsing_is_exact():
     """Against longest matches by substring search: across segments, with rare letters, periodic and long texts."""
     rng = random.Random(9)
