@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The chromosomes, and below the patterns and keys by which a label is found.
 CANONICAL = [f"chr{x}" for x in [*range(1, 23), "X", "Y", "M"]]
 
 
@@ -23,16 +24,20 @@ def parse_attributes(text: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, last(k))))
 
 
+EXPERIMENT, CELL = "\\b(SRX\\d+)\\b", "@\\s*([^)]+)\\)"
+CELL_KEYS = ["cell line", "cell type", "source_name"]
+
+
 def context_label(attributes: Column, by: str) -> Column:
     """srx: the first SRX number, in ``id`` before the rest; celltype: ``@ name)`` in ``name``, else the first of the
     cell keys; attribute:X: that key.  Null where there is none; another ``by`` is a ValueError."""
     at = lambda k: F.nullif(F.try_element_at(attributes, F.lit(k)), F.lit(""))
     if by == "srx":
         every = F.concat_ws(" ", at("id"), F.array_join(F.map_values(attributes), " "))
-        return F.nullif(F.regexp_extract(every, "\\b(SRX\\d+)\\b", 1), F.lit(""))
+        return F.nullif(F.regexp_extract(every, EXPERIMENT, 1), F.lit(""))
     if by == "celltype":
-        named = F.nullif(F.trim(F.regexp_extract(F.coalesce(at("name"), F.lit("")), "@\\s*([^)]+)\\)", 1)), F.lit(""))
-        return F.coalesce(named, at("cell line"), at("cell type"), at("source_name"))
+        named = F.nullif(F.trim(F.regexp_extract(F.coalesce(at("name"), F.lit("")), CELL, 1)), F.lit(""))
+        return F.coalesce(named, *map(at, CELL_KEYS))
     if by.startswith("attribute:"):
         return at(by.split(":", 1)[1].lower())
     raise ValueError(f"unknown context: {by}")

@@ -171,6 +171,31 @@ def hit_positions(found: DataFrame, intervals: DataFrame, motifs: MotifSet) -> D
     return out.where((F.col("start_pos") >= F.col("_at")) & (F.col("start_pos") + m <= F.col("_at") + F.col("length"))).select("interval_id", "chrom", "start_pos", "center_pos", "motif_idx", "strand", "score")
 
 
+def scan_hits(intervals: DataFrame, motifs: MotifSet, both: bool = True) -> DataFrame:
+    """interval_id and HIT rows of intervals (interval_id, chrom, start, seq): scanned and placed in one narrow pass, so
+    hits are not joined with their intervals again."""
+    kernels, limits = motifs.kernels, np.asarray(motifs.thresholds, np.float64)[:, None]
+    m, offsets = motifs.length, np.array(motifs.center_offsets(), np.int64)
+
+    def fn(batches):
+        for b in batches:
+            ids, chrom = b.column("interval_id"), b.column("chrom")
+            strand, begin = np.asarray(b.column("strand")).astype(np.int64), np.asarray(b.column("start")).astype(np.int64)
+            for f in scanned(b.column("seq"), kernels):
+                k, at = np.nonzero(f.scores > limits)
+                own = f.row[at]
+                row, size, p = own + f.first, f.lengths[own], f.p[at]
+                fwd = strand[row] == 0
+                first = begin[row] + np.where(fwd, p, size - p - m)
+                center = begin[row] + np.where(fwd, p + offsets[k], size - 1 - p - offsets[k])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([ids.take(take), chrom.take(take), pa.array(first), pa.array(center), pa.array(k.astype(np.int32)), pa.array(strand[row].astype(np.int32)), pa.array(f.scores[k, at].astype(np.float64))], names)
+
+    names = ["interval_id", "chrom", "start_pos", "center_pos", "motif_idx", "strand", "score"]
+    rows = with_strands(intervals.select(F.col("interval_id").cast("long").alias("interval_id"), F.col("chrom").cast("string").alias("chrom"), F.col("start").cast("long").alias("start"), "seq"), both)
+    return rows.mapInArrow(fn, "interval_id long, chrom string, start_pos long, center_pos long, motif_idx int, strand int, score double")
+
+
 def owned_hits(found: DataFrame, tiles: DataFrame) -> DataFrame:
     """Hits whose centre lies in their own tile (interval_id, tile_start, tile_end): flanks overlap, hits don't repeat."""
     return found.join(tiles.select("interval_id", "tile_start", "tile_end"), "interval_id").where("center_pos >= tile_start and center_pos < tile_end").drop("tile_start", "tile_end")

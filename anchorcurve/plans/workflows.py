@@ -38,9 +38,7 @@ def context_memberships(rows: DataFrame, by: str, window: int, matching: str | N
 
 def hits_of_intervals(intervals: DataFrame, motifs: MotifSet, both: bool = True) -> DataFrame:
     """HIT rows of interval_id, chrom, start, seq."""
-    at = intervals.select("interval_id", "chrom", "start", F.length("seq").alias("length"))
-    scores = S.scan_arrow(S.with_strands(intervals.select("interval_id", "seq"), both), motifs, above=float(min(motifs.thresholds)) if min(motifs.thresholds) >= 0 else None)
-    return S.hit_positions(S.hits(scores, motifs), at, motifs)
+    return S.scan_hits(intervals, motifs, both)
 
 
 def prefiltered(strands: DataFrame, motifs: MotifSet, query: int, w: int) -> DataFrame:

@@ -267,10 +267,17 @@ def hit_positions_all(spark, sf_dir):
 
 
 def _positions(spark, sf_dir, min_score: float | None = None):
-    seqs = sequences(spark, sf_dir).select("interval_id", "seq", F.lit("c").alias("chrom"), (F.col("interval_id") * 1000).alias("start"), F.length("seq").alias("length"))
-    found = S.hits(S.scan_arrow(strands(spark, sf_dir), motifs(), 0.0), motifs())
+    seqs = sequences(spark, sf_dir).select("interval_id", F.lit("c").alias("chrom"), (F.col("interval_id") * 1000).alias("start"), "seq")
+    found = S.scan_hits(seqs, motifs())
     found = found if min_score is None else found.where(F.col("score") >= min_score)
-    return _whole(S.hit_positions(found, seqs, motifs()), "score").drop("chrom")
+    return _whole(found, "score").drop("chrom")
+
+
+@query(_POSITIONS)
+def hit_positions_joined(spark, sf_dir):
+    """The same from score rows, joined with their intervals."""
+    seqs = sequences(spark, sf_dir).select("interval_id", F.lit("c").alias("chrom"), (F.col("interval_id") * 1000).alias("start"), F.length("seq").alias("length"))
+    return _whole(S.hit_positions(S.hits(S.scan_arrow(strands(spark, sf_dir), motifs(), 0.0), motifs()), seqs, motifs()), "score").drop("chrom")
 
 
 _MAX = f"WITH {SCORES} SELECT interval_id, CAST(motif_idx AS INT) AS motif_idx, CAST(min(p) AS INT) AS rel_pos, CAST(any_value(best) AS BIGINT) AS score FROM (SELECT *, max(score) OVER (PARTITION BY interval_id, motif_idx) AS best FROM sc WHERE strand = 0) JOIN t USING (motif_idx) WHERE score = best AND best > thr GROUP BY interval_id, motif_idx"

@@ -9,11 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import MotifSet
+from ..model import NARROWPEAK, MotifSet
 from ..operators.joins import points_in_intervals
 
-# The published narrowPeak columns.
-NARROWPEAK_COLUMNS = ["chrom", "start", "end", "name", "score", "strand", "signalValue", "pValue", "qValue", "peak"]
+NARROWPEAK_KINDS = dict(x.split() for x in NARROWPEAK.split(", "))
 
 
 def _bed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +38,8 @@ def read_narrowpeak(spark: SparkSession, path: str, half: int = 1000, sample: in
     if first is not None and len(first.f) < 3:
         raise ValueError("a BED file needs three columns at least")
     width = len(first.f) if first is not None else 3
-    kinds = {"start": "bigint", "end": "bigint", "score": "double", "signalValue": "double", "pValue": "double", "qValue": "double", "peak": "bigint"}
-    names = NARROWPEAK_COLUMNS[:width] + [f"extra_{i}" for i in range(width - 10)]
-    rows = lines.select(*[F.get("f", F.lit(i)).try_cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(names)])
+    names = [*list(NARROWPEAK_KINDS)[:width], *(f"extra_{i}" for i in range(width - 10))]
+    rows = lines.select(*[F.get("f", F.lit(i)).try_cast(NARROWPEAK_KINDS.get(n, "string")).alias(n) for i, n in enumerate(names)])
     rows = rows.withColumn("length", F.col("end") - F.col("start")).withColumn("center", (F.col("start") + F.col("end")) / 2)
     rows = rows.withColumn("start", (F.col("center") - half).cast("long")).withColumn("end", (F.col("center") + half).cast("long"))
     if sample is not None and (n := rows.count()) > sample:

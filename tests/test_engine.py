@@ -153,14 +153,16 @@ def test_memberships_and_blocks(spark):
 
 
 def test_motif_selection():
-    names = [f"{n}.H13CORE.0.P.A" for n in ("A", "A_RC", "B", "CTCF")]
-    assert select_motifs(names, "0-1,CTCF,B.H13CORE.0.P.A") == [0, 1, 3, 2]
-    assert resolve_motif(names, "ctcf") == 3
-    for bad in ("3-1", "9", "none", ""):
+    names = ["GATA1.x.1", "GATA1_alt.x.2", "SOX2.y.1", "SOX2.y.2", "MAX.z.1", "CMAX.z.1"]
+    assert select_motifs(names, "4,1-2,MAX.z.1,SOX2") == [4, 1, 2, 3]
+    assert select_motifs(names, "gata1_A, 5 ,") == [1, 5] and select_motifs(names, "GATA1") == [0, 1]
+    assert resolve_motif(names, "cmax") == 5 and resolve_motif(names, "MAX") == 4 and resolve_motif(names, "3") == 3
+    for bad in ("2-1", "6", "4-6", "PAX6", "", " , "):
         with pytest.raises(ValueError):
             select_motifs(names, bad)
-    with pytest.raises(ValueError):
-        resolve_motif(["X.ESR1.a", "Y.ESR1.b"], "ESR1")
+    for bad in ("SOX2", "6", "PAX6"):
+        with pytest.raises(ValueError):
+            resolve_motif(names, bad)
     k = np.zeros((1, 7, 4))
     k[0, 2:5, 0] = 1
     assert MotifSet(["m"], k, [0]).center_offsets() == [3]
