@@ -104,9 +104,11 @@ def _survivors(docs: DataFrame, size: int, shards: int, id_col: str, text_col: s
     buckets = C.n_buckets(shards)
     base = C.sharded(docs, shards, id_col, text_col, False)
 
+    @C.tidy
     def keys(t: pa.Table) -> pa.Table:
         return C.key_rows(t["shard"][0].as_py(), _Sets(*_ids_and_sets(t, size), buckets).sent)
 
+    @C.tidy
     def choose(t: pa.Table, answers: pa.Table) -> pa.Table:
         ids, sets = _ids_and_sets(t, size)
         s = _Sets(ids, sets, buckets)
@@ -135,6 +137,7 @@ def _count_rows(shard: int, sent: np.ndarray, held: np.ndarray) -> pa.Table:
     return t.append_column("held", pa.array(parts, pa.binary()))
 
 
+@C.tidy
 def _answer_counts(t: pa.Table) -> pa.Table:
     """To each shard, the number of sets (65535 at most) that hold each of its keys: the order of rarity."""
     parts = [np.cumsum(C.unpack(x, np.uint32), dtype=np.uint32) for x in t["body"].to_pylist()]
@@ -179,10 +182,12 @@ def _near(classes: DataFrame, shards: int) -> DataFrame:
         ids = t["id"].to_pylist()
         return _Sets(ids, sets, buckets, [(i, k) for k, i in enumerate(ids)])
 
+    @C.tidy
     def keys(t: pa.Table) -> pa.Table:
         x = own(t)
         return _count_rows(t["shard"][0].as_py(), x.sent, x.held)
 
+    @C.tidy
     def choose(t: pa.Table, answers: pa.Table) -> pa.Table:
         s = own(t)
         held = np.zeros(len(s.sent), np.int64)
@@ -301,6 +306,7 @@ def _groups(t: pa.Table) -> dict[tuple, list[int]]:
     return {g: own for g, own in out.items() if len(own) > 1}
 
 
+@C.tidy
 def _first_links(t: pa.Table) -> pa.Table:
     """Rows key, part, id, n, toks: spanning edges of what links within each (key, part), as stars about least ids."""
     ids, sizes, toks = t["id"].to_pylist(), t["n"].to_pylist(), t["toks"]
@@ -324,6 +330,7 @@ def _edges(pairs: set) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
+@C.tidy
 def _candidates(t: pa.Table) -> pa.Table:
     """Rows key, part, side, id, n, count, rest, root, sig: pairs of sets of different roots that may link.
 
@@ -397,12 +404,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, block: int = 2048, id_col
     near = C.cut(_near(reps, shards), "near")
 
     # Places to look first: each set under its rarest and least shingles; large groups in salted parts.
-    first = near.select("id", "n", "toks", F.explode("keys").alias("key"))
-    size_of = F.octet_length("toks")
-    counts = near.select(F.explode("keys").alias("key"), size_of.alias("b")).groupBy("key").agg(F.count("*").alias("count"), F.sum("b").alias("bytes")).where("count > 1")
+    # Keys are dealt out with ids alone; the sets follow by id.
+    keyed = near.select("id", F.explode("keys").alias("key"), F.octet_length("toks").alias("b"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("count"), F.sum("b").alias("bytes")).where("count > 1")
     # Parts are dealt anew under each key, so what one key's parts keep apart another's bring together.
     parts = F.ceil(F.greatest(F.col("count") / min(block, FIRST), F.col("bytes") / BLOCK_BYTES))
-    first = first.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("long"))
+    light = keyed.join(counts, "key").select("id", "key", F.pmod(F.xxhash64("id", "key"), parts).cast("long").alias("part"))
+    first = light.join(near.select("id", "n", "toks"), "id")
     edges = C.cut(_by_key(first.select("key", "part", "id", "n", "toks"), shards, _first_links), "links")
     roots = connected_components(edges)
 
