@@ -11,6 +11,8 @@ per shard, so nothing grows with a key's document count.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -23,12 +25,40 @@ U64 = np.uint64
 MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers are used again, by other stages too, and what they
+    keep for themselves counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(fn):
+    """fn of one or two tables, which releases memory after each call.  Spark counts its parameters, so they are plain."""
+
+    def done(*args):
+        try:
+            return fn(*args)
+        finally:
+            release()
+
+    def one(t: pa.Table) -> pa.Table:
+        return done(t)
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        return done(left, right)
+
+    return one if fn.__code__.co_argcount == 1 else two
+
+
 def input_parts(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
 
 
 #: Bytes of text and documents that a shard holds on average: what a task keeps is a few tens of MB.
-SHARD_BYTES, SHARD_ROWS = 12_000_000, 40_000
+SHARD_BYTES, SHARD_ROWS = 8_000_000, 40_000
 
 
 def n_shards(df: DataFrame, text_col: str) -> int:
@@ -90,6 +120,7 @@ def key_rows(shard: int, sent: np.ndarray) -> pa.Table:
     return pa.table({"bucket": pa.array(b[cuts], pa.int32()), "shard": pa.array([shard] * len(cuts), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
+@tidy
 def answer_bucket(t: pa.Table) -> pa.Table:
     """For every shard's keys of one bucket, one bit each: do other shards hold it too?"""
     parts = [np.cumsum(unpack(x, np.uint32), dtype=np.uint32) for x in t["body"].to_pylist()]

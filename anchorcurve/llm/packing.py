@@ -35,7 +35,7 @@ _READY: dict[tuple[str, int], "WordTokenizer"] = {}
 
 class WordTokenizer:
     """Ids of a tokenizer file, by white-space separated chunks: in it neither chunks nor the words in them touch, so the
-    BPE model runs once for each different word.
+    BPE model runs once for each different chunk.
 
     A text with characters beyond ASCII and Latin letters goes to the tokenizer as a whole.  The memory of chunks is
     bounded; a full one starts anew.
@@ -46,7 +46,6 @@ class WordTokenizer:
 
         self.full = Tokenizer.from_file(path)
         self.model, self.most = self.full.model, most
-        self.words: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.full.get_vocab_size() <= 1 << 16 else np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -66,20 +65,14 @@ class WordTokenizer:
         return known == self.full.encode(text, add_special_tokens=False).ids
 
     def _chunk(self, chunk: str) -> list[int]:
-        out = []
         if chunk.isalpha():
             parts = (chunk,)
         elif chunk[:-1].isalpha() and not chunk[-1].isalnum():
             parts = (chunk[:-1], chunk[-1])
         else:
             parts = _SPLIT.findall(chunk)
-        for w in parts:
-            ids = self.words.get(w)
-            if ids is None:
-                shown = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
-                ids = self.words[w] = [t.id for t in self.model.tokenize(shown)]
-            out += ids
-        return out
+        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in parts)
+        return [t.id for w in shown for t in self.model.tokenize(w)]
 
     def _add(self, chunks: list[str]) -> None:
         found = list(map(self._chunk, chunks))
@@ -108,7 +101,6 @@ class WordTokenizer:
                 new = [w for w in dict.fromkeys(chunks) if w not in self.known]
                 if len(self.known) + len(new) > self.most:
                     self.known.clear()
-                    self.words.clear()
                     self.used, new = 0, list(dict.fromkeys(chunks))
                 self._add(new)
                 k = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
@@ -211,6 +203,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None, i
                     for c, v in zip(cols, (i, r, a, len(p), zlib.crc32(p.tobytes()), len(t))):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "row", "start", "length", "ids_crc32", "doc_tokens"])
+        C.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, text_col)]).alias("row"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(fn, PIECES)

@@ -363,6 +363,7 @@ def _shared_windows(pieces: list[bytes], length: int) -> list[list[tuple[int, in
 
 
 def _settle(length: int):
+    @C.tidy
     def fn(t: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
         known: dict[bytes, int] = {}
@@ -456,17 +457,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     buckets = C.n_buckets(shards)
     base = C.sharded(docs, shards, id_col, text_col, keep_row)
 
+    @C.tidy
     def keys(t: pa.Table) -> pa.Table:
         return C.key_rows(t["shard"][0].as_py(), _Shard(t, length, buckets).sent)
 
     def empty_answers() -> pa.Table:
         return pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
 
+    @C.tidy
     def send(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows:
             return _send([], [], np.zeros(0, np.int64), np.zeros(0, U64), 0)
         return _send(*_Shard(docs_, length, buckets).pieces(answers)[:4], docs_["shard"][0].as_py())
 
+    @C.tidy
     def finish(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers if answers.num_rows else empty_answers()
         kinds = np.array(answers["kind"].to_pylist(), np.int32)

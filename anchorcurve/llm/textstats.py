@@ -138,6 +138,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str, common: np.ndar
             parts = list(statistics(data, o, common))
             cols = [pa.array(np.concatenate([p[k] for p in parts]) if parts else [], kinds[k]) for k in names]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], *cols], [*own, *names])
+        C.release()
 
     schema = ", ".join([f"{c} long" for c in own] + [f"{k} {'long' if k in BASE else 'double'}" for k in names])
     return docs.select(F.col(id_col).cast("long").alias("id"), *([F.col(keep).cast("long").alias(keep)] if keep else []), F.col(text_col).cast("string").alias("text")).mapInArrow(fn, schema)
