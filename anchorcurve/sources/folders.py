@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,11 +26,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path there; what is written to it goes when the driver ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A fresh path in this application's part of it, which goes when the driver ends."""
+    own = f"{shared_root(spark)}/anchorcurve-{spark.sparkContext.applicationId}"
+    if own not in _MADE:
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _MADE.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
