@@ -232,44 +232,39 @@ def _documents(t: pa.Table):
 
 
 class _Shard:
-    """A shard's pieces, found alike in each pass."""
+    """A shard's runs in the order of their slots, found alike in each pass.
+
+    Pieces are cut bucket by bucket: a task holds those of one bucket, whatever share of its keys other shards hold, which
+    grows with the corpus.
+    """
 
     def __init__(self, t: pa.Table, length: int, buckets: int):
         self.length, self.docs = length, _documents(t)
-        keys, self.text, self.first, self.end = minimizer_runs([b for _, _, b in self.docs], length)
-        self.slot = C.slots(keys, buckets)
-        ids = np.array([i for _, i, _ in self.docs], np.int64)
-        o = np.argsort(self.slot, kind="stable")  # ids ascend within a key, as documents do
-        every, own = self.slot[o], ids[self.text[o]] if len(o) else ids[:0]
+        keys, text, first, end = minimizer_runs([b for _, _, b in self.docs], length)
+        slot = C.slots(keys, buckets)
+        o = np.argsort(slot, kind="stable")  # ids ascend within a key, as documents do
+        every = slot[o]
+        self.ids = np.array([i for _, i, _ in self.docs], np.int64)
+        self.text, self.first, self.end = (x[o].astype(np.int32) for x in (text, first, end))
         new = np.r_[True, every[1:] != every[:-1]] if len(every) else np.zeros(0, bool)
         cut = np.flatnonzero(new)
         self.sent = every[cut]
-        self.local = own[cut] != own[np.r_[cut[1:], len(every)] - 1] if len(every) else np.zeros(0, bool)
-        self.key = np.empty(len(o), np.int64)  # of each run, its place in sent
-        self.key[o] = np.cumsum(new) - 1
+        self.begin = np.append(cut, len(every))  # of each key's runs
+        self.local = self.ids[self.text[cut]] != self.ids[self.text[self.begin[1:] - 1]] if len(every) else np.zeros(0, bool)
 
     def pieces(self, answers: pa.Table):
-        """(distinct pieces, their least ids, their order by slot, slots in it), and per document its (first, end, number)."""
-        live = self.local | C.shared_slots(self.sent, answers)
-        at = np.flatnonzero(live[self.key]) if len(self.key) else self.key
-        known: dict[bytes, int] = {}
-        names: list[bytes] = []
-        ids: list[int] = []
-        begin: list[int] = []
-        mine: list[list] = [[] for _ in self.docs]
-        for n, d, x, y in zip(at.tolist(), self.text[at].tolist(), self.first[at].tolist(), (self.end[at] + (self.length - 1)).tolist()):
-            _, i, b = self.docs[d]
-            p = b[x:y]
-            k = known.get(p)
-            if k is None:
-                known[p] = k = len(names)
-                names.append(p)
-                ids.append(i)
-                begin.append(n)
-            mine[d].append((x, y, k))
-        slot = self.slot[np.array(begin, np.int64)]
-        order = np.argsort(slot, kind="stable")
-        return names, ids, order, slot[order], mine
+        """Bucket by bucket: (bucket, distinct pieces, their least ids, their slots in order, runs, the piece of each run)."""
+        live = np.flatnonzero(self.local | C.shared_slots(self.sent, answers))
+        for bucket, a, b in _by_bucket(self.sent[live]):
+            keys = live[a:b]
+            n = self.begin[keys + 1] - self.begin[keys]
+            runs = np.arange(n.sum()) + np.repeat(self.begin[keys] - (np.cumsum(n) - n), n)
+            known: dict[bytes, int] = {}
+            which = np.empty(len(runs), np.int64)
+            for k, (d, x, y) in enumerate(zip(self.text[runs].tolist(), self.first[runs].tolist(), (self.end[runs] + (self.length - 1)).tolist())):
+                which[k] = known.setdefault(self.docs[d][2][x:y], len(known))
+            at = np.unique(which, return_index=True)[1]
+            yield bucket, list(known), self.ids[self.text[runs[at]]], np.repeat(self.sent[keys], n)[at], runs, which
 
 
 PIECE_ROWS = "bucket int, shard int, tags binary, lens binary, ids binary, body binary"
@@ -282,19 +277,16 @@ def _by_bucket(slots: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(b[cut].tolist(), cut.tolist(), np.r_[cut[1:], len(b)].tolist()))
 
 
-def _send(names: list[bytes], ids: list[int], order: np.ndarray, slots: np.ndarray, shard: int) -> pa.Table:
+def _send(shard: _Shard, answers: pa.Table, number: int) -> pa.Table:
     rows = {x: [] for x in ("bucket", "shard", "tags", "lens", "ids", "body")}
     zip_ = zstandard.ZstdCompressor(level=1)
-    own_ids = np.array(ids, np.int64)[order]
-    tags = (slots & U64(0xFFFFFFFF)).astype(np.uint32)
-    for bucket, a, b in _by_bucket(slots):
-        own = [names[k] for k in order[a:b].tolist()]
+    for bucket, names, ids, slots, _, _ in shard.pieces(answers):
         rows["bucket"].append(bucket)
-        rows["shard"].append(shard)
-        rows["tags"].append(C.pack(tags[a:b]))
-        rows["lens"].append(C.pack(np.fromiter(map(len, own), np.uint32, len(own))))
-        rows["ids"].append(C.pack(own_ids[a:b]))
-        rows["body"].append(zip_.compress(b"".join(own)))
+        rows["shard"].append(number)
+        rows["tags"].append(C.pack((slots & U64(0xFFFFFFFF)).astype(np.uint32)))
+        rows["lens"].append(C.pack(np.fromiter(map(len, names), np.uint32, len(names))))
+        rows["ids"].append(C.pack(ids))
+        rows["body"].append(zip_.compress(b"".join(names)))
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds)})
 
@@ -362,75 +354,163 @@ def _shared_windows(pieces: list[bytes], length: int) -> list[list[tuple[int, in
     return out
 
 
-def _settle(length: int):
+#: Bytes of pieces that are settled at once, windows that one pass over a minimizer with more than that holds, and
+#: symbols of a suffix array, which takes some 230 bytes for each.
+PART_BYTES, PASS_WINDOWS, ARRAY_SYMBOLS = 1 << 21, 1 << 20, 1 << 19
+
+
+class _Sent:
+    """What one shard sent to a bucket, in the order of its tags."""
+
+    def __init__(self, tags: bytes, lens: bytes, ids: bytes, body: bytes):
+        self.tags, self.lens, self.ids = C.unpack(tags, np.uint32), C.unpack(lens, np.uint32), C.unpack(ids, np.int64)
+        self.ends = np.cumsum(self.lens, dtype=np.int64)
+        self.raw = zstandard.ZstdDecompressor().decompress(body) if len(self.lens) else b""
+
+    def pieces(self, a: int, b: int) -> list[bytes]:
+        ends = self.ends[a:b]
+        return [self.raw[x:y] for x, y in zip((ends - self.lens[a:b]).tolist(), ends.tolist())]
+
+
+def _some_tags(sent: list[_Sent], places: list[tuple[int, int]], length: int, symbols: int) -> list[np.ndarray]:
+    """(place, first window, end, least id) of the windows that a smaller id holds, for each shard's pieces from place to
+    place."""
+    known: dict[bytes, int] = {}
+    pieces: list[bytes] = []
+    ids: list[int] = []
+    groups: dict[int, list[int]] = {}
+    asked = []
+    for x, (a, b) in zip(sent, places):
+        numbers = []
+        for p, g, i in zip(x.pieces(a, b), x.tags[a:b].tolist(), x.ids[a:b].tolist()):
+            k = known.get(p)
+            if k is None:
+                known[p] = k = len(pieces)
+                pieces.append(p)
+                ids.append(i)
+                groups.setdefault(g, []).append(k)
+            elif i < ids[k]:
+                ids[k] = i
+            numbers.append(k)
+        asked.append(np.array(numbers, np.int64))
+    # per piece: [(first window, end, least id)]; without an entry the piece's own id holds
+    low: dict[int, list[tuple[int, int, int]]] = {}
+    several = [k for own in groups.values() if len(own) > 1 for k in own]
+    if several:
+        trimmed = dict(zip(several, _shared_windows([pieces[k] for k in several], length)))
+        for own in groups.values():
+            if len(own) < 2:
+                continue
+            texts: dict[bytes, list] = {}
+            for k in own:
+                for x, y in trimmed[k]:
+                    p = pieces[k][x : y + length - 1]
+                    e = texts.setdefault(p, [ids[k], []])
+                    e[0] = min(e[0], ids[k])
+                    e[1].append((k, x))
+            if not texts:
+                continue
+            names = list(texts)
+            found = settled(names, [texts[p][0] for p in names], length, symbols)
+            for p, least in zip(names, found):
+                runs, s = [], 0
+                for j in range(1, len(least) + 1):
+                    if j == len(least) or least[j] != least[s]:
+                        runs.append((s, j, least[s]))
+                        s = j
+                for k, x in texts[p][1]:
+                    low.setdefault(k, []).extend((x + a, x + b, v) for a, b, v in runs)
+    least = np.array(ids, np.int64)
+    windows = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
+    some = np.zeros(len(pieces), bool)
+    some[list(low)] = True
+    out = []
+    for x, (first, end), k in zip(sent, places, asked):
+        own_ids = x.ids[first:end]
+        # An equal piece stands in another shard under a smaller id.
+        at = np.flatnonzero(least[k] < own_ids)
+        rows = np.stack([at + first, np.zeros_like(at), windows[k[at]], least[k[at]]], 1)
+        hit = np.flatnonzero(some[k])
+        parts = [(place + first, a, b, v) for place, i in zip(hit.tolist(), own_ids[hit].tolist()) for a, b, v in low[int(k[place])] if v < i]
+        out.append(np.concatenate([rows, np.array(parts, np.int64).reshape(-1, 4)]))
+    return out
+
+
+def _one_tag(sent: list[_Sent], places: list[tuple[int, int]], length: int, windows: int, symbols: int) -> list[np.ndarray]:
+    """The same of one tag with very many pieces: in passes over all of them, each of which holds the windows of some
+    hashes, about ``windows`` of them; equal windows meet in one pass."""
+    total = sum(int(np.maximum(x.lens[a:b].astype(np.int64) - length + 1, 0).sum()) for x, (a, b) in zip(sent, places))
+    passes, found = -(-total // windows), []
+    for turn in range(passes):
+        held = []
+        for n, (x, (a, b)) in enumerate(zip(sent, places)):
+            while a < b:
+                # Hashing takes some 100 bytes a window.
+                c = min(b, max(a + 1, int(np.searchsorted(x.ends, x.ends[a] + (1 << 18)))))
+                who, window, h = _window_hashes(x.pieces(a, c), length)
+                k = np.flatnonzero(h % U64(passes) == U64(turn))
+                held.append((np.full(len(k), n, np.int32), (who[k] + a).astype(np.int32), window[k].astype(np.int32), h[k], x.ids[a:c][who[k]]))
+                a = c
+        row, place, window, h, own = (np.concatenate(v) for v in zip(*held))
+        del held
+        if not len(h):
+            continue
+        o = np.argsort(h, kind="stable")
+        cut = np.flatnonzero(np.r_[True, h[o][1:] != h[o][:-1]])
+        several = np.minimum.reduceat(own[o], cut) < np.maximum.reduceat(own[o], cut)
+        o = o[np.repeat(several, np.diff(np.append(cut, len(o))))]  # of hashes that several ids hold
+        row, place, window, own = row[o], place[o], window[o], own[o]
+        known: dict[bytes, int] = {}
+        which = np.empty(len(o), np.int64)
+        for k, (n, p, w) in enumerate(zip(row.tolist(), place.tolist(), window.tolist())):
+            x = sent[n]
+            at = int(x.ends[p]) - int(x.lens[p]) + w
+            which[k] = known.setdefault(x.raw[at : at + length], len(known))
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, own)
+        if len(known):
+            least = np.array([v[0] for v in settled(list(known), least.tolist(), length, symbols)], np.int64)
+        k = np.flatnonzero(least[which] < own)
+        found.append((row[k], place[k], window[k], least[which[k]]))
+    if not found:
+        return [np.zeros((0, 4), np.int64) for _ in sent]
+    row, place, window, least = (np.concatenate(v) for v in zip(*found))
+    del found
+    o = np.lexsort((window, place, row))
+    row, place, window, least = row[o], place[o], window[o], least[o]
+    new = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1) | (least[1:] != least[:-1])] if len(o) else np.zeros(0, bool)
+    a, b = np.flatnonzero(new), np.flatnonzero(np.r_[new[1:], True]) if len(o) else np.zeros(0, np.int64)
+    runs = np.stack([place[a].astype(np.int64), window[a].astype(np.int64), window[b].astype(np.int64) + 1, least[a]], 1)
+    ends = np.searchsorted(row[a], np.arange(len(sent) + 1))
+    return [runs[x:y] for x, y in zip(ends[:-1], ends[1:])]
+
+
+def _settle(length: int, part: int | None = None, windows: int = PASS_WINDOWS, symbols: int = ARRAY_SYMBOLS):
+    """Settles a bucket, ``part`` bytes of pieces at a time: a minimizer's pieces together, or by passes over its windows."""
+    part = part or PART_BYTES
+
     @C.tidy
     def fn(t: pa.Table) -> pa.Table:
-        unzip = zstandard.ZstdDecompressor()
-        known: dict[bytes, int] = {}
-        pieces: list[bytes] = []
-        ids: list[int] = []
-        tags: list[int] = []
-        asked = []
-        for tag, lens, own, body in zip(*(t[c].to_pylist() for c in ("tags", "lens", "ids", "body"))):
-            raw, at, numbers = unzip.decompress(body), 0, []
-            own_ids = C.unpack(own, np.int64)
-            for g, n, i in zip(C.unpack(tag, np.uint32).tolist(), C.unpack(lens, np.uint32).tolist(), own_ids.tolist()):
-                p = raw[at : at + n]
-                at += n
-                k = known.get(p)
-                if k is None:
-                    known[p] = k = len(pieces)
-                    pieces.append(p)
-                    ids.append(i)
-                    tags.append(g)
-                elif i < ids[k]:
-                    ids[k] = i
-                numbers.append(k)
-            asked.append((numbers, own_ids))
-        # per piece: [(first window, end, least id)]; without an entry the piece's own id holds
-        low: dict[int, list[tuple[int, int, int]]] = {}
-        groups: dict[int, list[int]] = {}
-        for k, g in enumerate(tags):
-            groups.setdefault(g, []).append(k)
-        several = [k for own in groups.values() if len(own) > 1 for k in own]
-        if several:
-            trimmed = dict(zip(several, _shared_windows([pieces[k] for k in several], length)))
-            for own in groups.values():
-                if len(own) < 2:
-                    continue
-                texts: dict[bytes, list] = {}
-                for k in own:
-                    for x, y in trimmed[k]:
-                        p = pieces[k][x : y + length - 1]
-                        e = texts.setdefault(p, [ids[k], []])
-                        e[0] = min(e[0], ids[k])
-                        e[1].append((k, x))
-                if not texts:
-                    continue
-                names = list(texts)
-                found = settled(names, [texts[p][0] for p in names], length)
-                for p, least in zip(names, found):
-                    runs, s = [], 0
-                    for j in range(1, len(least) + 1):
-                        if j == len(least) or least[j] != least[s]:
-                            runs.append((s, j, least[s]))
-                            s = j
-                    for k, x in texts[p][1]:
-                        low.setdefault(k, []).extend((x + a, x + b, v) for a, b, v in runs)
-        least = np.array(ids, np.int64)
-        windows = np.fromiter(map(len, pieces), np.int64, len(pieces)) - length + 1
-        some = np.zeros(len(pieces), bool)
-        some[list(low)] = True
-        out = []
-        for numbers, own_ids in asked:
-            k = np.array(numbers, np.int64)
-            # An equal piece stands in another shard under a smaller id.
-            at = np.flatnonzero(least[k] < own_ids)
-            rows = np.stack([at, np.zeros_like(at), windows[k[at]], least[k[at]]], 1)
-            hit = np.flatnonzero(some[k])
-            parts = [(place, a, b, v) for place, i in zip(hit.tolist(), own_ids[hit].tolist()) for a, b, v in low[numbers[place]] if v < i]
-            out.append(C.pack(np.concatenate([rows, np.array(parts, np.int64).reshape(-1, 4)])))
-        return pa.table({"shard": t["shard"].cast(pa.int32()), "bucket": t["bucket"].cast(pa.int32()), "body": pa.array(out, pa.binary())})
+        sent = [_Sent(*(t[c][n].as_py() for c in ("tags", "lens", "ids", "body"))) for n in range(t.num_rows)]
+        tags, which = np.unique(np.concatenate([x.tags for x in sent]), return_inverse=True)
+        size = np.bincount(which, np.concatenate([x.lens for x in sent]), len(tags))
+        alone = np.bincount(which, minlength=len(tags)) < 2
+        del which
+        out: list[list[np.ndarray]] = [[np.zeros((0, 4), np.int64)] for _ in sent]
+        k = 0
+        while k < len(tags):
+            end, held = k + 1, size[k]
+            while end < len(tags) and held + size[end] <= part:
+                held += size[end]
+                end += 1
+            if not alone[k:end].all():
+                places = [(int(np.searchsorted(x.tags, tags[k])), int(np.searchsorted(x.tags, tags[end - 1], side="right"))) for x in sent]
+                found = _some_tags(sent, places, length, symbols) if held <= part else _one_tag(sent, places, length, windows, symbols)
+                for rows, own in zip(out, found):
+                    rows.append(own)
+            k = end
+        body = [C.pack(np.concatenate(rows)) for rows in out]
+        return pa.table({"shard": t["shard"].cast(pa.int32()), "bucket": t["bucket"].cast(pa.int32()), "body": pa.array(body, pa.binary())})
 
     return fn
 
@@ -466,9 +546,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     @C.tidy
     def send(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs_.num_rows:
-            return _send([], [], np.zeros(0, np.int64), np.zeros(0, U64), 0)
-        return _send(*_Shard(docs_, length, buckets).pieces(answers)[:4], docs_["shard"][0].as_py())
+        return _send(_Shard(docs_, length, buckets), answers, docs_["shard"][0].as_py() if docs_.num_rows else 0)
 
     @C.tidy
     def finish(docs_: pa.Table, answers: pa.Table) -> pa.Table:
@@ -476,13 +554,25 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         kinds = np.array(answers["kind"].to_pylist(), np.int32)
         bits, found = answers.filter(pa.array(kinds == 0)), answers.filter(pa.array(kinds == 1))
         shard = _Shard(docs_, length, buckets)
-        _, ids, order, slots, mine = shard.pieces(bits)
-        where = {bucket: a for bucket, a, _ in _by_bucket(slots)}
-        low: dict[int, list[tuple[int, int, int]]] = {}
-        for bucket, body in zip(found["bucket"].to_pylist(), found["body"].to_pylist()):
-            rows = C.unpack(body, np.int64).reshape(-1, 4)
-            for k, a, b, v in zip(order[where[bucket] + rows[:, 0]].tolist(), *rows[:, 1:].T.tolist()):
-                low.setdefault(k, []).append((a, b, v))
+        told = {bucket: k for k, bucket in enumerate(found["bucket"].to_pylist())}
+        gone = [np.zeros((3, 0), np.int32)]  # document, first byte, end
+        for bucket, _, least, _, runs, which in shard.pieces(bits):
+            doc = shard.text[runs]
+            own, first = shard.ids[doc], shard.first[runs]
+            whole = least[which] < own  # an equal piece stands in this shard under a smaller id
+            gone.append(np.stack([doc, first, shard.end[runs] + (length - 1)])[:, whole].astype(np.int32))
+            if bucket in told:
+                place, a, b, v = C.unpack(found["body"][told[bucket]].as_py(), np.int64).reshape(-1, 4).T
+                o, rest = np.argsort(place, kind="stable"), np.flatnonzero(~whole)
+                lo, hi = (np.searchsorted(place[o], which[rest], side=x) for x in ("left", "right"))
+                r = np.repeat(rest, hi - lo)
+                j = o[np.arange(len(r)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
+                less = v[j] < own[r]
+                r, j = r[less], j[less]
+                gone.append(np.stack([doc[r], first[r] + a[j], first[r] + b[j] + (length - 1)]).astype(np.int32))
+        gone = np.concatenate(gone, axis=1)
+        gone = gone[:, np.lexsort((gone[1], gone[0]))]
+        ends = np.searchsorted(gone[0], np.arange(len(shard.docs) + 1))
         n = docs_.num_rows
         cols: dict[str, list] = {"id": docs_["id"].to_pylist(), "n_bytes": [0] * n, "n_removed": [0] * n, "n_spans": [0] * n, "kept_sha256": [""] * n, "kept_text": [""] * n}
 
@@ -498,14 +588,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             if with_text:
                 cols["kept_text"][k] = left.decode("utf-8", "ignore")
 
-        for (k, i, b), own in zip(shard.docs, mine):
-            spans = []
-            for x, y, k_ in own:
-                if ids[k_] < i:
-                    spans.append((x, y))
-                elif k_ in low:
-                    spans.extend((x + a, x + e + length - 1) for a, e, v in low[k_] if v < i)
-            put(k, b, _merge(spans))
+        for (k, _, b), x, y in zip(shard.docs, ends[:-1].tolist(), ends[1:].tolist()):
+            put(k, b, _merge(list(zip(*gone[1:, x:y].tolist()))))
         for k, i in enumerate(cols["id"]):
             if i is None:
                 put(k, (docs_["text"][k].as_py() or "").encode("utf-8", "surrogatepass"), [])

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -88,6 +89,90 @@ def brute_repeats(rows, length):
     return out
 
 
+def sent_pieces(length, shards=3, count=60):
+    """What shards send to a bucket: pieces about two minimizers, and one piece about a third."""
+    rng, out = random.Random(9), []
+    seeds = [bytes(rng.randrange(97, 123) for _ in range(24)) for _ in range(3)]
+    line = seeds[0] + bytes(rng.choice(b"ab") for _ in range(length))
+    for s in range(shards):
+        rows = {}
+        for k in range(count):
+            p = bytes(rng.choice(b"ab") for _ in range(length - 20)) + (line if k % 3 else seeds[0]) + bytes(rng.choice(b"cd") for _ in range(3))
+            rows.setdefault((7, p), rng.randrange(40))
+            rows.setdefault((9, seeds[1] + line[: length - rng.randrange(6)]), rng.randrange(40))
+        rows |= {(8, seeds[2] * 3): 1} if not s else {}
+        out.append(sorted((g, p, i) for (g, p), i in rows.items()))
+    return out
+
+
+def bucket_table(sent):
+    rows = {k: [] for k in ("bucket", "shard", "tags", "lens", "ids", "body")}
+    for s, own in enumerate(sent):
+        rows["bucket"].append(5), rows["shard"].append(s)
+        rows["tags"].append(SD.C.pack(np.array([g for g, _, _ in own], np.uint32)))
+        rows["lens"].append(SD.C.pack(np.array([len(p) for _, p, _ in own], np.uint32)))
+        rows["ids"].append(SD.C.pack(np.array([i for _, _, i in own], np.int64)))
+        rows["body"].append(SD.zstandard.ZstdCompressor().compress(b"".join(p for _, p, _ in own)))
+    return SD.pa.table(rows)
+
+
+def settled_windows(sent, length, **bounds):
+    got = SD._settle(length, **bounds)(bucket_table(sent)).to_pylist()
+    out = {}
+    for r in got:
+        for k, a, b, v in SD.C.unpack(r["body"], np.int64).reshape(-1, 4).tolist():
+            for w in range(a, b):
+                at = r["shard"], k, w
+                out[at] = min(v, out.get(at, v))
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"part": 2000}, {"part": 500, "windows": 300, "symbols": 2000}])
+def test_settling_a_bucket_by_parts(bounds):
+    """A bucket whose pieces outgrow one part, by groups of minimizers and by passes over one: as in brute force."""
+    length, least, want = 30, {}, {}
+    sent = sent_pieces(length)
+    places = [(s, k, w, (g, p[w : w + length]), i) for s, own in enumerate(sent) for k, (g, p, i) in enumerate(own) for w in range(len(p) - length + 1)]
+    for *_, x, i in places:
+        least[x] = min(i, least.get(x, i))
+    want = {(s, k, w): least[x] for s, k, w, x, i in places if least[x] < i}
+    assert settled_windows(sent, length, **bounds) == want and want
+
+
+def test_a_shard_holds_the_pieces_of_one_bucket():
+    """The memory that pieces take does not grow with the share of keys that other shards hold."""
+    rng = random.Random(5)
+    rows = ["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(250)]
+    t = SD.pa.table({"shard": SD.pa.array([0] * len(rows), SD.pa.int32()), "id": list(range(len(rows))), "text": rows})
+    shard = SD._Shard(t, 50, 50)
+    bodies = {b: int(n) for b, n in zip(*np.unique(shard.sent >> np.uint64(32), return_counts=True))}
+    bits = SD.pa.table({"bucket": SD.pa.array([int(b) for b in bodies], SD.pa.int32()), "body": [SD.C.pack(np.packbits(np.ones(n, bool))) for n in bodies.values()]})
+    none = SD.pa.table({"bucket": SD.pa.array([], SD.pa.int32()), "body": SD.pa.array([], SD.pa.binary())})
+    peaks = []
+    for answers in (none, bits):
+        tracemalloc.start()
+        for _ in shard.pieces(answers):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 3_000_000
+
+
+def test_a_bucket_is_settled_in_bounded_memory(monkeypatch):
+    """Pieces about many minimizers are settled a few at a time."""
+    monkeypatch.setattr(SD, "PART_BYTES", 1 << 17, raising=False)
+    rng, own = random.Random(6), []
+    for g in range(4000):
+        seed = bytes(rng.randrange(97, 123) for _ in range(60))
+        own += [(g, seed + bytes(rng.randrange(97, 123) for _ in range(8)), k) for k in range(6)]
+    t = bucket_table([own])
+    tracemalloc.start()
+    SD._settle(50)(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000
+
+
 @pytest.mark.parametrize("length", [50, 30, 5])
 def test_suffix_dedup(spark, length):
     got = {r.id: tuple(r)[1:5] for r in SD.remove_repeats(frame(spark), length, with_text=True, keep_row=True).collect()}
