@@ -118,7 +118,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bradley-Terry scores of all documents, learned where crc32(doc_id as text) mod 5 is not 0."""
-    out, _ = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn="crc32(cast(id as string)) % 5 != 0")
+    out, _ = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=None, learn="crc32(cast(id as string)) % 5 != 0")
     return out.selectExpr("id doc_id", "crc32(cast(id as string)) % 5 = 0 held_out", "score", "predicted")
 
 

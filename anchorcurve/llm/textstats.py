@@ -155,6 +155,20 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     return rows, common
 
 
+def learning_table(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, learn: str | None) -> tuple[DataFrame, np.ndarray]:
+    """(y and SHAPE of every labelled document, as a table in the shared folder, common words of all documents that may be
+    learned from).  One row for each id, of repeated rows the least; an id with several labels has the greatest.  Texts
+    stay where they lie: statistics and labels meet by id."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
+    if learn:
+        own, ids = own.where(learn), ids.where(learn)
+    common = common_words(own, "text")
+    rows = with_statistics(own, "id", "text", common).groupBy("id").agg(F.min(F.struct(*SHAPE)).alias("x"))
+    ids = ids.groupBy("id").agg(F.max("y").alias("y")).where("y in (0, 1)")
+    return C.cut(rows.join(ids, "id").select("y", "x.*"), "learning"), common
+
+
 def common_words(docs: DataFrame, text_col: str, most: int = 64) -> np.ndarray:
     """Sorted hashes of the words that most documents of a bounded sample hold.
 

@@ -287,6 +287,29 @@ def test_quality_bounds_are_parameters(spark, monkeypatch):
     assert seen[:3] == [40, 30, (100, 500)] and seen[3] > 40 and seen[4] == (240, 20_000)
 
 
+def test_quality_is_learned_from_all_labels(spark, monkeypatch):
+    """Every labelled document that learn admits counts, in the registered query too; order statistics as by sorting."""
+    docs, labels = labelled(spark)
+    seen, learn = [], QR.fit_all
+    monkeypatch.setattr(QR, "fit_all", lambda names, rows, **k: seen.append(rows.count()) or learn(names, rows, **k))
+    many = labels.unionByName(spark.range(900, 915).selectExpr("id doc_id", "1 quality"))
+    out, model = QR.score_quality(docs, many, sample=None, learn="id % 5 != 0", common_sample=1)
+    assert seen == [sum(i % 5 != 0 for i in [*range(240), *range(900, 915)])]
+    got = {r.id: r for r in out.collect()}
+    assert sum(got[i].predicted == (i % 4 != 0) for i in range(0, 240, 5)) >= 0.95 * 48
+    assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == 240 + len(texts())
+    alone, _ = QR.score_quality(docs, labels.where("quality = 1"), sample=None)
+    assert {round(r.score, 6) for r in alone.limit(5).collect()} == {0.3}
+    assert QR.score_quality(docs.limit(0), labels, sample=None)[0].count() == 0
+    rng = np.random.default_rng(3)
+    s, y = np.r_[rng.normal(size=900), np.ones(100)], rng.integers(0, 2, 1000)
+    ranks = QR._ranks(spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double"), {"a": ("all", 690, 950), "b": ("bad", 3, 4), "c": ("good", 0, 0)}, 64)
+    assert np.array_equal(ranks["a"], np.sort(s)[690:951]) and np.array_equal(ranks["b"], np.sort(s[y == 0])[3:5]) and ranks["c"][0] == s[y == 1].min()
+    monkeypatch.setattr(Q, "score_quality", lambda docs, labels, **k: seen.append(k["sample"]) or (out, model))
+    Q.op4_quality_ranking(spark, "/root/testdata/sf0.001")
+    assert seen[-1] is None
+
+
 def test_sampled_ids(spark):
     """Thinned by hash before the sort, with the same result; of several labels the greatest."""
     rows = spark.range(30_000).selectExpr("id doc_id", "cast(id % 2 as int) quality").unionByName(spark.createDataFrame([(4, 1), (None, 1), (6, None)], "doc_id long, quality int"))
