@@ -330,7 +330,25 @@ def settled(pieces: list[bytes], ids: list[int], length: int, most: int = 1 << 2
     o = np.argsort(own, kind="stable")
     ends = np.searchsorted(own[o], np.arange(parts + 1).astype(U64))
     out = [[i] * max(0, len(p) - length + 1) for p, i in zip(pieces, ids)]
-    for a, b in zip(ends[:-1], ends[1:]):
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if a == b:  # few different windows leave parts empty
+            continue
+        if (b - a) * (length + 1) > 2 * most:
+            # They also overfill others: there each different window is taken once.
+            known: dict[bytes, int] = {}
+            low: list[int] = []
+            which = []
+            for w, x in zip(who[o[a:b]].tolist(), place[o[a:b]].tolist()):
+                k = known.setdefault(pieces[w][x : x + length], len(low))
+                if k == len(low):
+                    low.append(ids[w])
+                elif ids[w] < low[k]:
+                    low[k] = ids[w]
+                which.append((w, x, k))
+            found = least_ids(list(known), low, length)
+            for w, x, k in which:
+                out[w][x] = found[k][0]
+            continue
         runs = _window_runs(who, place, o[a:b])
         found = least_ids([pieces[w][x : y + length - 1] for w, x, y in runs], [ids[w] for w, _, _ in runs], length)
         for (w, x, y), least in zip(runs, found):

@@ -116,6 +116,14 @@ def bucket_table(sent):
     return SD.pa.table(rows)
 
 
+def test_few_different_windows_in_many_pieces():
+    """Pieces that differ in length alone: most parts get no window, one gets all of them."""
+    pieces = [b"a" * (60 + k) for k in range(80)] + [b"ab" * (30 + k) for k in range(80)]
+    ids = [(k * 37) % 160 for k in range(160)]
+    want = SD.least_ids(pieces, ids, 50)
+    assert SD.settled(pieces, ids, 50, 500) == SD.settled(pieces, ids, 50, 3000) == want
+
+
 def settled_windows(sent, length, **bounds):
     got = SD._settle(length, **bounds)(bucket_table(sent)).to_pylist()
     out = {}
