@@ -92,6 +92,9 @@ def rank_contexts(curves: DataFrame, counts: DataFrame, min_regions: int = 1, si
     variance, amplitude_spread the population deviation of log1p(amplitude).  Fewer than two subsets: null and 0.
     Ranks share ties; null ranks last; the score is the sum of both ranks.
     """
+    from ..sources.folders import cut
+
+    curves = cut(curves, "curves")  # they are read four times below
     missing = curves.select("subset_id").distinct().join(counts, "subset_id", "left_anti").limit(1).count()
     if missing:
         raise ValueError("a subset has no region count")

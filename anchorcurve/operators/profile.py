@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..model import MotifSet
 from .arrays import CELLS, Flat, cell_rows, scanned
 from .arrays import window_sums as sums
+from .held_pairs import held_pairs
 from .joins import points_in_intervals, range_join
 
 BASE_NAMES = ["A", "C", "G", "T"]
@@ -68,8 +69,9 @@ def fan_out_by_pattern(contributions: DataFrame, memberships: DataFrame) -> Data
 
 
 def subset_profile(found: DataFrame, memberships: DataFrame, w: int, query=None, motif: str = "motif_idx", by_pattern: bool = False, bin_size: int = 1000) -> DataFrame:
-    c = region_contributions(found, memberships, w, query, motif, bin_size)
-    return (fan_out_by_pattern if by_pattern else fan_out)(c, memberships)
+    """What fan_out gives of region_contributions, without the pairs of each region: see held_pairs.  by_pattern and
+    bin_size steered joins of hits with regions and change nothing now."""
+    return held_pairs(found, memberships, w, query, motif)
 
 
 def dense_profile_sql(scores: DataFrame, anchor_rows: DataFrame, w: int, per_interval: bool = False) -> DataFrame:

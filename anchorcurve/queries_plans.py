@@ -159,10 +159,10 @@ def dense_cache_replay(spark, sf_dir):
 
 @query(_SUBSET)
 def sparse_cache_replay(spark, sf_dir):
-    """Sparse contributions written once, then replayed through membership patterns."""
+    """Sparse contributions written once, as hits by place and regions, then replayed for memberships."""
     c, m = R.ContributionCache(new_path(spark, "sparse")), segment_memberships(spark, sf_dir)
-    c.build(P.region_contributions(event_hits(spark, sf_dir), m, 120, bin_size=1800), {"half_window": 120})
-    return c.replay(m, {"half_window": 120}, by_pattern=True)
+    c.build_sparse(event_hits(spark, sf_dir), m, 120, {"half_window": 120})
+    return c.replay(m, {"half_window": 120})
 
 
 @query(f'WITH {_IV_SCORES} SELECT interval_id, CAST(strand AS INT) AS strand, CAST(motif_idx AS INT) AS motif_idx, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, CAST(sum(score * (p + 1)) AS BIGINT) AS moment FROM sc GROUP BY ALL')

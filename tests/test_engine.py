@@ -73,6 +73,29 @@ def test_subsets_count_duplicates_and_paths_agree(spark):
         P.fan_out(P.region_contributions(h.where("center_pos < 200"), m, 7), m, strict=True)
 
 
+def test_pairs_are_made_once_however_many_regions_hold_them(spark):
+    """Regions of all widths, beyond tiles too; what a region holds is never a row of its own."""
+    rng = np.random.default_rng(8)
+    places = np.r_[rng.integers(-50, 400, 150), 32768 + rng.integers(-60, 60, 60), 65536 + rng.integers(-9, 9, 8)]
+    flat = [(int(p), str(rng.integers(0, 3)), int(rng.integers(-2, 9))) for p in places]
+    h = spark.createDataFrame([("c", p, m, s) for p, m, s in flat], "chrom string, center_pos long, motif_idx string, score long")
+    wide = [("all", "c", -100, 70000)] * 2 + [("tile", "c", 32760, 32780), ("none", "c", 500, 900), ("none", "d", 0, 90)]
+    rows = wide + [(f"s{k % 3}", "c", int(a), int(a + rng.integers(1, 60))) for k, a in enumerate(rng.integers(-60, 400, 90))]
+    m = spark.createDataFrame(rows, "subset_id string, chrom string, start long, end long")
+    for w, query in ((12, None), (5, "1"), (0, None)):
+        want: dict = {}
+        for s, c, a, b in rows:
+            own = [x for x in flat if c == "c" and a <= x[0] < b]
+            for p, i, _ in own:
+                for q, j, v in own:
+                    if abs(q - p) <= w and query in (None, i):
+                        want[s, i, j, q - p] = want.get((s, i, j, q - p), 0) + v
+        got = P.subset_profile(h, m, w, query)
+        assert {(r.subset_id, r.anchor_motif, r.motif_idx, r.rel): r.value for r in got.collect()} == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan  # regions are not joined with hits
+
+
 def motif(text, threshold, rows=1):
     k = np.zeros((rows, len(text), 4), np.float32)
     for j, b in enumerate(text):
