@@ -89,25 +89,74 @@ def scan_codes(codes: np.ndarray, kernels: np.ndarray) -> np.ndarray:
 def scanned(seq: pa.Array, kernels: np.ndarray, cells: int = CELLS) -> Iterator[Flat]:
     """The rows of a column, some at a time: as many as hold ``cells`` scores together, one at least."""
     offsets, data = string_bytes(seq)
-    codes, m, n = CODE[data], kernels.shape[1], len(offsets) - 1
-    i, most = 0, max(1, cells // max(1, len(kernels)))
+    codes = CODE[data]
+    for i, j in _portions(offsets, cells // max(1, len(kernels))):
+        yield _flat(i, offsets[i : j + 1] - offsets[i], codes[offsets[i] : offsets[j]], kernels)
+
+
+def _portions(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of rows with ``most`` symbols together, one row at least."""
+    i, n, most = 0, len(offsets) - 1, max(1, most)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        o = offsets[i : j + 1] - offsets[i]
-        own = codes[offsets[i] : offsets[j]]
-        counts = np.maximum(np.diff(o) - m + 1, 0)
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        row = np.repeat(np.arange(j - i), counts)
-        p = np.arange(int(starts[-1])) - np.repeat(starts[:-1], counts)
-        scores = scan_codes(own, kernels)[:, o[row] + p] if len(p) else np.zeros((len(kernels), 0), np.float32)
-        yield Flat(i, o, own, starts, scores, row, p)
+        yield i, j
         i = j
 
 
-def window_sums(values: np.ndarray, at: np.ndarray, group: np.ndarray, groups: int, w: int) -> np.ndarray:
+def _flat(first: int, o: np.ndarray, own: np.ndarray, kernels: np.ndarray) -> Flat:
+    counts = np.maximum(np.diff(o) - kernels.shape[1] + 1, 0)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    row = np.repeat(np.arange(len(counts)), counts)
+    p = np.arange(int(starts[-1])) - np.repeat(starts[:-1], counts)
+    scores = scan_codes(own, kernels)[:, o[row] + p] if len(p) else np.zeros((len(kernels), 0), np.float32)
+    return Flat(first, o, own, starts, scores, row, p)
+
+
+def reversed_codes(o: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The codes of each row's reverse complement, in its place."""
+    at = np.repeat(o[:-1] + o[1:] - 1, np.diff(o)) - np.arange(len(codes))
+    return np.array([3, 2, 1, 0, 4], np.uint8)[codes[at]]
+
+
+def scanned_both(seq: pa.Array, kernels: np.ndarray, both: bool, cells: int = CELLS) -> Iterator[tuple[Flat, ...]]:
+    """As scanned, of each row's strands: the same rows once forward and, with ``both``, once reversed."""
+    offsets, data = string_bytes(seq)
+    codes = CODE[data]
+    for i, j in _portions(offsets, cells // max(1, 2 * len(kernels))):
+        o, own = offsets[i : j + 1] - offsets[i], codes[offsets[i] : offsets[j]]
+        yield (_flat(i, o, own, kernels), *([_flat(i, o, reversed_codes(o, own), kernels)] if both else []))
+
+
+def packed(f: Flat) -> pa.Array:
+    """The scores of each row: an array for each motif."""
+    motifs, n = len(f.scores), len(f.counts)
+    out, base, wide = np.empty(f.scores.size, np.float32), f.starts[:-1][f.row] * motifs + f.p, f.counts[f.row]
+    for k in range(motifs):
+        out[base + k * wide] = f.scores[k]
+    inner = np.append(0, np.cumsum(np.repeat(f.counts, motifs)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * motifs), pa.ListArray.from_arrays(pa.array(inner.astype(np.int32)), pa.array(out)))
+
+
+def unpacked(col: pa.Array, motifs: int, cells: int = CELLS) -> Iterator[Flat]:
+    """What packed was made of, without the sequences; some rows at a time."""
+    inner = col.flatten()
+    sizes = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = inner.flatten().to_numpy(zero_copy_only=False)
+    counts = sizes[::motifs]
+    offsets = np.append(0, np.cumsum(counts))
+    for i, j in _portions(offsets, cells // max(1, motifs)):
+        own, starts = counts[i:j], offsets[i : j + 1] - offsets[i]
+        row = np.repeat(np.arange(j - i), own)
+        p = np.arange(int(starts[-1])) - np.repeat(starts[:-1], own)
+        base, part = starts[:-1][row] * motifs + p, values[offsets[i] * motifs : offsets[j] * motifs]
+        scores = np.stack([part[base + k * own[row]] for k in range(motifs)]) if len(p) else np.zeros((motifs, 0), np.float32)
+        yield Flat(i, starts, np.zeros(0, np.uint8), starts, scores, row, p)
+
+
+def window_sums(values: np.ndarray, at: np.ndarray, group: np.ndarray, groups: int, w: int, weight: np.ndarray | None = None) -> np.ndarray:
     """(group, channel, 2 w + 1): sums of values[channel, at - w .. at + w] over the anchors of each group.
 
-    group ascends.  One gather and one sum for each offset, for all groups at once.
+    group ascends.  One gather and one sum for each offset, for all groups at once.  weight: how often an anchor counts.
     """
     out = np.zeros((groups, len(values), 2 * w + 1))
     if not len(at):
@@ -115,7 +164,8 @@ def window_sums(values: np.ndarray, at: np.ndarray, group: np.ndarray, groups: i
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     own = group[cut]
     for r in range(-w, w + 1):
-        out[own, :, r + w] = np.add.reduceat(values[:, at + r], cut, axis=1, dtype=np.float64).T
+        x = values[:, at + r]
+        out[own, :, r + w] = np.add.reduceat(x if weight is None else x * weight, cut, axis=1, dtype=np.float64).T
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import MotifSet
-from .arrays import CELLS, Flat, cell_rows, scanned
+from .arrays import CELLS, Flat, cell_rows, scanned, scanned_both, unpacked
 from .arrays import window_sums as sums
 from .held_pairs import held_pairs
 from .joins import points_in_intervals, range_join
@@ -90,9 +90,11 @@ def dense_profile(strands: DataFrame, motifs: MotifSet, w: int, query: int | Non
     base, value: composition around hits.  kind ``signal``: strand, motif_idx, rel, celltype, value, from a column
     ``signal`` of arrays (one for each cell type, as long as the sequence; not reversed for strand 1).
     per_interval adds interval_id, and each interval its own rows, which leave before the next ones are made.
+    For kind ``score`` strands may be scan_packed's rows, whose scores are taken as they are.
     """
+    held = "scores" in strands.columns
     kernels, limits, m = motifs.kernels, np.asarray(motifs.thresholds, np.float64)[:, None], motifs.length
-    needs = [F.col("interval_id").cast("long").alias("interval_id"), F.col("strand").cast("int").alias("strand"), "seq"] + (["signal"] if kind == "signal" else [])
+    needs = [F.col("interval_id").cast("long").alias("interval_id"), F.col("strand").cast("int").alias("strand"), "scores" if held else "seq"] + (["signal"] if kind == "signal" else [])
     # The window is centred on the kernel's middle: m // 2, or (m - 1) // 2 where the kernel is longer than the window.
     mid = 0 if kind == "score" else m // 2 if 2 * w - m + 1 > 0 else (m - 1) // 2
     names = {"score": ["anchor_motif", "motif_idx"], "base": ["strand", "motif_idx", "channel"], "signal": ["strand", "motif_idx", "channel"]}[kind]
@@ -133,7 +135,7 @@ def dense_profile(strands: DataFrame, motifs: MotifSet, w: int, query: int | Non
             total: dict[int, np.ndarray] = {}
             # Cells of one interval's profile bound how many intervals are taken at a time.
             cells = CELLS if not per_interval else max(1, CELLS // (2 * w + 1))
-            for f in scanned(b.column("seq"), kernels, cells):
+            for f in unpacked(b.column("scores"), len(kernels), cells) if held else scanned(b.column("seq"), kernels, cells):
                 a, at = anchors_of(f)
                 if not len(a):
                     continue
@@ -172,6 +174,90 @@ def dense_profile(strands: DataFrame, motifs: MotifSet, w: int, query: int | Non
     return out.withColumnRenamed("channel", "celltype") if kind == "signal" else out
 
 
+def interval_profiles(intervals: DataFrame, motifs: MotifSet, w: int, query: int | None = None, both: bool = True, keys: tuple[str, ...] = ("interval_id",)) -> DataFrame:
+    """keys, (anchor_motif,) motif_idx, rel, value of dense_profile, per interval: both strands of an interval (keys, seq;
+    one row each) are scanned in its row, so nothing is shuffled, and its rows leave one after another.
+
+    With a query, only intervals with anchors of it are scanned with all motifs.
+    """
+    kernels, dims = motifs.kernels, ["motif_idx", "rel"] if query is not None else ["anchor_motif", "motif_idx", "rel"]
+
+    def fn(batches):
+        for b in batches:
+            for rows, a, at, row, scores in _anchored(b, motifs, w, query, both):
+                known, group = np.unique(row * len(kernels) + a, return_inverse=True)
+                most = max(1, CELLS // (len(kernels) * (2 * w + 1)))
+                for g in range(0, len(known), most):
+                    lo, hi = np.searchsorted(group, [g, min(g + most, len(known))])
+                    v = sums(scores, at[lo:hi], group[lo:hi] - g, min(most, len(known) - g), w)
+                    own, *cols = cell_rows(v, [np.arange(g, g + len(v)), *([] if query is not None else [known[g : g + most] % len(kernels)])], w)
+                    take = pa.array(rows[known[own] // len(kernels)])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in keys), *map(pa.array, cols)], [*keys, *dims, "value"])
+
+    kinds = dict(intervals.dtypes)
+    return intervals.select(*keys, "seq").mapInArrow(fn, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{d} long" for d in dims), "value double"]))
+
+
+def _anchored(b: pa.RecordBatch, motifs: MotifSet, w: int, query: int | None, both: bool):
+    """(rows in b, then of each anchor its motif, place, row among these, in the order of rows and motifs, and the scores)."""
+    seq, limits = b.column("seq"), np.asarray(motifs.thresholds, np.float64)[:, None]
+    rows = np.arange(len(seq))
+    if query is not None:  # a scan of the query alone finds the rows that matter
+        one, has = motifs.take([query]), np.zeros(len(seq), bool)
+        for strands in scanned_both(seq, one.kernels, both):
+            for f in strands:
+                has[f.first + f.row[(f.scores[0] > limits[query, 0]) & (f.p >= w) & (f.p < f.groups(f.counts) - w)]] = True
+        rows = np.flatnonzero(has)
+        seq = seq.take(pa.array(rows))
+    for strands in scanned_both(seq, motifs.kernels, both, max(1, CELLS // (2 * w + 1))):
+        found, past = [], 0
+        for f in strands:
+            x = (f.scores > limits) & (f.p >= w) & (f.p < f.groups(f.counts) - w)
+            if query is not None:
+                x[np.arange(len(x)) != query] = False
+            a, at = np.nonzero(x)
+            found.append((a, at + past, f.row[at]))
+            past += f.scores.shape[1]
+        a, at, row = (np.concatenate(x) for x in zip(*found))
+        o = np.argsort(row * len(limits) + a, kind="stable")
+        if len(o):
+            yield rows[strands[0].first :], a[o], at[o], row[o], np.concatenate([f.scores for f in strands], axis=1)
+
+
+def subset_curves(intervals: DataFrame, motifs: MotifSet, w: int, query: int | None = None, both: bool = True) -> DataFrame:
+    """subset_id, (anchor_motif,) motif_idx, rel, value of intervals (seq, subsets: an array of subset_id and count).
+
+    What interval_profiles and fan_out give, but an interval's profile is added to its subsets where it is made: one
+    partial profile for each batch and subset is shuffled.
+    """
+    kernels, dims = motifs.kernels, ["motif_idx", "rel"] if query is not None else ["anchor_motif", "motif_idx", "rel"]
+    kind = intervals.schema["subsets"].dataType.elementType["subset_id"].dataType.simpleString()
+
+    def fn(batches):
+        for b in batches:
+            held = b.column("subsets")
+            size = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, begin = held.flatten(), np.append(0, np.cumsum(size))
+            name = flat.field("subset_id").dictionary_encode(null_encoding="encode")
+            which, times = name.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.field("count").to_numpy(zero_copy_only=False)
+            for rows, a, at, row, scores in _anchored(b, motifs, w, query, both):
+                own = rows[row]
+                x = np.repeat(np.arange(len(a)), size[own])  # an anchor for each of its interval's subsets
+                m = np.arange(len(x)) - np.repeat(np.cumsum(size[own]) - size[own], size[own]) + begin[own][x]
+                key = which[m] * len(kernels) + a[x]
+                o = np.argsort(key, kind="stable")
+                known, group = np.unique(key[o], return_inverse=True)
+                most = max(1, CELLS // (len(kernels) * (2 * w + 1)))
+                for g in range(0, len(known), most):
+                    lo, hi = np.searchsorted(group, [g, min(g + most, len(known))])
+                    v = sums(scores, at[x[o[lo:hi]]], group[lo:hi] - g, min(most, len(known) - g), w, times[m[o[lo:hi]]])
+                    got, *cols = cell_rows(v, [np.arange(g, g + len(v)), *([] if query is not None else [known[g : g + most] % len(kernels)])], w)
+                    yield pa.RecordBatch.from_arrays([name.dictionary.take(pa.array(known[got] // len(kernels))), *map(pa.array, cols)], ["subset_id", *dims, "value"])
+
+    rows = intervals.select("seq", "subsets").mapInArrow(fn, f"subset_id {kind}, " + ", ".join(f"{d} long" for d in dims) + ", value double")
+    return rows.groupBy("subset_id", *dims).agg(F.sum("value").alias("value"))
+
+
 def anchored_profile(strands: DataFrame, motifs: MotifSet, w: int, per_interval: bool = True) -> DataFrame:
     """(interval_id,) motif_idx, rel, value around given anchors: strands with a column anchors, arrays of score places.
 
@@ -225,19 +311,21 @@ def window_sums(scores: DataFrame, anchor_rows: DataFrame, w: int) -> DataFrame:
 
 
 def window_totals(strands: DataFrame, motifs: MotifSet, query: int, w: int) -> DataFrame:
-    """motif_idx, value: what window_sums gives around the query motif's anchors, from running sums inside the scan."""
+    """motif_idx, value: what window_sums gives around the query motif's anchors, from running sums inside the scan, or
+    over scan_packed's rows."""
+    held = "scores" in strands.columns
     kernels, limit = motifs.kernels, float(motifs.thresholds[query])
 
     def fn(batches):
         for b in batches:
             total = np.zeros(len(kernels))
-            for f in scanned(b.column("seq"), kernels):
+            for f in unpacked(b.column("scores"), len(kernels)) if held else scanned(b.column("seq"), kernels):
                 at = np.flatnonzero((f.scores[query] > limit) & (f.p >= w) & (f.p < f.groups(f.counts) - w))
                 run = np.concatenate([np.zeros((len(kernels), 1)), np.cumsum(f.scores, axis=1, dtype=np.float64)], 1)
                 total += (run[:, at + w + 1] - run[:, at - w]).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(kernels), dtype=np.int32)), pa.array(total)], ["motif_idx", "value"])
 
-    return strands.select("seq").mapInArrow(fn, "motif_idx int, value double").groupBy("motif_idx").agg(F.sum("value").alias("value")).where("value != 0")
+    return strands.select("scores" if held else "seq").mapInArrow(fn, "motif_idx int, value double").groupBy("motif_idx").agg(F.sum("value").alias("value")).where("value != 0")
 
 
 def to_curves(profile: DataFrame, w: int, dims: list[str], value: str = "value") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BASES, MotifSet
-from .arrays import CODE, scan_codes, scanned
+from .arrays import CODE, packed, scan_codes, scanned
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -78,6 +78,21 @@ def scan_arrow(strands: DataFrame, motifs: MotifSet, above: float | None = None)
     return _scanned(strands).mapInArrow(fn, "interval_id long, strand int, motif_idx int, p int, score double")
 
 
+def scan_packed(strands: DataFrame, motifs: MotifSet) -> DataFrame:
+    """interval_id, strand, scores: SCORE rows as one row for each sequence, an array for each motif, so that what needs
+    the scores of one sequence finds them in its row and nothing is shuffled."""
+    kernels = motifs.kernels
+
+    def fn(batches):
+        for b in batches:
+            ids, strand = b.column("interval_id"), b.column("strand")
+            for f in scanned(b.column("seq"), kernels):
+                n = len(f.counts)
+                yield pa.RecordBatch.from_arrays([ids.slice(f.first, n), strand.slice(f.first, n), packed(f)], ["interval_id", "strand", "scores"])
+
+    return _scanned(strands).mapInArrow(fn, "interval_id long, strand int, scores array<array<float>>")
+
+
 def _scanned(strands: DataFrame) -> DataFrame:
     return strands.select(F.col("interval_id").cast("long").alias("interval_id"), F.col("strand").cast("int").alias("strand"), "seq")
 

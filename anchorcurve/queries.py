@@ -306,13 +306,9 @@ def dense_one_to_all(spark, sf_dir):
 
 @query(_dense("AND a.motif_idx = 0", 20, "CAST(b.motif_idx AS BIGINT) AS motif_idx"))
 def dense_one_to_all_sql(spark, sf_dir):
-    """The same as anchors joined with scores by range."""
-    m = motifs()
-    st = strands(spark, sf_dir)
-    scores = S.scan_arrow(st, m, 0.0)
-    n = st.where("strand = 0").select("interval_id", (F.length("seq") - 2).alias("n"))
-    out = P.dense_profile_sql(scores, S.anchors(scores, n, 0, THRESHOLDS[0], 20), 20)
-    return _whole(out, "motif_idx", "rel", "value")
+    """The same in two steps: scores as rows, one a sequence, then the anchors of each row with its scores."""
+    packed = S.scan_packed(strands(spark, sf_dir), motifs())
+    return _whole(P.dense_profile(packed, motifs(), 20, 0).drop("anchor_motif"), "value")
 
 
 @query(_dense("", 15, "CAST(a.motif_idx AS BIGINT) AS anchor_motif, CAST(b.motif_idx AS BIGINT) AS motif_idx"))
@@ -357,11 +353,8 @@ def window_sum_prefix(spark, sf_dir):
 
 @query(O["window_sum_prefix"])
 def window_sum_joined(spark, sf_dir):
-    """The same from score rows: running sums by a window, joined with the anchors' ends."""
-    m, st = motifs(), strands(spark, sf_dir)
-    scores = S.scan_arrow(st, m)
-    n = st.where("strand = 0").select("interval_id", (F.length("seq") - 2).alias("n"))
-    return _whole(P.window_sums(scores, S.anchors(scores, n, 0, THRESHOLDS[0], 20), 20), "value")
+    """The same from score rows, one a sequence: running sums of each row, joined with the ends of its anchors' windows."""
+    return _whole(P.window_totals(S.scan_packed(strands(spark, sf_dir), motifs()), motifs(), 0, 20), "value")
 
 
 @query("SELECT source AS subset_id, lang AS chrom, count(*) AS n_regions, CAST(sum(n_chars) AS BIGINT) AS n_bp FROM documents GROUP BY ALL HAVING count(*) > 3")

@@ -96,6 +96,26 @@ def test_pairs_are_made_once_however_many_regions_hold_them(spark):
         assert "Join" not in plan  # regions are not joined with hits
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_packed_scores_stay_in_their_rows(spark):
+    """Window sums and profiles from score rows of whole sequences: as from a row for each place, but nothing is shuffled."""
+    rng = np.random.default_rng(4)
+    m = MotifSet(["a", "b"], rng.integers(-1, 3, (2, 3, 4)), [2.0, 3.0])
+    seqs = spark.createDataFrame([(i, "".join(rng.choice(list("ACGTN"), n))) for i, n in enumerate([0, 2, 3, 40, 90, 7])], "interval_id long, seq string")
+    st = S.with_strands(seqs)
+    packed, scores = S.scan_packed(st, m), S.scan_arrow(st, m)
+    n = seqs.select("interval_id", (F.length("seq") - 2).alias("n"))
+    ends = S.anchors(scores, n, 1, 3.0, 4)
+    got = P.window_totals(packed, m, 1, 4)
+    assert {(r.motif_idx, r.value) for r in got.collect()} == {(r.motif_idx, r.value) for r in P.window_sums(scores, ends, 4).collect()}
+    own = P.dense_profile(packed, m, 4, 1)
+    assert {(r.motif_idx, r.rel, r.value) for r in own.collect()} == {(r.motif_idx, r.rel, r.value) for r in P.dense_profile_sql(scores, ends, 4).collect()}
+    assert exchanges(got) == exchanges(own) == 1  # of partial sums
+
+
 def motif(text, threshold, rows=1):
     k = np.zeros((rows, len(text), 4), np.float32)
     for j, b in enumerate(text):
