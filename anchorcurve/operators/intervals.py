@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,19 +144,33 @@ def coalesce_blocks(df: DataFrame, gap: int, max_span: int | None = None, n_moti
     if max_span is None and max_bytes is None:
         return islands.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_intervals")).select("chrom", "start", "end", "n_intervals")
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for s, e in g.sort_values(["start", "end"])[["start", "end"]].itertuples(index=False):
-            if max_bytes is not None and cost(e - s) > max_bytes:
-                raise ValueError("one interval alone is beyond max_bytes")
-            span = max(out[-1][1], e) - out[-1][0] if out else 0
-            if out and s <= out[-1][1] + gap and (max_span is None or span <= max_span) and (max_bytes is None or cost(span) <= max_bytes):
-                out[-1][1] = max(out[-1][1], e)
-                out[-1][2] += 1
-            else:
-                out.append([s, e, 1])
-        r = pd.DataFrame(out, columns=["start", "end", "n_intervals"])
-        r.insert(0, "chrom", g["chrom"].iloc[0])
-        return r
-
-    return islands.groupBy("chrom", "island").applyInPandas(walk, "chrom string, start long, end long, n_intervals long")
+    def walk(batches):
+        # Islands come one after another, in order; the block that is open may go on in the next batch.
+        now: list | None = None
+        for b in batches:
+            out: list[list] = []
+            for chrom, island, s, e in zip(*(b.column(c).to_pylist() for c in ("chrom", "island", "start", "end"))):
+                if max_bytes is not None and cost(e - s) > max_bytes:
+                    raise ValueError("one interval alone is beyond max_bytes")
+                if now is not None and now[0] == chrom and now[1] == island:
+                    span = max(now[3], e) - now[2]
+                    if s <= now[3] + gap and (max_span is None or span <= max_span) and (max_bytes is None or cost(span) <= max_bytes):
+                        now[3] = max(now[3], e)
+                        now[4] += 1
+                        continue
+                if now is not None:
+                    out.append(now)
+                now = [chrom, island, s, e, 1]
+            yield _blocks(out)
+        if now is not None:
+            yield _blocks([now])
+
+    rows = islands.select(F.col("chrom").cast("string").alias("chrom"), F.col("island").cast("long").alias("island"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    rows = rows.repartition("chrom", "island").sortWithinPartitions("chrom", "island", "start", "end")
+    return rows.mapInArrow(walk, "chrom string, start long, end long, n_intervals long")
+
+
+def _blocks(rows: list[list]) -> pa.RecordBatch:
+    chrom, _, start, end, n = zip(*rows) if rows else [()] * 5
+    kinds = {"chrom": pa.string(), "start": pa.int64(), "end": pa.int64(), "n_intervals": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((chrom, start, end, n), kinds.values())], list(kinds))

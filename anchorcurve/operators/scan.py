@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BASES, MotifSet
-from .arrays import CODE, packed, scan_codes, scanned
+from .arrays import CODE, Flat, packed, scan_codes, scanned, scanned_both, unpacked
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -93,6 +93,48 @@ def scan_packed(strands: DataFrame, motifs: MotifSet) -> DataFrame:
     return _scanned(strands).mapInArrow(fn, "interval_id long, strand int, scores array<array<float>>")
 
 
+def scan_parts(blocks: DataFrame, motifs: MotifSet, both: bool = True) -> DataFrame:
+    """scan_packed's rows of parts (interval_id, a, z: places in seq) of sequences (seq, parts), each of which is scanned
+    once.  On the reverse strand a part is counted from the sequence's end."""
+    kernels, m = motifs.kernels, motifs.length
+
+    def fn(batches):
+        for b in batches:
+            held = b.column("parts")
+            size = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, begin = held.flatten(), np.append(0, np.cumsum(size))
+            ids, a, z = flat.field("interval_id"), *(flat.field(c).to_numpy(zero_copy_only=False) for c in "az")
+            for strands in scanned_both(b.column("seq"), kernels, both):
+                f = strands[0]
+                n = len(f.counts)
+                parts = np.arange(begin[f.first], begin[f.first + n])
+                row = np.repeat(np.arange(n), size[f.first : f.first + n])
+                counts = np.maximum(np.minimum(z[parts], f.lengths[row]) - a[parts] - m + 1, 0)
+                starts = np.append(0, np.cumsum(counts))
+                at = np.repeat(np.arange(len(parts)), counts)
+                p = np.arange(int(starts[-1])) - starts[:-1][at]
+                for strand, g in enumerate(strands):
+                    first = a[parts] if strand == 0 else f.lengths[row] - z[parts]
+                    own = Flat(0, starts, np.zeros(0, np.uint8), starts, g.scores[:, (g.starts[:-1][row] + first)[at] + p], at, p)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(parts)), pa.array(np.full(len(parts), strand, np.int32)), packed(own)], ["interval_id", "strand", "scores"])
+
+    return blocks.mapInArrow(fn, "interval_id long, strand int, scores array<array<float>>")
+
+
+def unpacked_scores(packed_rows: DataFrame, motifs: int) -> DataFrame:
+    """SCORE rows of scan_packed's rows."""
+
+    def fn(batches):
+        for b in batches:
+            ids, strand = b.column("interval_id"), b.column("strand")
+            for f in unpacked(b.column("scores"), motifs, 1 << 20):
+                row = pa.array(f.row + f.first)
+                for k in range(motifs):
+                    yield pa.RecordBatch.from_arrays([ids.take(row), strand.take(row), pa.array(np.full(len(f.row), k, np.int32)), pa.array(f.p.astype(np.int32)), pa.array(f.scores[k].astype(np.float64))], ["interval_id", "strand", "motif_idx", "p", "score"])
+
+    return packed_rows.mapInArrow(fn, "interval_id long, strand int, motif_idx int, p int, score double")
+
+
 def _scanned(strands: DataFrame) -> DataFrame:
     return strands.select(F.col("interval_id").cast("long").alias("interval_id"), F.col("strand").cast("int").alias("strand"), "seq")
 

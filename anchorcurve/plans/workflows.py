@@ -50,26 +50,26 @@ def prefiltered(strands: DataFrame, motifs: MotifSet, query: int, w: int) -> Dat
     return strands.join(anchored, "interval_id", "left_semi")
 
 
-def dense_contributions(intervals: DataFrame, motifs: MotifSet, w: int, query: int | None = None, both: bool = True, prefilter: bool = True) -> DataFrame:
+def dense_contributions(intervals: DataFrame, motifs: MotifSet, w: int, query: int | None = None, both: bool = True) -> DataFrame:
     """chrom, start, end, (anchor_motif,) motif_idx, rel, value of every distinct interval (interval_id, chrom, start, end,
-    seq): around the query motif's anchors, or of all pairs.  prefilter: intervals without anchors are scanned once only."""
-    strands = S.with_strands(intervals.select("interval_id", "seq"), both)
-    if query is not None and prefilter:
-        strands = prefiltered(strands, motifs, query, w)
-    dense = P.dense_profile(strands, motifs, w, query, per_interval=True)
-    dims = ["motif_idx", "rel"] if query is not None else ["anchor_motif", "motif_idx", "rel"]
-    return dense.join(intervals.select("interval_id", "chrom", "start", "end"), "interval_id").select("chrom", "start", "end", *dims, "value")
+    seq): around the query motif's anchors, or of all pairs.  An interval's rows are made where it lies."""
+    return P.interval_profiles(intervals, motifs, w, query, both, ("chrom", "start", "end"))
 
 
 def full_curves(intervals: DataFrame, memberships: DataFrame, motifs: MotifSet, query: int | None, w: int, both: bool = True, by_pattern: bool = False) -> DataFrame:
     """subset_id, (anchor_motif,) motif_idx, rel, value around the query motif's anchors, or of all pairs.
 
-    A scan of the query alone finds intervals with anchors; only these (a semi join) are scanned with all motifs, each
-    distinct interval once; memberships then fan the contributions out.
+    A scan of the query alone finds intervals with anchors; only these are scanned with all motifs, each distinct interval
+    once, and its profile is added to the subsets that hold it.  by_pattern: the same, as nothing is left to fan out.
     """
-    own = intervals.join(memberships.select("chrom", "start", "end").distinct(), ["chrom", "start", "end"], "left_semi")
-    c = dense_contributions(own.select("interval_id", "chrom", "start", "end", "seq"), motifs, w, query, both)
-    return (P.fan_out_by_pattern if by_pattern else P.fan_out)(c, memberships)
+    return P.subset_curves(with_subsets(intervals, memberships).select("seq", "subsets"), motifs, w, query, both)
+
+
+def with_subsets(intervals: DataFrame, memberships: DataFrame) -> DataFrame:
+    """The intervals that memberships name, with a column subsets: arrays of subset_id and count."""
+    keys = ["chrom", "start", "end"]
+    held = P.multiplicities(memberships).groupBy(*keys).agg(F.collect_list(F.struct("subset_id", "count")).alias("subsets"))
+    return intervals.join(held, keys)
 
 
 def block_scores(chunks: DataFrame, chunk: int, intervals: DataFrame, motifs: MotifSet, gap: int, max_span: int | None = None, both: bool = True) -> DataFrame:
@@ -78,17 +78,19 @@ def block_scores(chunks: DataFrame, chunk: int, intervals: DataFrame, motifs: Mo
     A block is fetched and scanned once; each interval takes its own slice, which on the reverse strand is counted from
     the block's end.  The same as scanning each interval by itself.
     """
-    m = motifs.length
-    blocks = I.numbered(I.coalesce_blocks(intervals, gap, max_span, len(motifs.names), m)).withColumnRenamed("interval_id", "block")
+    return S.unpacked_scores(block_arrays(chunks, chunk, intervals, motifs, gap, max_span, both), len(motifs.names))
+
+
+def block_arrays(chunks: DataFrame, chunk: int, intervals: DataFrame, motifs: MotifSet, gap: int, max_span: int | None = None, both: bool = True) -> DataFrame:
+    """The same as scan_packed's rows, one for each interval and strand: a block comes with its intervals, so what is
+    shuffled are sequences and intervals, not scores."""
+    blocks = I.numbered(I.coalesce_blocks(intervals, gap, max_span, len(motifs.names), motifs.length)).withColumnRenamed("interval_id", "block")
     fetched = readers.fetch_sequences(chunks, blocks.withColumnRenamed("block", "interval_id"), chunk)
-    scores = S.scan_arrow(S.with_strands(fetched.select("interval_id", "seq"), both), motifs).withColumnRenamed("interval_id", "block")
     # An interval lies in the block that covers it; blocks of one chromosome may overlap where a cap cut them.
-    b = blocks.select("block", "chrom", F.col("start").alias("_bs"), F.col("end").alias("_be"))
-    inside = J.points_in_intervals(intervals.select("interval_id", "chrom", F.col("start").alias("_s"), F.col("end").alias("_e")), b.withColumnsRenamed({"_bs": "start", "_be": "end"}), "_s", max(1, max_span or 100_000))
-    own = inside.where("_e <= end").groupBy("interval_id", "_s", "_e").agg(F.min(F.struct("block", "start", "end")).alias("b")).select("interval_id", "_s", "_e", "b.block", F.col("b.start").alias("_bs"), F.col("b.end").alias("_be"))
-    off = F.when(F.col("strand") == 0, F.col("_s") - F.col("_bs")).otherwise(F.col("_be") - F.col("_e"))
-    rows = scores.join(own, "block").withColumn("p", (F.col("p") - off).cast("int")).where((F.col("p") >= 0) & (F.col("p") <= F.col("_e") - F.col("_s") - m))
-    return rows.select("interval_id", "strand", "motif_idx", "p", "score")
+    inside = J.points_in_intervals(intervals.select("interval_id", "chrom", F.col("start").alias("_s"), F.col("end").alias("_e")), blocks.select("block", "chrom", "start", "end"), "_s", max(1, max_span or 100_000))
+    own = inside.where("_e <= end").groupBy("interval_id", "_s", "_e").agg(F.min(F.struct("block", "start", "end")).alias("b"))
+    parts = own.groupBy(F.col("b.block").alias("_b")).agg(F.collect_list(F.struct("interval_id", (F.col("_s") - F.col("b.start")).alias("a"), (F.col("_e") - F.col("b.start")).alias("z"))).alias("parts"))
+    return S.scan_parts(fetched.join(parts, F.col("interval_id") == F.col("_b")).select("seq", "parts"), motifs, both)
 
 
 def scores_profile(scores: DataFrame, lengths: DataFrame, motifs: MotifSet, query: int, w: int, per_interval: bool = False) -> DataFrame:

@@ -133,7 +133,7 @@ def anchor_replay(spark, sf_dir):
 
 @query(_TARGET)
 def full_curve_reuse(spark, sf_dir):
-    """Subset profiles around one motif: prefilter, each interval once, fan out by membership patterns."""
+    """Subset profiles around one motif: prefilter, each interval once, added to its subsets where it lies."""
     return _whole(W.full_curves(_fetched(spark, sf_dir), _members(spark, sf_dir), motifs(), 0, WIDE, by_pattern=True), "value")
 
 
@@ -175,12 +175,10 @@ def block_scores(spark, sf_dir):
 @query(f"WITH {_IV_SCORES} SELECT count(*) AS n_cells, CAST(0 AS BIGINT) AS n_apart FROM con WHERE anchor_motif = 0")
 def provider_check(spark, sf_dir):
     """Profiles from single intervals and from blocks, compared cell by cell."""
-    own, m = _fetched(spark, sf_dir), motifs()
-    one = W.dense_contributions(own, m, WIDE, 0).join(own.select("interval_id", "chrom", "start", "end"), ["chrom", "start", "end"]).select("interval_id", "motif_idx", "rel", "value")
-    n = own.select("interval_id", (F.length("seq") - m.length + 1).alias("n"))
-    block = W.scores_profile(W.block_scores(chunks(spark, sf_dir), CHUNK, _intervals(spark, sf_dir), m, 20, 300), n, m, 0, WIDE, True)
-    apart = R.close_profiles(one, block.select("interval_id", "motif_idx", "rel", "value"), ["interval_id", "motif_idx", "rel"])
-    return one.agg(F.count("*").alias("n_cells")).join(apart.agg(F.count("*").alias("n_apart")))
+    one = P.interval_profiles(_fetched(spark, sf_dir), motifs(), WIDE, 0)
+    blocks = W.block_arrays(chunks(spark, sf_dir), CHUNK, _intervals(spark, sf_dir), motifs(), 20, 300)
+    block = P.dense_profile(blocks, motifs(), WIDE, 0, per_interval=True)
+    return R.compared_profiles(one, block, ["interval_id", "motif_idx", "rel"])
 
 
 # Whole segments of 80 letters of each chunk of 100: the last 20 letters of a chunk belong to none.

@@ -109,11 +109,28 @@ def test_packed_scores_stay_in_their_rows(spark):
     packed, scores = S.scan_packed(st, m), S.scan_arrow(st, m)
     n = seqs.select("interval_id", (F.length("seq") - 2).alias("n"))
     ends = S.anchors(scores, n, 1, 3.0, 4)
-    got = P.window_totals(packed, m, 1, 4)
+    got, own = P.window_totals(packed, m, 1, 4), P.dense_profile(packed, m, 4, 1)
+    assert exchanges(got) == exchanges(own) == 1  # of partial sums
     assert {(r.motif_idx, r.value) for r in got.collect()} == {(r.motif_idx, r.value) for r in P.window_sums(scores, ends, 4).collect()}
-    own = P.dense_profile(packed, m, 4, 1)
     assert {(r.motif_idx, r.rel, r.value) for r in own.collect()} == {(r.motif_idx, r.rel, r.value) for r in P.dense_profile_sql(scores, ends, 4).collect()}
-    assert exchanges(got) == exchanges(own) == 1  # of partial sums
+
+
+def test_interval_profiles_shuffle_no_scores(spark):
+    """Profiles of intervals and of subsets, and scores by blocks, leave sequences and scores where they lie."""
+    rng = np.random.default_rng(6)
+    m = MotifSet(["a", "b"], rng.integers(-1, 3, (2, 3, 4)), [2.0, 3.0])
+    own = spark.createDataFrame([(i, "c", i, i + n, "".join(rng.choice(list("ACGTN"), n))) for i, n in enumerate([0, 2, 9, 40, 90, 31])], "interval_id long, chrom string, start long, end long, seq string")
+    mem = spark.createDataFrame([(s, "c", i, i + n) for s, i, n in [("x", 3, 40), ("x", 3, 40), ("x", 4, 90), ("y", 4, 90), ("y", 7, 9), (None, 5, 31)]], "subset_id string, chrom string, start long, end long")
+    for q, both in ((None, True), (1, True), (0, False)):
+        dims = ["motif_idx", "rel"] if q is not None else ["anchor_motif", "motif_idx", "rel"]
+        want = P.dense_profile(S.with_strands(own.select("interval_id", "seq"), both), m, 4, q, per_interval=True)
+        got = P.interval_profiles(own, m, 4, q, both)
+        assert exchanges(got) == 0
+        key = lambda df, *k: sorted((tuple(str(r[c]) for c in [*k, *dims]), r.value) for r in df.collect())
+        assert key(got, "interval_id") == key(want, "interval_id")
+        c = want.join(own.drop("seq"), "interval_id").select("chrom", "start", "end", *dims, "value")
+        got = P.subset_curves(W.with_subsets(own, mem), m, 4, q, both)
+        assert key(got, "subset_id") == key(P.fan_out(c, mem), "subset_id")
 
 
 def motif(text, threshold, rows=1):
