@@ -212,6 +212,19 @@ def test_zarr_stores(spark, tmp_path):
         zarr.unpacked(b"", "blosc")
 
 
+def test_zarr_files_are_left_to_tasks(spark, tmp_path, monkeypatch):
+    """Of a store of many chromosomes the driver writes one file and reads none; long arrays are read in parts."""
+    chunks, path, put = store(spark, 40, 200), str(tmp_path / "z"), []
+    longer = spark.createDataFrame([("long", 10 * k, "ACGTNacgtn"[: 10 if k < 149 else 3]) for k in range(150)], "chrom string, chunk_start long, seq string")
+    monkeypatch.setattr(zarr, "_put", lambda spark, path, body: put.append(path))
+    monkeypatch.setattr(zarr, "_small_files", None)
+    zarr.write_zarr2(chunks, path, CHUNK)
+    zarr.write_zarr2(longer, path + "2", 10)
+    assert put == [f"{path}/.zgroup", f"{path}2/.zgroup"]
+    assert sorted(zarr.read_zarr2(spark, path).collect()) == sorted(chunks.collect())
+    assert sorted(map(tuple, zarr.read_zarr2(spark, path + "2").collect())) == sorted((c, k, s.upper()) for c, k, s in longer.collect())
+
+
 def test_plot_frames(spark):
     c = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0]), (1, 1, [4.0, 5.0, 6.0])], "anchor_motif int, motif_idx int, curve array<double>")
     got = sorted(map(tuple, V.pair_curves(c, [("a", "b"), ("b", "z"), ("a", "a")], ["a", "b"], 1).collect()))
