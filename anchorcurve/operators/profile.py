@@ -288,6 +288,37 @@ def anchored_profile(strands: DataFrame, motifs: MotifSet, w: int, per_interval:
     return rows.mapInArrow(fn, ", ".join(f"{d} long" for d in dims) + ", value double").groupBy(*dims).agg(F.sum("value").alias("value"))
 
 
+def anchored_curves(strands: DataFrame, motifs: MotifSet, w: int) -> DataFrame:
+    """subset_id, motif_idx, rel, value around given anchors: strands (seq, anchors) with subsets, as in subset_curves."""
+    kernels, kind = motifs.kernels, strands.schema["subsets"].dataType.elementType["subset_id"].dataType.simpleString()
+
+    def fn(batches):
+        for b in batches:
+            held, own_subsets = b.column("anchors"), b.column("subsets")
+            sizes, many = (c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (held, own_subsets))
+            pos, flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64), own_subsets.flatten()
+            begin, first = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(many))
+            name = flat.field("subset_id").dictionary_encode(null_encoding="encode")
+            which, times = name.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.field("count").to_numpy(zero_copy_only=False)
+            for f in scanned(b.column("seq"), kernels, max(1, CELLS // (2 * w + 1))):
+                n = len(f.counts)
+                row, p = np.repeat(np.arange(n), sizes[f.first : f.first + n]), pos[begin[f.first] : begin[f.first + n]]
+                ok = (p >= w) & (p < f.counts[row] - w)
+                row, p = row[ok], p[ok]
+                if not len(p):
+                    continue
+                own = many[row + f.first]
+                x = np.repeat(np.arange(len(p)), own)  # an anchor for each of its interval's subsets
+                m = np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + first[row + f.first][x]
+                o = np.argsort(which[m], kind="stable")
+                known, group = np.unique(which[m][o], return_inverse=True)
+                got, *cols = cell_rows(sums(f.scores, (f.starts[row] + p)[x[o]], group, len(known), w, times[m[o]]), [np.arange(len(known))], w)
+                yield pa.RecordBatch.from_arrays([name.dictionary.take(pa.array(known[got])), *map(pa.array, cols)], ["subset_id", "motif_idx", "rel", "value"])
+
+    rows = strands.select("seq", F.col("anchors").cast("array<long>").alias("anchors"), "subsets")
+    return rows.mapInArrow(fn, f"subset_id {kind}, motif_idx long, rel long, value double").groupBy("subset_id", "motif_idx", "rel").agg(F.sum("value").alias("value"))
+
+
 def _flat_signal(col: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """(values, where each row's begin, cell types) of a column of arrays of arrays."""
     inner = col.flatten()

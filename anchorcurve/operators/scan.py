@@ -230,7 +230,9 @@ def hit_positions(found: DataFrame, intervals: DataFrame, motifs: MotifSet) -> D
 
 def scan_hits(intervals: DataFrame, motifs: MotifSet, both: bool = True) -> DataFrame:
     """interval_id and HIT rows of intervals (interval_id, chrom, start, seq): scanned and placed in one narrow pass, so
-    hits are not joined with their intervals again."""
+    hits are not joined with their intervals again.  With columns tile_start and tile_end only hits whose centre lies in
+    them, as in owned_hits."""
+    tiled = "tile_start" in intervals.columns
     kernels, limits = motifs.kernels, np.asarray(motifs.thresholds, np.float64)[:, None]
     m, offsets = motifs.length, np.array(motifs.center_offsets(), np.int64)
 
@@ -245,11 +247,15 @@ def scan_hits(intervals: DataFrame, motifs: MotifSet, both: bool = True) -> Data
                 fwd = strand[row] == 0
                 first = begin[row] + np.where(fwd, p, size - p - m)
                 center = begin[row] + np.where(fwd, p + offsets[k], size - 1 - p - offsets[k])
+                if tiled:
+                    lo, hi = (np.asarray(b.column(c)).astype(np.int64)[row] for c in ("tile_start", "tile_end"))
+                    on = np.flatnonzero((center >= lo) & (center < hi))
+                    k, at, row, first, center = k[on], at[on], row[on], first[on], center[on]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([ids.take(take), chrom.take(take), pa.array(first), pa.array(center), pa.array(k.astype(np.int32)), pa.array(strand[row].astype(np.int32)), pa.array(f.scores[k, at].astype(np.float64))], names)
 
     names = ["interval_id", "chrom", "start_pos", "center_pos", "motif_idx", "strand", "score"]
-    rows = with_strands(intervals.select(F.col("interval_id").cast("long").alias("interval_id"), F.col("chrom").cast("string").alias("chrom"), F.col("start").cast("long").alias("start"), "seq"), both)
+    rows = with_strands(intervals.select(F.col("interval_id").cast("long").alias("interval_id"), F.col("chrom").cast("string").alias("chrom"), F.col("start").cast("long").alias("start"), "seq", *(["tile_start", "tile_end"] if tiled else [])), both)
     return rows.mapInArrow(fn, "interval_id long, chrom string, start_pos long, center_pos long, motif_idx int, strand int, score double")
 
 
@@ -286,6 +292,19 @@ def query_hits(found: DataFrame, chrom: str, start: int, end: int, motif_idx: li
     return out.where(F.col("score") >= min_score) if min_score is not None else out
 
 
+#: Letters whose hits one file of a hit table holds, about.
+FILE_LETTERS = 1 << 22
+
+
+def write_tile_hits(tiles: DataFrame, motifs: MotifSet, path: str, parts: int, both: bool = True) -> None:
+    """The hits of tiles (interval_id, chrom, start, seq, tile_start, tile_end) as write_hits has them: the sequences are
+    dealt by ranges, before they are scanned, into parts that follow their letters, ``parts`` at least."""
+    letters = tiles.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+    dealt = tiles.repartitionByRange(max(parts, -(-letters // FILE_LETTERS)), "chrom", "tile_start")
+    found = scan_hits(dealt, motifs, both).drop("interval_id")
+    found.sortWithinPartitions("chrom", "center_pos", "motif_idx").write.mode("overwrite").parquet(path)
+
+
 def write_hits(found: DataFrame, path: str, parts: int) -> None:
     """Range-partitioned and sorted by place, so that range queries prune."""
     found.repartitionByRange(parts, "chrom", "center_pos").sortWithinPartitions("chrom", "center_pos", "motif_idx").write.mode("overwrite").parquet(path)

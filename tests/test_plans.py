@@ -225,6 +225,17 @@ def test_zarr_files_are_left_to_tasks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, zarr.read_zarr2(spark, path + "2").collect())) == sorted((c, k, s.upper()) for c, k, s in longer.collect())
 
 
+def test_files_of_a_hit_cache_follow_its_letters(spark, tmp_path, monkeypatch):
+    """More letters, more files: no task sorts a fixed share of all hits; their ranges don't meet."""
+    from anchorcurve.operators import scan
+
+    monkeypatch.setattr(scan, "FILE_LETTERS", 200)
+    cache = R.HitCache(str(tmp_path / "h"))
+    cache.build(store(spark), CHUNK, motifs(), tile=40, parts=2)
+    rows = cache.hits(spark).withColumn("f", F.input_file_name()).groupBy("f").agg(F.min(F.struct("chrom", "center_pos")).alias("a"), F.max(F.struct("chrom", "center_pos")).alias("z")).orderBy("a").collect()
+    assert len(rows) > 8 and all(tuple(x.z) < tuple(y.a) for x, y in zip(rows, rows[1:]))
+
+
 def test_plot_frames(spark):
     c = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0]), (1, 1, [4.0, 5.0, 6.0])], "anchor_motif int, motif_idx int, curve array<double>")
     got = sorted(map(tuple, V.pair_curves(c, [("a", "b"), ("b", "z"), ("a", "a")], ["a", "b"], 1).collect()))
