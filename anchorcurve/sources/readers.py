@@ -6,6 +6,7 @@ import json
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,12 +106,19 @@ def fetch_signal(signal: DataFrame, intervals: DataFrame, celltypes: list[str],
     """
     at = intervals.select("interval_id", "chrom", "start", "end").where("end > start")
     inside = points_in_intervals(signal.where(F.col("celltype").isin(celltypes)).select("chrom", "pos", "celltype", "value"), at, "pos", bin_size)
-    cells = F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("start")).cast("int"), "value")))
-    one = inside.groupBy("interval_id", "start", "end", "celltype", "pos").agg(F.sum("value").alias("value")).groupBy("interval_id", "celltype").agg(cells.alias("m"))
-    tracks = one.groupBy("interval_id").agg(F.map_from_entries(F.collect_list(F.struct("celltype", "m"))).alias("_t"))
-    place = F.sequence(F.lit(0), (F.col("end") - F.col("start") - 1).cast("int"))
-    track = lambda c: F.transform(place, lambda i: F.coalesce(F.try_element_at(F.try_element_at("_t", F.lit(c)), i), F.lit(0.0)))
-    return intervals.where("end > start").join(tracks, "interval_id", "left").withColumn("signal", F.array(*[track(c) for c in celltypes])).drop("_t")
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(celltypes) for x in (c, i)])[F.col("celltype")]
+    n = (F.col("end") - F.col("start")).cast("long")
+    cell = F.struct((number * n + F.col("pos") - F.col("start")).alias("at"), F.col("value").cast("double").alias("value"))
+    tracks = inside.where("value is not null").groupBy("interval_id").agg(F.collect_list(cell).alias("_c"))
+
+    @F.pandas_udf("array<double>")
+    def laid(at: pd.Series, value: pd.Series, size: pd.Series) -> pd.Series:
+        # One after another: the places of each cell type; values of one place are added.
+        return pd.Series([np.bincount(a.astype(np.int64), v, k) if a is not None and len(a) else np.zeros(k) for a, v, k in zip(at, value, size)])
+
+    rows = intervals.where("end > start").join(tracks, "interval_id", "left")
+    rows = rows.withColumn("_c", laid(F.col("_c.at"), F.col("_c.value"), n * len(celltypes)))
+    return rows.withColumn("signal", F.array(*[F.slice("_c", (n * i + 1).cast("int"), n.cast("int")) for i in range(len(celltypes))])).drop("_c")
 
 
 def segments(chunks: DataFrame, length: int) -> DataFrame:

@@ -13,7 +13,9 @@ def append_hits(stream: DataFrame, motifs: MotifSet, path: str, checkpoint: str,
     """Starts a query that writes HIT rows of each micro-batch to path/batch=<id>; running it twice gives the same files."""
 
     def one(batch: DataFrame, number: int) -> None:
-        hits_of_intervals(batch, motifs, both).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # A batch may be a few large files: its rows are dealt to all cores before they are scanned.
+        dealt = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+        hits_of_intervals(dealt, motifs, both).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

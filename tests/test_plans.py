@@ -236,6 +236,19 @@ def test_files_of_a_hit_cache_follow_its_letters(spark, tmp_path, monkeypatch):
     assert len(rows) > 8 and all(tuple(x.z) < tuple(y.a) for x, y in zip(rows, rows[1:]))
 
 
+def test_signals_are_laid_without_lookups(spark):
+    """Tracks of wide intervals: values of one place are added, and no map is searched for each place."""
+    iv = spark.createDataFrame([(1, "c", 5, 4005, "x"), (2, "c", 9000, 9003, "y"), (3, "d", 0, 2, "z")], "interval_id long, chrom string, start long, end long, note string")
+    rows = [("c", p, ct, float(p % 7 + k)) for k, ct in enumerate(("a", "b")) for p in range(0, 4100, 2)] + [("c", 6, "a", 5.0), ("c", 6, "other", 1.0), ("c", 8, "b", None)]
+    got = readers.fetch_signal(spark.createDataFrame(rows, "chrom string, pos long, celltype string, value double"), iv, ["b", "a"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_element_at" not in plan and "map_from_entries" not in plan
+    got = {r.note: r.signal for r in got.collect()}
+    want = {ct: [sum(v for c, p, t, v in rows if p == q and t == ct and v is not None) for q in range(5, 25)] for ct in "ab"}
+    assert [s[:20] for s in got["x"]] == [want["b"], want["a"]] and [len(s) for s in got["x"]] == [4000, 4000]
+    assert got["y"] == [[0.0] * 3] * 2 and got["z"] == [[0.0] * 2] * 2
+
+
 def test_plot_frames(spark):
     c = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0]), (1, 1, [4.0, 5.0, 6.0])], "anchor_motif int, motif_idx int, curve array<double>")
     got = sorted(map(tuple, V.pair_curves(c, [("a", "b"), ("b", "z"), ("a", "a")], ["a", "b"], 1).collect()))
